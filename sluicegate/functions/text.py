@@ -40,9 +40,14 @@ def transliterate(c: Column, mapping: Mapping[str, str] = CYRILLIC_TO_LATIN) ->
 
 
 def repair_mojibake(c: Column) -> Column:
-    """Undo UTF-8 text that was read as Latin-1; text with wider characters is left alone."""
-    narrow = c.rlike("^[\\x00-\\xFF]*$")
-    return F.when(narrow, F.decode(F.encode(F.when(narrow, c), "ISO-8859-1"), "UTF-8")).otherwise(c)
+    """Undo UTF-8 text that was read as Latin-1.
+
+    Text with wider characters, or whose bytes are not UTF-8, was not broken that way and
+    is left alone.
+    """
+    narrow = F.when(c.rlike("^[\\x00-\\xFF]*$"), c)
+    read_again = F.try_validate_utf8(F.encode(narrow, "ISO-8859-1").cast("string"))
+    return F.coalesce(read_again, c)
 
 
 def sanitize_identifier(c: Column) -> Column:

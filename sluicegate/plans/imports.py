@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluicegate import messages
 from sluicegate.contracts import Contract, project, with_overrides
@@ -21,7 +21,7 @@ from sluicegate.plans.outcomes import ACCEPTED, DUP_IN_BATCH, DUP_IN_TARGET, INV
 from sluicegate.plans.store import LOAD, Store
 from sluicegate.sources import landing, workbooks
 from sluicegate.sources.landing import FILE, ROW_NUMBER
-from sluicegate.session import work_folder
+from sluicegate.session import shuffle_partitions, work_folder
 
 MAX_FILES_PER_LOAD = 100_000
 ALREADY_LOADED = "this file was loaded before"
@@ -94,19 +94,22 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
     validated = validate.validate(project(rows, contract, keep=[FILE, ROW_NUMBER]), rules)
     checked = validated.withColumn("_valid", validate.is_valid())
     in_file = dedup.flag_copies(checked, [FILE, "_valid", *keys], [ROW_NUMBER])
-    heads = F.col("_valid") & F.col(dedup.IS_FIRST)
-    first_in_file = in_file.withColumn("_head", heads).drop(dedup.IS_FIRST, dedup.LATER_COPIES)
-    across = dedup.flag_copies(first_in_file, ["_head", *keys], [FILE, ROW_NUMBER])
-    leader = F.col("_head") & F.col(dedup.IS_FIRST)
-    probed = dedup.mark_in_target(across, target, keys, "_known", when=leader)
+    head = F.col("_valid") & F.col(dedup.IS_FIRST)
+    # A key has one head per file at most, so heads may meet; the other rows are spread.
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_partitions(rows.sparkSession)))
+    meeting = in_file.withColumn("_head", head).withColumn(
+        "_place", F.when(F.col("_head"), F.lit(-1)).otherwise(spread))
+    across = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(FILE, ROW_NUMBER)
+    led = meeting.withColumn("_leader", F.col("_head") & (F.row_number().over(across) == 1))
+    probed = dedup.mark_in_target(led, target, keys, "_known", when=F.col("_leader"))
     outcome = (
         F.when(~F.col("_valid"), F.lit(INVALID))
         .when(~F.col("_head"), F.lit(DUP_IN_BATCH))
-        .when(~F.col(dedup.IS_FIRST) | F.col("_known"), F.lit(DUP_IN_TARGET))
+        .when(~F.col("_leader") | F.col("_known"), F.lit(DUP_IN_TARGET))
         .otherwise(F.lit(ACCEPTED))
     )
     return probed.withColumn(OUTCOME, outcome).drop(
-        "_valid", "_head", "_known", dedup.IS_FIRST, dedup.LATER_COPIES)
+        "_valid", "_head", "_place", "_leader", "_known", dedup.IS_FIRST, dedup.LATER_COPIES)
 
 
 def summarize(classified: DataFrame, contract: Contract) -> DataFrame:

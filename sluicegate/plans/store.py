@@ -23,18 +23,23 @@ from sluicegate.operators.changes import current_status
 LOAD = "load_id"
 NEVER = "l-created"  # carries the schema of a table that has no rows yet
 
-BATCHES = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "timestamp": T.TimestampType()}
+
+
+def _schema_of(text: str) -> T.StructType:
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+BATCHES = _schema_of(
     "batch_id string, flow string, file_hash string, file_name string, table_name string, "
     "uploaded_by string, uploaded_by_name string, total_rows long, valid_rows long, "
     "error_rows long, inserted_rows long, skipped_rows long, status string, notes string, "
     "event_time timestamp")
-ERRORS = T.StructType.fromDDL(
-    "batch_id string, row_number long, field_name string, error_message string")
-SKIPPED = T.StructType.fromDDL(
-    "batch_id string, row_number long, reason string, preview string")
-LOG = T.StructType.fromDDL("username string, display_name string, logged_at timestamp")
-AUDIT = T.StructType.fromDDL(
-    "_batch_id string, _row_number long, _imported_at timestamp, _imported_by string")
+ERRORS = _schema_of("batch_id string, row_number long, field_name string, error_message string")
+SKIPPED = _schema_of("batch_id string, row_number long, reason string, preview string")
+LOG = _schema_of("username string, display_name string, logged_at timestamp")
+AUDIT = _schema_of("_batch_id string, _row_number long, _imported_at timestamp, _imported_by string")
 
 
 class Store:
@@ -91,7 +96,7 @@ class Store:
 
     @staticmethod
     def _latest(events: DataFrame) -> DataFrame:
-        rest = F.struct(LOAD, *[c for c in BATCHES.fieldNames() if c != "batch_id"],)
+        rest = F.struct(LOAD, *[c for c in BATCHES.fieldNames() if c != "batch_id"])
         newest = events.groupBy("batch_id").agg(
             F.max_by(rest, F.struct("event_time", "step")).alias("_row"),
             F.min("event_time").alias("created_at"))
