@@ -1,13 +1,13 @@
 """Declared contracts: which headers a batch carries and what each column becomes.
 
-A contract is plain data.  ``project`` turns it into one ``select`` so that the whole
-header mapping, casting and constant injection is a single Project node.
+A contract is plain data.  ``project`` turns it into native projections: header mapping,
+casts and constants, without a shuffle or a Python function.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -100,43 +100,43 @@ def project(df: DataFrame, contract: Contract, keep: Iterable[str] = ()) -> Data
     columns (row number, file) through untouched.
     """
     kept = list(keep)
-    check_headers([c for c in df.columns if c not in kept], contract)
+    cells = _cells([c for c in df.columns if c not in kept], contract)
+    typed = casts.apply_casts(df, {f.name: (_cast_of(f, contract), raw) for f, raw in cells}, kept)
+    constants = [F.lit(c.value).cast(store_type(c.type)).alias(c.name) for c in contract.constants]
+    return typed.select("*", *constants) if constants else typed
+
+
+def _cells(columns: Sequence[str], contract: Contract) -> list[tuple[Field, Column]]:
+    """Each field with the text column it is read from."""
+    check_headers(columns, contract)
     by_key: dict[str, str] = {}
-    for column in df.columns:
-        if column not in kept:
-            by_key.setdefault(names.header_key(column), column)
+    for column in columns:
+        by_key.setdefault(names.header_key(column), column)
 
-    cast = casts.contract_cast if contract.flow == "contract" else casts.free_cast
-    out: list[Column] = [F.col(names.quoted(k)) for k in kept]
-    for f in contract.fields:
+    def cell(f: Field) -> Column:
         source = by_key.get(names.header_key(f.header))
-        raw = F.lit(None).cast("string") if source is None else F.col(names.quoted(source)).cast("string")
-        out.append(cast(raw, f.type).alias(f.name))
-    for c in contract.constants:
-        out.append(F.lit(c.value).cast(store_type(c.type)).alias(c.name))
-    return df.select(*out)
+        return F.lit(None).cast("string") if source is None else F.col(names.quoted(source)).cast("string")
+
+    return [(f, cell(f)) for f in contract.fields]
+
+
+def _cast_of(f: Field, contract: Contract) -> casts.Cast:
+    return casts.contract_cast(f.type) if contract.flow == "contract" else casts.free_cast(f.type)
 
 
 def cast_failures(df: DataFrame, contract: Contract) -> DataFrame:
     """Per column: how many filled cells became NULL when cast.  One pass, long result."""
-    check_headers(df.columns, contract)
-    by_key: dict[str, str] = {}
-    for column in df.columns:
-        by_key.setdefault(names.header_key(column), column)
-    cast = casts.contract_cast if contract.flow == "contract" else casts.free_cast
-    aggs, found = [], []
-    for f in contract.fields:
-        source = by_key.get(names.header_key(f.header))
-        if source is None:
-            continue
-        raw = F.col(names.quoted(source)).cast("string")
-        lost = casts.is_filled(raw) & cast(raw, f.type).isNull()
-        aggs.append(F.count_if(lost).alias(f"f{len(found)}"))
-        found.append(f)
-    totals = df.agg(*aggs)
+    cells = _cells(df.columns, contract)
+    wanted = {}
+    for i, (f, raw) in enumerate(cells):
+        wanted[f"v{i}"] = (_cast_of(f, contract), raw)
+        wanted[f"t{i}"] = (casts.Cast(casts.is_filled), raw)
+    both = casts.apply_casts(df, wanted)
+    totals = both.agg(*[
+        F.count_if(F.col(f"t{i}") & F.col(f"v{i}").isNull()).alias(f"f{i}") for i in range(len(cells))])
     entries = [
         F.struct(F.lit(f.name).alias("column_name"), F.col(f"f{i}").alias("cast_failures"))
-        for i, f in enumerate(found)
+        for i, (f, _) in enumerate(cells)
     ]
     return totals.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 

@@ -1,24 +1,32 @@
 """Lenient casts: text in, typed value or NULL out, never an error.
 
-All of them are native expressions.  Numbers pass a grammar check first, because Spark
-would read ``5d`` as a double; dates are rebuilt into ISO form and cast, so neither the
-session time zone nor the datetime parser policy has a say.
+All of them are native expressions.  Numbers pass a grammar check first, as Spark would
+read ``5d`` as a double; dates are rebuilt into ISO form and cast, so neither the session
+time zone nor the datetime parser policy has a say.
+
+A cast has three steps: clean the text, parse it, adjust the value.  As a function of one
+Column the steps are simply nested.  ``apply_casts`` gives each step its own Project for
+many columns at once: a step mentions its input more than once, and Catalyst evaluates
+every mention unless it is a plain column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from sluicegate.functions.names import SPACES
+from pyspark.sql import Column, DataFrame, functions as F
+
+from sluicegate.functions.names import SPACES, quoted
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+WHOLE = r"^[+-]?\d+$"
 DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
-ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
-ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
-INT_MIN, INT_MAX = -2147483648, 2147483647
-LONG_LIMIT = 9.0e18
+_CLOCK = r"[T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?"
+ISO_DAY = rf"^(\d{{4}}-\d{{2}}-\d{{2}})({_CLOCK})?$"
+ISO_ZONED = rf"^\d{{4}}-\d{{2}}-\d{{2}}{_CLOCK}(Z|[+-]\d{{2}}:\d{{2}})$"
 SECONDS_PER_DAY = 86400
+LONG_LIMIT = 4.0e18  # doubling stays inside 64 bits
 LAST_SERIAL_DAY = 2958465
 
 
@@ -36,94 +44,114 @@ def is_filled(c: Column) -> Column:
     return F.coalesce(F.length(trimmed(c)) > 0, F.lit(False))
 
 
-def _no_spaces(c: Column) -> Column:
-    return F.translate(c, SPACES, "")
+def _same(c: Column) -> Column:
+    return c
 
 
-def _comma_to_point(c: Column) -> Column:
-    return F.regexp_replace(c, r"^([^,]*),", "$1.")
+@dataclass(frozen=True)
+class Cast:
+    clean: Callable[[Column], Column] = _same
+    parse: Callable[[Column], Column] = _same
+    adjust: Callable[[Column], Column] = _same
 
+    def __call__(self, c: Column) -> Column:
+        return self.adjust(self.parse(self.clean(c)))
 
-def _drop_first_percent(c: Column) -> Column:
-    return F.regexp_replace(c, r"^([^%]*)%", "$1")
 
+def apply_casts(df: DataFrame, wanted: Mapping[str, tuple[Cast, Column]],
+                keep: Sequence[str] = ()) -> DataFrame:
+    """Cast many columns: ``wanted`` maps the new name to a cast and its text column."""
+    kept = [F.col(quoted(k)) for k in keep]
+    out = df.select(*kept, *[cast.clean(raw).alias(name) for name, (cast, raw) in wanted.items()])
+    for step in ("parse", "adjust"):
+        out = out.select(*kept, *[
+            getattr(cast, step)(F.col(quoted(name))).alias(name) for name, (cast, _) in wanted.items()])
+    return out
 
-def _number(text: Column) -> Column:
-    """Double from plain decimal or scientific notation, else NULL."""
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+
+def _no_spaces(c: Column) -> Column:
+    return F.translate(c, SPACES, "")
 
 
-def round_half_up(value: Column) -> Column:
-    """Round towards plus infinity at .5, so -2.5 gives -2."""
-    low = F.floor(value)
-    return low + F.when(value - low >= 0.5, F.lit(1)).otherwise(F.lit(0))
+def _first_replaced(c: Column, mark: str, by: str) -> Column:
+    """Replace the first ``mark`` only."""
+    return F.concat_ws(by, F.split(c, mark, 2))
 
 
-def _whole(value: Column, low: float, high: float, type_name: str) -> Column:
-    inside = (value >= low - 0.5) & (value < high + 0.5)
-    return F.when(inside, round_half_up(value).cast(type_name))
+def _clean_int(c: Column) -> Column:
+    return _first_replaced(_no_spaces(c), ",", ".")
 
 
-def contract_int(c: Column) -> Column:
-    """`` 1 234,5 `` -> 1235; beyond 32 bits -> NULL."""
-    return _whole(_number(_comma_to_point(_no_spaces(c))), INT_MIN, INT_MAX, "int")
+def _clean_float(c: Column) -> Column:
+    return _first_replaced(_first_replaced(_no_spaces(c), "%", ""), ",", ".")
 
 
-def contract_float(c: Column) -> Column:
-    """As ``contract_int`` with one percent sign removed; the value is not divided."""
-    return _number(_comma_to_point(_drop_first_percent(_no_spaces(c))))
+def _parse_number(text: Column) -> Column:
+    """Double from plain decimal or scientific notation, else NULL; may be infinite."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def contract_decimal(c: Column) -> Column:
-    text = _comma_to_point(_drop_first_percent(_no_spaces(c)))
+def _parse_decimal(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("decimal(10,2)"))
 
 
-def _iso_date(text: Column) -> Column:
-    """Date of an ISO day or date-time; a zone offset is resolved to the UTC day."""
-    utc_day = F.floor(F.unix_seconds(text.try_cast("timestamp")) / SECONDS_PER_DAY).cast("int")
-    return (
-        F.when(text.rlike(ISO_DAY), text.try_cast("date"))
-        .when(text.rlike(ISO_TIME) & text.try_cast("timestamp_ntz").isNotNull(),
-              F.substring(text, 1, 10).try_cast("date"))
-        .when(text.rlike(ISO_ZONED), F.date_from_unix_date(utc_day))
-    )
+def _finite(value: Column) -> Column:
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def round_half_up(value: Column) -> Column:
+    """Round towards plus infinity at .5, so -2.5 gives -2 (doubling a double is exact)."""
+    return F.ceil(F.floor(value * 2) / 2)
+
+
+def _to_int(value: Column) -> Column:
+    """Beyond 32 bits -> NULL."""
+    return round_half_up(value).try_cast("int")
 
 
-def contract_date(c: Column) -> Column:
-    """``D.M.YYYY`` first, then the ISO forms; anything else is NULL."""
-    text = trimmed(c)
-    day_first = F.regexp_replace(text, DAY_FIRST, "$3-$2-$1").try_cast("date")
-    return F.when(text.rlike(DAY_FIRST), day_first).otherwise(_iso_date(text))
+def _parse_long(text: Column) -> Column:
+    """Whole numbers keep every digit; others go through the double."""
+    rounded = round_half_up(_parse_number(text))
+    return F.when(text.rlike(WHOLE), text.try_cast("bigint")).otherwise(
+        F.when(F.abs(rounded) < LONG_LIMIT, rounded))
 
 
-def contract_text(c: Column) -> Column:
-    return trimmed(null_if_empty(c))
+def _iso_day(text: Column) -> Column:
+    return F.when(text.rlike(ISO_DAY), F.substring(text, 1, 10).try_cast("date"))
 
 
-def free_int(c: Column) -> Column:
-    return _whole(_number(trimmed(c)), INT_MIN, INT_MAX, "int")
+def _zoned_day(text: Column) -> Column:
+    """UTC day of a date-time with a zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(text.try_cast("timestamp")) / SECONDS_PER_DAY).cast("int"))
 
 
-def free_long(c: Column) -> Column:
-    """Whole numbers past 32 bits keep every digit: plain integers skip the double."""
-    text = trimmed(c)
-    exact = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-    return F.coalesce(exact, _whole(_number(text), -LONG_LIMIT, LONG_LIMIT, "bigint"))
+def _parse_iso(text: Column) -> Column:
+    return _iso_day(text).when(text.rlike(ISO_ZONED), _zoned_day(text))
 
 
-def free_float(c: Column) -> Column:
-    return _number(trimmed(c))
+def _parse_day_first(text: Column) -> Column:
+    """``D.M.YYYY`` or one of the ISO forms; anything else is NULL."""
+    turned = F.regexp_replace(text, DAY_FIRST, "$3-$2-$1")
+    return _parse_iso(text).when(text.rlike(DAY_FIRST), turned.try_cast("date"))
 
 
-def free_date(c: Column) -> Column:
-    return _iso_date(trimmed(c))
+contract_int = Cast(_clean_int, _parse_number, _to_int)  # " 1 234,5 " -> 1235
+contract_float = Cast(_clean_float, _parse_number, _finite)  # one % dropped, no division
+contract_decimal = Cast(_clean_float, _parse_decimal)
+contract_date = Cast(trimmed, _parse_day_first)
+free_int = Cast(trimmed, _parse_number, _to_int)
+free_long = Cast(trimmed, _parse_long)
+free_float = Cast(trimmed, _parse_number, _finite)
+free_date = Cast(trimmed, _parse_iso)
 
 
-def free_bit(c: Column) -> Column:
-    """Truth of a text cell: any filled text counts, even "0"."""
-    return F.when(null_if_empty(c).isNotNull(), F.lit(1))
+contract_text = Cast(lambda c: trimmed(null_if_empty(c)))
+free_text = Cast(null_if_empty)
+# Truth of a text cell: any filled text counts, even "0".
+free_bit = Cast(null_if_empty, lambda c: F.when(c.isNotNull(), F.lit(1)))
+legacy_date = free_date
+legacy_score = free_float  # keep the text beside it to tell blank from unreadable
+legacy_text = Cast(lambda c: F.coalesce(trimmed(c), F.lit("")))
 
 
 def number_bit(c: Column) -> Column:
@@ -131,10 +159,6 @@ def number_bit(c: Column) -> Column:
     return F.when(c.isNotNull(), F.when(c != 0, F.lit(1)).otherwise(F.lit(0)))
 
 
-def free_text(c: Column) -> Column:
-    return null_if_empty(c)
-
-
 def serial_date(c: Column) -> Column:
     """Date of a spreadsheet day number.
 
@@ -146,40 +170,18 @@ def serial_date(c: Column) -> Column:
     return F.when((c >= 0) & (c < LAST_SERIAL_DAY + 1), F.date_add(origin, day))
 
 
-def legacy_date(c: Column) -> Column:
-    """Date of a validated record: ISO text only."""
-    return _iso_date(trimmed(c))
-
-
-def legacy_text(c: Column) -> Column:
-    return F.coalesce(trimmed(c), F.lit(""))
-
-
-def legacy_score(c: Column) -> Column:
-    """Number or NULL; keep the raw text beside it to tell blank from unreadable."""
-    return _number(trimmed(c))
-
-
 def iso_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def contract_cast(c: Column, type_text: str) -> Column:
+def contract_cast(type_text: str) -> Cast:
     name = type_text.strip().upper()
-    if name == "INT":
-        return contract_int(c)
-    if name == "FLOAT":
-        return contract_float(c)
     if name.startswith("DECIMAL"):
-        return contract_decimal(c)
-    if name == "DATE":
-        return contract_date(c)
-    return contract_text(c)
-
-
-def free_cast(c: Column, type_text: str) -> Column:
-    by_type = {
-        "INT": free_int, "BIGINT": free_long, "FLOAT": free_float,
-        "DATE": free_date, "BIT": free_bit,
-    }
-    return by_type.get(type_text.strip().upper(), free_text)(c)
+        return contract_decimal
+    return {"INT": contract_int, "FLOAT": contract_float, "DATE": contract_date}.get(name, contract_text)
+
+
+def free_cast(type_text: str) -> Cast:
+    return {
+        "INT": free_int, "BIGINT": free_long, "FLOAT": free_float, "DATE": free_date, "BIT": free_bit,
+    }.get(type_text.strip().upper(), free_text)

@@ -24,19 +24,22 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     empty column is NVARCHAR(255).
     """
     columns = columns or [c for c in df.columns if c not in BOOKKEEPING]
-    aggs = []
+    wanted, aggs = {}, []
     for i, name in enumerate(columns):
-        cell = casts.null_if_empty(F.col(names.quoted(name)).cast("string"))
-        number = casts.free_float(cell)
+        cell = F.col(names.quoted(name)).cast("string")
+        wanted[f"c{i}"] = (casts.free_text, cell)
+        wanted[f"v{i}"] = (casts.free_float, cell)
+        wanted[f"t{i}"] = (casts.free_date, cell)
+        number = F.col(f"v{i}")
         aggs += [
-            F.count(cell).alias(f"n{i}"),
-            F.count(casts.free_date(cell)).alias(f"d{i}"),
+            F.count(f"c{i}").alias(f"n{i}"),
+            F.count(f"t{i}").alias(f"d{i}"),
             F.count(number).alias(f"f{i}"),
             F.count_if(F.floor(number) == number).alias(f"w{i}"),
             F.coalesce(F.max(F.abs(number)), F.lit(0.0)).alias(f"m{i}"),
-            F.coalesce(F.max(F.length(cell)), F.lit(0)).alias(f"l{i}"),
+            F.coalesce(F.max(F.length(f"c{i}")), F.lit(0)).alias(f"l{i}"),
         ]
-    totals = df.agg(*aggs)
+    totals = casts.apply_casts(df, wanted).agg(*aggs)
 
     lines = []
     for i, name in enumerate(columns):

@@ -1,7 +1,7 @@
 """Row validation: rules produce error structs, errors leave as one long table.
 
-A rule is a Column of ``struct<field_name, error_message>`` that is NULL when the row
-passes.  All rules of a batch are evaluated in one Project; no rule shuffles.
+A rule is a Column of ``array<struct<field_name, error_message>>`` that is empty when the
+row passes.  All rules of a batch are concatenated in one Project; no rule shuffles.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 EXPLODE_CHUNK = 100_000
 
 
+def _none() -> Column:
+    return F.array().cast(ERROR_TYPE)
+
+
 def error_if(broken: Column, field: str, message: str) -> Column:
-    """The error struct where ``broken`` is true, NULL elsewhere."""
-    return F.when(broken, F.struct(
-        F.lit(field).alias("field_name"), F.lit(message).alias("error_message")))
+    """One error where ``broken`` is true, no error elsewhere."""
+    error = F.struct(F.lit(field).alias("field_name"), F.lit(message).alias("error_message"))
+    return F.when(broken, F.array(error)).otherwise(_none())
 
 
 def required(field: str, value: Column, message: str = messages.REQUIRED) -> Column:
@@ -72,9 +76,7 @@ def within_length(field: str, value: Column, limit: int, message: str) -> Column
 
 def validate(df: DataFrame, rules: Sequence[Column]) -> DataFrame:
     """Add ``errors``: the broken rules of each row, in rule order."""
-    if not rules:
-        return df.withColumn(ERRORS, F.array().cast(ERROR_TYPE))
-    return df.withColumn(ERRORS, F.array_compact(F.array(*rules)))
+    return df.withColumn(ERRORS, F.concat(_none(), *rules))
 
 
 def is_valid() -> Column:

@@ -25,13 +25,11 @@ def normalize_records(raw: DataFrame, *keep: str) -> DataFrame:
     def cell(name: str) -> Column:
         return F.col(names.quoted(by_key[name])).cast("string")
 
-    return raw.select(
-        *keep,
-        *[casts.legacy_text(cell(c)).alias(c) for c in TEXT_COLUMNS],
-        casts.legacy_date(cell("completion_date")).alias("completion_date"),
-        casts.legacy_score(cell("score")).alias("score"),
-        casts.trimmed(cell("score")).alias("score_text"),
-    )
+    wanted = {c: (casts.legacy_text, cell(c)) for c in TEXT_COLUMNS}
+    wanted["completion_date"] = (casts.legacy_date, cell("completion_date"))
+    wanted["score"] = (casts.legacy_score, cell("score"))
+    wanted["score_text"] = (casts.Cast(casts.trimmed), cell("score"))
+    return casts.apply_casts(raw, wanted, keep)
 
 
 def record_rules() -> list[Column]:
@@ -63,8 +61,7 @@ def check_records(raw: DataFrame, target: DataFrame, row: str, scope: Sequence[s
     clean = validate.is_valid() & (F.col("duplicate_errors") == 0)
     known = dedup.mark_existing_keys(counted, clean, target, RECORD_KEY)
     exists = validate.error_if(F.col("key_exists"), messages.DUPLICATE_FIELD, messages.RECORD_EXISTS)
-    return known.withColumn(validate.ERRORS, F.array_compact(
-        F.concat(validate.ERRORS, F.array(exists)))).drop(
+    return known.withColumn(validate.ERRORS, F.concat(validate.ERRORS, exists)).drop(
         "_alone", "key_exists", dedup.IS_FIRST, dedup.LATER_COPIES)
 
 

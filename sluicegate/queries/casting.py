@@ -34,10 +34,10 @@ def _sql_int(cleaned: str) -> str:
            {_sql_int(f"trim(v, {SQL_SPACES})")} AS free_int
     FROM (SELECT *, {MESSY_INT} AS v FROM lineitem)""")
 def cast_int(spark, folder):
-    raw = F.expr(MESSY_INT)
-    return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"),
-        casts.contract_int(raw).alias("contract_int"), casts.free_int(raw).alias("free_int"))
+    lines = table(spark, folder, "lineitem").withColumn("raw", F.expr(MESSY_INT))
+    return casts.apply_casts(
+        lines, {"contract_int": (casts.contract_int, F.col("raw")), "free_int": (casts.free_int, F.col("raw"))},
+        keep=["l_orderkey", "l_linenumber", "l_partkey", "raw"])
 
 
 # A price in cents as text: grouped, with decimal comma, a percent sign or as it is.
@@ -58,10 +58,10 @@ _PRICE = f"regexp_replace(regexp_replace(translate(v, {SQL_SPACES}, ''), '%', ''
 def cast_decimal(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn(
         "cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
-    raw = F.expr(MESSY_PRICE)
-    return lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"),
-        casts.contract_decimal(raw).alias("as_decimal"), casts.contract_float(raw).alias("as_float"))
+    return casts.apply_casts(
+        lines.withColumn("raw", F.expr(MESSY_PRICE)),
+        {"as_decimal": (casts.contract_decimal, F.col("raw")), "as_float": (casts.contract_float, F.col("raw"))},
+        keep=["l_orderkey", "l_linenumber", "l_partkey", "raw"])
 
 
 MESSY_DATE = """
@@ -85,10 +85,10 @@ _SQL_DATE = MESSY_DATE.replace("string", "VARCHAR")
            END AS free_date
     FROM (SELECT *, {_SQL_DATE} AS v FROM orders)""")
 def cast_date(spark, folder):
-    raw = F.expr(MESSY_DATE)
-    return table(spark, folder, "orders").select(
-        "o_orderkey", raw.alias("raw"),
-        casts.contract_date(raw).alias("contract_date"), casts.free_date(raw).alias("free_date"))
+    orders = table(spark, folder, "orders").withColumn("raw", F.expr(MESSY_DATE))
+    return casts.apply_casts(
+        orders, {"contract_date": (casts.contract_date, F.col("raw")), "free_date": (casts.free_date, F.col("raw"))},
+        keep=["o_orderkey", "raw"])
 
 
 @query(f"""

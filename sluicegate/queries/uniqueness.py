@@ -134,7 +134,7 @@ _CAST = {
     "supplier": (casts.free_long, "l_suppkey"),
     "quantity": (casts.contract_float, "l_quantity"),
     "price": (casts.contract_decimal, "l_extendedprice"),
-    "flag": (lambda c: F.nullif(c, F.lit("R")), "l_returnflag"),
+    "flag": (casts.Cast(lambda c: F.nullif(c, F.lit("R"))), "l_returnflag"),
     "ship_date": (casts.contract_date, "l_shipdate"),
 }
 IMPORT_KEY = ["order_key", "line_number"]
@@ -142,8 +142,8 @@ IMPORT_ORDER = ["part", "supplier", "quantity", "price", "flag", "ship_date"]
 
 
 def import_rows(spark, folder):
-    return table(spark, folder, "lineitem").select(
-        *[cast(F.col(source).cast("string")).alias(name) for name, (cast, source) in _CAST.items()])
+    cells = {name: (cast, F.col(source).cast("string")) for name, (cast, source) in _CAST.items()}
+    return casts.apply_casts(table(spark, folder, "lineitem"), cells)
 
 
 def import_valid():
