@@ -86,7 +86,7 @@ def _clean_float(c: Column) -> Column:
     return _first_replaced(_first_replaced(_no_spaces(c), "%", ""), ",", ".")
 
 
-def _parse_number(text: Column) -> Column:
+def parse_number(text: Column) -> Column:
     """Double from plain decimal or scientific notation, else NULL; may be infinite."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
@@ -111,38 +111,38 @@ def _to_int(value: Column) -> Column:
 
 def _parse_long(text: Column) -> Column:
     """Whole numbers keep every digit; others go through the double."""
-    rounded = round_half_up(_parse_number(text))
+    rounded = round_half_up(parse_number(text))
     return F.when(text.rlike(WHOLE), text.try_cast("bigint")).otherwise(
         F.when(F.abs(rounded) < LONG_LIMIT, rounded))
 
 
-def _iso_day(text: Column) -> Column:
-    return F.when(text.rlike(ISO_DAY), F.substring(text, 1, 10).try_cast("date"))
-
-
 def _zoned_day(text: Column) -> Column:
     """UTC day of a date-time with a zone."""
     return F.date_from_unix_date(F.floor(F.unix_seconds(text.try_cast("timestamp")) / SECONDS_PER_DAY).cast("int"))
 
 
-def _parse_iso(text: Column) -> Column:
-    return _iso_day(text).when(text.rlike(ISO_ZONED), _zoned_day(text))
+def parse_iso(text: Column) -> Column:
+    dashed = F.substring(text, 5, 1) == "-"  # spares other text the patterns
+    return (
+        F.when(dashed & text.rlike(ISO_DAY), F.substring(text, 1, 10).try_cast("date"))
+        .when(dashed & text.rlike(ISO_ZONED), _zoned_day(text))
+    )
 
 
 def _parse_day_first(text: Column) -> Column:
     """``D.M.YYYY`` or one of the ISO forms; anything else is NULL."""
     turned = F.regexp_replace(text, DAY_FIRST, "$3-$2-$1")
-    return _parse_iso(text).when(text.rlike(DAY_FIRST), turned.try_cast("date"))
+    return parse_iso(text).when(text.rlike(DAY_FIRST), turned.try_cast("date"))
 
 
-contract_int = Cast(_clean_int, _parse_number, _to_int)  # " 1 234,5 " -> 1235
-contract_float = Cast(_clean_float, _parse_number, _finite)  # one % dropped, no division
+contract_int = Cast(_clean_int, parse_number, _to_int)  # " 1 234,5 " -> 1235
+contract_float = Cast(_clean_float, parse_number, _finite)  # one % dropped, no division
 contract_decimal = Cast(_clean_float, _parse_decimal)
 contract_date = Cast(trimmed, _parse_day_first)
-free_int = Cast(trimmed, _parse_number, _to_int)
+free_int = Cast(trimmed, parse_number, _to_int)
 free_long = Cast(trimmed, _parse_long)
-free_float = Cast(trimmed, _parse_number, _finite)
-free_date = Cast(trimmed, _parse_iso)
+free_float = Cast(trimmed, parse_number, _finite)
+free_date = Cast(trimmed, parse_iso)
 
 
 contract_text = Cast(lambda c: trimmed(null_if_empty(c)))

@@ -24,22 +24,23 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     empty column is NVARCHAR(255).
     """
     columns = columns or [c for c in df.columns if c not in BOOKKEEPING]
-    wanted, aggs = {}, []
+    cells, parsed, aggs = [], [], []
     for i, name in enumerate(columns):
         cell = F.col(names.quoted(name)).cast("string")
-        wanted[f"c{i}"] = (casts.free_text, cell)
-        wanted[f"v{i}"] = (casts.free_float, cell)
-        wanted[f"t{i}"] = (casts.free_date, cell)
+        cells += [F.length(casts.null_if_empty(cell)).alias(f"l{i}"), casts.trimmed(cell).alias(f"c{i}")]
+        text = F.col(f"c{i}")
+        parsed += [F.col(f"l{i}"), casts.parse_number(text).alias(f"v{i}"), casts.parse_iso(text).alias(f"t{i}")]
         number = F.col(f"v{i}")
         aggs += [
-            F.count(f"c{i}").alias(f"n{i}"),
+            F.count(f"l{i}").alias(f"n{i}"),
             F.count(f"t{i}").alias(f"d{i}"),
             F.count(number).alias(f"f{i}"),
             F.count_if(F.floor(number) == number).alias(f"w{i}"),
             F.coalesce(F.max(F.abs(number)), F.lit(0.0)).alias(f"m{i}"),
-            F.coalesce(F.max(F.length(f"c{i}")), F.lit(0)).alias(f"l{i}"),
+            F.coalesce(F.max(f"l{i}"), F.lit(0)).alias(f"x{i}"),
         ]
-    totals = casts.apply_casts(df, wanted).agg(*aggs)
+    # Cells are cleaned once, then parsed once; only counts and maxima are shuffled.
+    totals = df.select(*cells).select(*parsed).agg(*aggs)
 
     lines = []
     for i, name in enumerate(columns):
@@ -50,13 +51,13 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             .when(dates == n, F.lit("DATE"))
             .when((numbers == n) & (F.col(f"w{i}") == n), whole)
             .when(numbers == n, F.lit("FLOAT"))
-            .when(F.col(f"l{i}") > LONG_TEXT, F.lit("NVARCHAR(MAX)"))
+            .when(F.col(f"x{i}") > LONG_TEXT, F.lit("NVARCHAR(MAX)"))
             .otherwise(F.lit("NVARCHAR(255)"))
         )
         lines.append(F.struct(
             F.lit(i).alias("position"), F.lit(name).alias("column_name"),
             inferred.alias("inferred_type"), n.alias("non_empty"),
-            F.col(f"l{i}").cast("long").alias("max_len")))
+            F.col(f"x{i}").cast("long").alias("max_len")))
     return totals.select(F.explode(F.array(*lines)).alias("c")).select("c.*")
 
 

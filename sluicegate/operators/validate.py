@@ -103,14 +103,13 @@ def expand_occurrences(errors: DataFrame, count: str = "occurrences") -> DataFra
     Two steps, so that one line with a huge count neither builds a huge array nor stays in
     one task: first one line per chunk, spread over the cluster, then the chunk itself.
     """
-    chunks = F.ceil(F.col(count) / EXPLODE_CHUNK).cast("int")
-    spread = (
+    last = (F.ceil(F.col(count) / EXPLODE_CHUNK) - 1).cast("int")
+    left = F.col(count) - F.col("_chunk") * EXPLODE_CHUNK
+    chunks = (
         errors.filter(F.col(count) > 0)
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .withColumn("_size", F.least(
-            F.lit(EXPLODE_CHUNK), F.col(count) - F.col("_chunk") * EXPLODE_CHUNK).cast("int"))
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("_size", F.least(F.lit(EXPLODE_CHUNK), left).cast("int"))
+        .repartition(F.xxhash64(*errors.columns, "_chunk"))
     )
-    one_each = spread.filter(F.col("_size") == 1)
-    more = spread.filter(F.col("_size") > 1).repartition(F.col("_chunk"), F.xxhash64(*errors.columns))
-    repeated = more.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_size")))).drop("_n")
-    return one_each.unionByName(repeated).drop("_chunk", "_size", count)
+    repeated = chunks.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_size"))))
+    return repeated.drop("_chunk", "_size", "_n", count)

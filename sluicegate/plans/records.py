@@ -58,21 +58,23 @@ def check_records(raw: DataFrame, target: DataFrame, row: str, scope: Sequence[s
     flagged = dedup.flag_copies(checked.withColumn("_alone", alone), [*scope, *RECORD_KEY, "_alone"], [row])
     copies = F.when(F.col(dedup.IS_FIRST), F.col(dedup.LATER_COPIES)).otherwise(F.lit(1)).cast("long")
     counted = flagged.withColumn("duplicate_errors", copies)
+    # A clean row is the only one with its key, so looking up clean rows covers every row
+    # that carries a found key.
     clean = validate.is_valid() & (F.col("duplicate_errors") == 0)
-    known = dedup.mark_existing_keys(counted, clean, target, RECORD_KEY)
-    exists = validate.error_if(F.col("key_exists"), messages.DUPLICATE_FIELD, messages.RECORD_EXISTS)
+    known = dedup.mark_in_target(counted, target, RECORD_KEY, "_known", when=clean)
+    exists = validate.error_if(F.col("_known"), messages.DUPLICATE_FIELD, messages.RECORD_EXISTS)
     return known.withColumn(validate.ERRORS, F.concat(validate.ERRORS, exists)).drop(
-        "_alone", "key_exists", dedup.IS_FIRST, dedup.LATER_COPIES)
+        "_alone", "_known", dedup.IS_FIRST, dedup.LATER_COPIES)
 
 
 def record_errors(checked: DataFrame, *keys: str) -> DataFrame:
     """The error ledger of a batch: one line per error, duplicates repeated as counted."""
-    own = validate.error_table(checked, *keys)
-    copies = checked.filter(F.col("duplicate_errors") > 0).select(
-        *keys, F.lit(messages.DUPLICATE_FIELD).alias("field_name"),
-        F.lit(messages.DUPLICATE_IN_FILE).alias("error_message"),
-        F.col("duplicate_errors").alias("occurrences"))
-    return own.unionByName(validate.expand_occurrences(copies))
+    copies = validate.error_if(
+        F.col("duplicate_errors") > 0, messages.DUPLICATE_FIELD, messages.DUPLICATE_IN_FILE)
+    lines = checked.select(*keys, "duplicate_errors", F.explode(F.concat(validate.ERRORS, copies)).alias("e"))
+    repeated = F.when(F.col("e.error_message") == messages.DUPLICATE_IN_FILE, F.col("duplicate_errors"))
+    return validate.expand_occurrences(lines.select(
+        *keys, "e.field_name", "e.error_message", F.coalesce(repeated, F.lit(1)).alias("occurrences")))
 
 
 def accepted_records(checked: DataFrame, *keys: str) -> DataFrame:

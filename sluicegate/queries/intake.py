@@ -116,8 +116,8 @@ def table_name_from_path(spark, folder):
     return table(spark, folder, "pages").select("page_id", text.table_name_from_path(F.col("url")).alias("table_name"))
 
 
-_CYRILLIC_PAIRS = [("sh", "ш"), ("ch", "ч"), ("a", "а"), ("e", "е"), ("n", "н"), ("o", "о"),
-                   ("r", "р"), ("t", "т"), ("T", "Т"), ("E", "Э"), ("L", "Щ"), ("q", "ь"), ("u", "ю")]
+_LATIN, _LETTERS = "aenortTELqu", "аенортТЭЩью"
+_CYRILLIC_TEXT = f"translate(replace(replace(text, 'sh', 'ш'), 'ch', 'ч'), '{_LATIN}', '{_LETTERS}')"
 
 
 def _replace_all(expression: str, pairs) -> str:
@@ -127,11 +127,9 @@ def _replace_all(expression: str, pairs) -> str:
 
 
 @query("SELECT doc_id, {} AS text FROM documents".format(
-    _replace_all(_replace_all("text", _CYRILLIC_PAIRS), text.CYRILLIC_TO_LATIN.items())))
+    _replace_all(_CYRILLIC_TEXT, text.CYRILLIC_TO_LATIN.items())))
 def transliterate(spark, folder):
-    cyrillic = F.col("text")
-    for latin, letter in _CYRILLIC_PAIRS:
-        cyrillic = F.replace(cyrillic, F.lit(latin), F.lit(letter))
+    cyrillic = F.expr(_CYRILLIC_TEXT)
     return table(spark, folder, "documents").select("doc_id", text.transliterate(cyrillic).alias("text"))
 
 

@@ -151,10 +151,15 @@ def import_valid():
     return filled[0] & filled[1] & filled[2] & filled[3] & F.col("quantity").between(1, 45)
 
 
-def previous_load(spark, folder, rows):
-    """Rows of an earlier load: the first fifteenth of the order keys."""
+def previous_load(spark, folder):
+    """Rows of an earlier load, stored typed: the first fifteenth of the order keys."""
     bound = table(spark, folder, "orders").agg(F.count(F.lit(1)) / 15).scalar()
-    return rows.filter(F.col("order_key") < bound)
+    stored = table(spark, folder, "lineitem").filter(F.col("l_orderkey") < bound)
+    return stored.select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line_number"),
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
+        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").cast("decimal(10,2)").alias("price"),
+        F.nullif("l_returnflag", F.lit("R")).alias("flag"), F.col("l_shipdate").cast("date").alias("ship_date"))
 
 
 @query("""
@@ -178,5 +183,5 @@ def import_outcomes(spark, folder):
     """One outcome per incoming line, counted."""
     rows = import_rows(spark, folder)
     labelled = assign_outcomes(
-        rows, import_valid(), IMPORT_KEY, IMPORT_ORDER, previous_load(spark, folder, rows), list(_CAST))
+        rows, import_valid(), IMPORT_KEY, IMPORT_ORDER, previous_load(spark, folder), list(_CAST))
     return reports.count_by(labelled, OUTCOME)
