@@ -34,9 +34,19 @@ def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _begins_inside(c: Column) -> Column:
+    """The first character lies between the white-space code points below U+1680."""
+    return ((c >= "!") & (c < "\u00a0")) | ((c >= "\u00a1") & (c < "\u1680"))
+
+
 def trimmed(c: Column) -> Column:
-    """Trim every kind of white space, not only the ASCII blank."""
-    return F.btrim(c, F.lit(SPACES))
+    """Trim every kind of white space, not only the ASCII blank.
+
+    Trimming a set of characters walks the whole text, so text with a visible character at
+    both ends is passed through.
+    """
+    clean = _begins_inside(c) & _begins_inside(F.substring(c, -1, 1))
+    return F.when(clean, c).otherwise(F.btrim(c, F.lit(SPACES)))
 
 
 def is_filled(c: Column) -> Column:
@@ -79,11 +89,14 @@ def _first_replaced(c: Column, mark: str, by: str) -> Column:
 
 
 def _clean_int(c: Column) -> Column:
-    return _first_replaced(_no_spaces(c), ",", ".")
+    """Drop white space, turn the first comma into a point; plain numbers pass through."""
+    return F.when(c.rlike(NUMBER), c).otherwise(_first_replaced(_no_spaces(c), ",", "."))
 
 
 def _clean_float(c: Column) -> Column:
-    return _first_replaced(_first_replaced(_no_spaces(c), "%", ""), ",", ".")
+    """As for whole numbers, with the first percent sign dropped."""
+    bare = _first_replaced(_no_spaces(c), "%", "")
+    return F.when(c.rlike(NUMBER), c).otherwise(_first_replaced(bare, ",", "."))
 
 
 def parse_number(text: Column) -> Column:
