@@ -41,14 +41,15 @@ def sanitize_name(raw: str | None) -> str:
     return text[:IDENTIFIER_LIMIT] or "col"
 
 
-def unique_names(candidates: Iterable[str]) -> list[str]:
+def unique_names(candidates: Iterable[str], positions: Iterable[int] | None = None) -> list[str]:
     """Make names unique without regard to case; a clash gets ``_<position>``.
 
     Unlike a single suffix, the suffixed name is checked again until it is free.
     """
+    candidates = list(candidates)
     used: set[str] = set()
     out = []
-    for position, name in enumerate(candidates):
+    for position, name in zip(positions or range(len(candidates)), candidates):
         chosen, suffix = name, position
         while chosen.lower() in used:
             chosen = f"{name}_{suffix}"

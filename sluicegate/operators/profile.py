@@ -68,6 +68,7 @@ def inferred_contract(df: DataFrame, table: str, columns: Sequence[str] | None =
     """
     profile = infer_schema(df, columns).orderBy("position").collect()
     filled = [r for r in profile if r["non_empty"] > 0]
-    safe = names.unique_names([names.sanitize_name(r["column_name"]) for r in filled])
+    safe = names.unique_names(
+        [names.sanitize_name(r["column_name"]) for r in filled], [r["position"] for r in filled])
     fields = tuple(Field(r["column_name"], n, r["inferred_type"]) for r, n in zip(filled, safe))
     return Contract(id=f"free:{table}", title=table, table=names.sanitize_name(table), fields=fields, flow="free")

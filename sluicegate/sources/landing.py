@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sluicegate.functions.casts import null_if_empty
-from sluicegate.functions.names import is_named, quoted
+from sluicegate.functions.names import is_named, quoted, unique_names
 
 FILE, BLOCK, POSITION, ROW_NUMBER = "_file", "_block", "_position", "row_number"
 BOOKKEEPING = (FILE, ROW_NUMBER)
@@ -39,14 +39,27 @@ def scan(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", **op
     Files of one call must share a header; a CSV file that differs is refused by the
     reader (``enforceSchema=false``) instead of being shifted silently.
     """
-    reader = spark.read.format(fmt)
+    paths = paths if isinstance(paths, str) else list(paths)
+    reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        reader = reader.options(header=True, inferSchema=False, enforceSchema=False, escape='"')
-    elif fmt == "json":
+        reader = reader.options(inferSchema=False, escape='"')
+        first = reader.load(paths).first()
+        if first is None:
+            raise EmptyInput("the files are empty")
+        header = _column_names([cell or "" for cell in first])
+        clash = len({h.lower() for h in first if h}) < len([h for h in first if h])
+        schema = ", ".join(f"{quoted(h)} string" for h in header)
+        # Repeated headers are told apart by their place, which the reader cannot compare.
+        return reader.options(header=True, enforceSchema=clash).schema(schema).load(paths)
+    if fmt == "json":
         reader = reader.option("primitivesAsString", True)
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.load(paths if isinstance(paths, str) else list(paths))
+    return reader.load(paths)
+
+
+def _column_names(header: Sequence[str]) -> list[str]:
+    """Header cells as column names: blank ones ``_cN``, repeated ones with a suffix."""
+    named = iter(unique_names([h for h in header if is_named(h)]))
+    return [next(named) if is_named(h) else f"_c{i}" for i, h in enumerate(header)]
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:
