@@ -95,7 +95,7 @@ def cast_date(spark, folder):
     SELECT doc_id, trim(v, {SQL_SPACES}) AS contract_text, v AS free_text, trim(v, {SQL_SPACES}) AS legacy_text
     FROM (SELECT doc_id, concat(chr(160), chr(9), text, chr(8195), ' ') AS v FROM documents)""")
 def cast_text(spark, folder):
-    raw = F.concat(F.lit(" \t"), "text", F.lit("  "))
+    raw = F.concat(F.lit("\u00a0\t"), "text", F.lit("\u2003 "))
     return table(spark, folder, "documents").select(
         "doc_id", casts.contract_text(raw).alias("contract_text"), casts.free_text(raw).alias("free_text"),
         casts.legacy_text(raw).alias("legacy_text"))
