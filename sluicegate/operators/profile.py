@@ -24,12 +24,8 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     empty column is NVARCHAR(255).
     """
     columns = columns or [c for c in df.columns if c not in BOOKKEEPING]
-    cells, parsed, aggs = [], [], []
-    for i, name in enumerate(columns):
-        cell = F.col(names.quoted(name)).cast("string")
-        cells += [F.length(casts.null_if_empty(cell)).alias(f"l{i}"), casts.trimmed(cell).alias(f"c{i}")]
-        text = F.col(f"c{i}")
-        parsed += [F.col(f"l{i}"), casts.parse_number(text).alias(f"v{i}"), casts.parse_iso(text).alias(f"t{i}")]
+    aggs = []
+    for i in range(len(columns)):
         number = F.col(f"v{i}")
         aggs += [
             F.count(f"l{i}").alias(f"n{i}"),
@@ -39,8 +35,8 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             F.coalesce(F.max(F.abs(number)), F.lit(0.0)).alias(f"m{i}"),
             F.coalesce(F.max(f"l{i}"), F.lit(0)).alias(f"x{i}"),
         ]
-    # Cells are cleaned once, then parsed once; only counts and maxima are shuffled.
-    totals = df.select(*cells).select(*parsed).agg(*aggs)
+    # Only counts and maxima are shuffled.
+    totals = _parsed(df, columns).agg(*aggs)
 
     lines = []
     for i, name in enumerate(columns):
@@ -61,6 +57,27 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return totals.select(F.explode(F.array(*lines)).alias("c")).select("c.*")
 
 
+def _parsed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column i its length ``l``, number ``v`` and date ``t``; each cell is cleaned once
+    and parsed once, a few columns per projection as in ``casts.apply_casts``."""
+    held = [[F.col(names.quoted(c)).cast("string").alias(f"c{i}")] for i, c in enumerate(columns)]
+    out = df.select(*[c for cells in held for c in cells])
+    held = [[F.col(f"c{i}")] for i in range(len(columns))]
+    for start in range(0, len(columns), casts.COLUMNS_PER_STEP):
+        group = range(start, min(start + casts.COLUMNS_PER_STEP, len(columns)))
+        for i in group:
+            cell = F.col(f"c{i}")
+            held[i] = [F.length(casts.null_if_empty(cell)).alias(f"l{i}"), casts.trimmed(cell).alias(f"c{i}")]
+        out = out.select(*[c for cells in held for c in cells])
+        for i in group:
+            text = F.col(f"c{i}")
+            held[i] = [F.col(f"l{i}"), casts.parse_number(text).alias(f"v{i}"), casts.parse_iso(text).alias(f"t{i}")]
+        out = out.select(*[c for cells in held for c in cells])
+        for i in group:
+            held[i] = [F.col(f"l{i}"), F.col(f"v{i}"), F.col(f"t{i}")]
+    return out
+
+
 def inferred_contract(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> Contract:
     """Contract of a free file: blank columns left out, safe and unique names.
 

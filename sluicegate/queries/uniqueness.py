@@ -153,7 +153,7 @@ def import_valid():
 
 def previous_load(spark, folder):
     """Rows of an earlier load, stored typed: the first fifteenth of the order keys."""
-    bound = table(spark, folder, "orders").agg(F.count(F.lit(1)) / 15).scalar()
+    bound = table(spark, folder, "orders").agg(F.ceil(F.count(F.lit(1)) / 15)).scalar()
     stored = table(spark, folder, "lineitem").filter(F.col("l_orderkey") < bound)
     return stored.select(
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("long").alias("line_number"),
