@@ -116,17 +116,17 @@ def mark_in_target(df: DataFrame, target: DataFrame, on: Sequence[str], flag: st
     """Add ``flag``: an equal row is in the target, and ``when`` holds.
 
     Rows outside ``when`` need no answer.  They get a probe number that the target does not
-    have and are spread by it, so copies of one row do not meet in one task.
+    have and are spread by it, so copies of one row do not meet in one task.  The number is
+    that of their partition: unlike a row counter it is the same when a task runs again.
     """
     lookup = _distinct_keys(target, on).withColumn(flag, F.lit(True))
     if when is None:
         marked = null_safe_join(df, lookup, on, "left")
     else:
-        spread = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_partitions(df.sparkSession)))
-        probe = F.when(when, F.lit(0).cast("long")).otherwise(spread)
+        probe = F.when(when, F.lit(0)).otherwise(1 + F.spark_partition_id())
         marked = null_safe_join(
             df.withColumn("_probe", probe),
-            lookup.withColumn("_probe", F.lit(0).cast("long")), [*on, "_probe"], "left").drop("_probe")
+            lookup.withColumn("_probe", F.lit(0)), [*on, "_probe"], "left").drop("_probe")
     return marked.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 

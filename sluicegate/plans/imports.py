@@ -21,7 +21,7 @@ from sluicegate.plans.outcomes import ACCEPTED, DUP_IN_BATCH, DUP_IN_TARGET, INV
 from sluicegate.plans.store import LOAD, Store
 from sluicegate.sources import landing, workbooks
 from sluicegate.sources.landing import FILE, ROW_NUMBER
-from sluicegate.session import shuffle_partitions, work_folder
+from sluicegate.session import work_folder
 
 MAX_FILES_PER_LOAD = 100_000
 ALREADY_LOADED = "this file was loaded before"
@@ -96,9 +96,8 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
     in_file = dedup.flag_copies(checked, [FILE, "_valid", *keys], [ROW_NUMBER])
     head = F.col("_valid") & F.col(dedup.IS_FIRST)
     # A key has one head per file at most, so heads may meet; the other rows are spread.
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_partitions(rows.sparkSession)))
     meeting = in_file.withColumn("_head", head).withColumn(
-        "_place", F.when(F.col("_head"), F.lit(-1)).otherwise(spread))
+        "_place", F.when(F.col("_head"), F.lit(-1)).otherwise(F.spark_partition_id()))
     across = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(FILE, ROW_NUMBER)
     led = meeting.withColumn("_leader", F.col("_head") & (F.row_number().over(across) == 1))
     probed = dedup.mark_in_target(led, target, keys, "_known", when=F.col("_leader"))
