@@ -150,8 +150,8 @@ def preview(df: DataFrame, order: Sequence[str], count: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(count)
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+def list_files(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
 
 
 def fingerprint_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:

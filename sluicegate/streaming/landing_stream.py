@@ -17,21 +17,28 @@ from pyspark.sql.streaming import StreamingQuery
 from sluicegate.contracts import Contract
 from sluicegate.plans.imports import import_files
 from sluicegate.plans.store import Store
+from sluicegate.sources.landing import list_files
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def start_landing(store: Store, path: str, contract: Contract, by: str, checkpoint: str,
                   name: str, fmt: str = "csv", glob: str = "*.csv", files_per_batch: int = 1000,
                   rules: Sequence[Column] = (), **options) -> StreamingQuery:
     """Import what is in the folder now, in micro-batches, and stop when done."""
-    def load(files: DataFrame, number: int) -> None:
-        import_files(store, files, contract, by, fmt=fmt, load_id=f"s-{name}-{number}",
-                     rules=rules, **options)
+    def load(arrived: DataFrame, number: int) -> None:
+        # At most ``files_per_batch`` paths; the files themselves are read by the import.
+        paths = [r["path"] for r in arrived.collect()]
+        if paths:
+            import_files(store, list_files(store.spark, paths), contract, by, fmt=fmt,
+                         load_id=f"s-{name}-{number}", rules=rules, **options)
 
     arriving = (
-        store.spark.readStream.format("binaryFile")
+        store.spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
+        .select("path")
     )
     return (
         arriving.writeStream.foreachBatch(load)
