@@ -24,58 +24,36 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     empty column is NVARCHAR(255).
     """
     columns = columns or [c for c in df.columns if c not in BOOKKEEPING]
-    aggs = []
-    for i in range(len(columns)):
-        number = F.col(f"v{i}")
-        aggs += [
-            F.count(f"l{i}").alias(f"n{i}"),
-            F.count(f"t{i}").alias(f"d{i}"),
-            F.count(number).alias(f"f{i}"),
-            F.count_if(F.floor(number) == number).alias(f"w{i}"),
-            F.coalesce(F.max(F.abs(number)), F.lit(0.0)).alias(f"m{i}"),
-            F.coalesce(F.max(f"l{i}"), F.lit(0)).alias(f"x{i}"),
-        ]
-    # Only counts and maxima are shuffled.
-    totals = _parsed(df, columns).agg(*aggs)
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.col(names.quoted(c)).cast("string").alias("cell"))
+        for i, c in enumerate(columns)])
+    # One small set of expressions for all columns; each task sends one row per column.
+    long = df.select(F.explode(cells).alias("e")).select("e.position", "e.cell")
+    clean = long.select("position", F.length(casts.null_if_empty(F.col("cell"))).alias("size"),
+                        casts.trimmed(F.col("cell")).alias("text"))
+    parsed = clean.select("position", "size", casts.parse_number(F.col("text")).alias("number"),
+                          casts.parse_iso(F.col("text")).alias("day"))
+    number = F.col("number")
+    totals = parsed.groupBy("position").agg(
+        F.count("size").alias("filled"), F.count("day").alias("days"), F.count(number).alias("numbers"),
+        F.count_if(F.floor(number) == number).alias("whole"), F.max(F.abs(number)).alias("largest"),
+        F.max("size").alias("longest"))
 
-    lines = []
-    for i, name in enumerate(columns):
-        n, dates, numbers = F.col(f"n{i}"), F.col(f"d{i}"), F.col(f"f{i}")
-        whole = F.when(F.col(f"m{i}") >= INT_LIMIT, F.lit("BIGINT")).otherwise(F.lit("INT"))
-        inferred = (
-            F.when(n == 0, F.lit("NVARCHAR(255)"))
-            .when(dates == n, F.lit("DATE"))
-            .when((numbers == n) & (F.col(f"w{i}") == n), whole)
-            .when(numbers == n, F.lit("FLOAT"))
-            .when(F.col(f"x{i}") > LONG_TEXT, F.lit("NVARCHAR(MAX)"))
-            .otherwise(F.lit("NVARCHAR(255)"))
-        )
-        lines.append(F.struct(
-            F.lit(i).alias("position"), F.lit(name).alias("column_name"),
-            inferred.alias("inferred_type"), n.alias("non_empty"),
-            F.col(f"x{i}").cast("long").alias("max_len")))
-    return totals.select(F.explode(F.array(*lines)).alias("c")).select("c.*")
-
-
-def _parsed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column i its length ``l``, number ``v`` and date ``t``; each cell is cleaned once
-    and parsed once, a few columns per projection as in ``casts.apply_casts``."""
-    held = [[F.col(names.quoted(c)).cast("string").alias(f"c{i}")] for i, c in enumerate(columns)]
-    out = df.select(*[c for cells in held for c in cells])
-    held = [[F.col(f"c{i}")] for i in range(len(columns))]
-    for start in range(0, len(columns), casts.COLUMNS_PER_STEP):
-        group = range(start, min(start + casts.COLUMNS_PER_STEP, len(columns)))
-        for i in group:
-            cell = F.col(f"c{i}")
-            held[i] = [F.length(casts.null_if_empty(cell)).alias(f"l{i}"), casts.trimmed(cell).alias(f"c{i}")]
-        out = out.select(*[c for cells in held for c in cells])
-        for i in group:
-            text = F.col(f"c{i}")
-            held[i] = [F.col(f"l{i}"), casts.parse_number(text).alias(f"v{i}"), casts.parse_iso(text).alias(f"t{i}")]
-        out = out.select(*[c for cells in held for c in cells])
-        for i in group:
-            held[i] = [F.col(f"l{i}"), F.col(f"v{i}"), F.col(f"t{i}")]
-    return out
+    whole = F.when(F.col("largest") >= INT_LIMIT, F.lit("BIGINT")).otherwise(F.lit("INT"))
+    n = F.coalesce("filled", F.lit(0)).cast("long")
+    inferred = (
+        F.when(n == 0, F.lit("NVARCHAR(255)"))
+        .when(F.col("days") == n, F.lit("DATE"))
+        .when((F.col("numbers") == n) & (F.col("whole") == n), whole)
+        .when(F.col("numbers") == n, F.lit("FLOAT"))
+        .when(F.col("longest") > LONG_TEXT, F.lit("NVARCHAR(MAX)"))
+        .otherwise(F.lit("NVARCHAR(255)"))
+    )
+    # An empty table still has its columns.
+    listed = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
+    return listed.join(totals, "position", "left").select(
+        "position", "column_name", inferred.alias("inferred_type"), n.alias("non_empty"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("max_len"))
 
 
 def inferred_contract(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> Contract:
