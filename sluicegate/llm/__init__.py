@@ -1,9 +1,21 @@
 """Operations of a training-data pipeline; nothing else in the library imports them."""
 
-from sluicegate.llm import exact_dedup, mixing
+from sluicegate.llm import (
+    chunk_bpe,
+    exact_dedup,
+    lang_id,
+    mixing,
+    ngram_lm,
+    permutation_index,
+    pii_feistel,
+    secret_scan,
+    suffix_dedup,
+    superminhash,
+)
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (exact_dedup, mixing):
+for _module in (pii_feistel, ngram_lm, suffix_dedup, permutation_index, chunk_bpe, superminhash, secret_scan,
+                exact_dedup, mixing, lang_id):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

@@ -144,7 +144,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         routed.groupBy("sha").agg(F.min(best).getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
         .join(verified, "sha").where("equal"))
     # A digest of one fingerprint may share it with another text: such a row has no group or one of its own.
-    out = rows.join(groups, "sha", "left")
+    # The groups are written so that the join reads them as they are and can split a hot one.
+    out = rows.join(written(groups, "exact-groups"), "sha", "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
