@@ -6,6 +6,8 @@ A key may cover a large share of a batch, so nothing here gathers the rows of on
   task before the shuffle (WindowGroupLimit).
 * ``flag_copies`` ranks in two steps.  Copies are first ranked per key and input
   partition, then only the winners of those are ranked per key.
+* A target is looked up by the hash of its rows first: only hashes are compared with the whole
+  target, full columns only where a hash occurs on both sides.
 * ``null_safe_join`` compares with ``<=>``, which Spark plans as an equi-join with a
   shuffle directly under both sides, so adaptive execution can split a hot key.  The
   lookup side is reduced to distinct keys before its shuffle.
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sluicegate import messages
 from sluicegate.functions.names import quoted
 from sluicegate.functions.text import row_preview
-from sluicegate.session import shuffle_partitions
 
 IS_FIRST, LATER_COPIES = "is_first", "later_copies"
+ROW_HASH = "_row_hash"
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -41,11 +43,9 @@ def flag_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     """Add ``is_first`` and ``later_copies`` (on the first row of a key, else 0).
 
     A row that loses inside its own input partition is a later copy for certain and stays
-    in its small group; the second ranking sees at most one row per key and partition
-    group.
+    in its small group; the second ranking sees at most one row per key and partition.
     """
-    groups = shuffle_partitions(df.sparkSession)
-    salted = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    salted = df.withColumn("_group", F.spark_partition_id())
     near = Window.partitionBy(*_cols(keys), "_group")
     local = salted.withColumn("_near", F.row_number().over(near.orderBy(*order))).withColumn(
         "_size", F.count(F.lit(1)).over(near))
@@ -98,10 +98,29 @@ def null_safe_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: s
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{c}" for c in on])
 
 
+def row_hash(df: DataFrame, on: Sequence[str]) -> Column:
+    """Hash of the compared columns; rows that are equal, NULL = NULL, have equal hashes."""
+    kinds = dict(df.dtypes)
+    # Adding 0.0 makes negative zero positive, as comparison does.
+    return F.xxhash64(*[
+        F.col(quoted(c)) + F.lit(0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(quoted(c))
+        for c in sorted(on)])
+
+
 def _distinct_keys(target: DataFrame, on: Sequence[str]) -> DataFrame:
     return target.select(*_cols(on)).distinct()
 
 
+def matching_keys(target: DataFrame, on: Sequence[str], probes: DataFrame) -> DataFrame:
+    """Distinct target rows whose hash is among the hashes of ``probes`` (column ``_row_hash``).
+
+    The first join moves hashes only; the rows themselves are read where one was found.
+    """
+    stored = target if ROW_HASH in target.columns else target.withColumn(ROW_HASH, row_hash(target, on))
+    shared = stored.select(ROW_HASH).join(probes.select(ROW_HASH).distinct(), ROW_HASH, "left_semi").distinct()
+    return _distinct_keys(stored.join(shared, ROW_HASH, "left_semi"), on)
+
+
 def not_in_target(df: DataFrame, target: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows without an equal row in the target."""
     return null_safe_join(df, _distinct_keys(target, on), on, "left_anti")
@@ -112,14 +131,18 @@ def in_target(df: DataFrame, target: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def mark_in_target(df: DataFrame, target: DataFrame, on: Sequence[str], flag: str,
-                   when: Column | None = None) -> DataFrame:
+                   when: Column | None = None, probes: DataFrame | None = None) -> DataFrame:
     """Add ``flag``: an equal row is in the target, and ``when`` holds.
 
     Rows outside ``when`` need no answer.  They get a probe number that the target does not
     have and are spread by it, so copies of one row do not meet in one task.  The number is
     that of their partition: unlike a row counter it is the same when a task runs again.
+
+    ``probes`` are written rows with the hashes of ``df``; the types of the compared columns
+    must then be those of the target.
     """
-    lookup = _distinct_keys(target, on).withColumn(flag, F.lit(True))
+    lookup = _distinct_keys(target, on) if probes is None else matching_keys(target, on, probes)
+    lookup = lookup.withColumn(flag, F.lit(True))
     if when is None:
         marked = null_safe_join(df, lookup, on, "left")
     else:

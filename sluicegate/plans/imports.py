@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluicegate import messages
@@ -20,56 +19,44 @@ from sluicegate.operators import dedup, profile, validate
 from sluicegate.plans.outcomes import ACCEPTED, DUP_IN_BATCH, DUP_IN_TARGET, INVALID, OUTCOME
 from sluicegate.plans.store import LOAD, Store
 from sluicegate.sources import landing, workbooks
-from sluicegate.sources.landing import FILE, ROW_NUMBER
-from sluicegate.session import work_folder
+from sluicegate.sources.landing import FILE, ROW_NUMBER, Landing
+from sluicegate.session import work_folder, written
 
-MAX_FILES_PER_LOAD = 100_000
 ALREADY_LOADED = "this file was loaded before"
-TOO_LARGE = "the file is over the size limit"
 NO_VALID_ROWS = "Импорт не выполнен: нет валидных строк"
 IMPORT_KIND = "Тип импорта: {title}"
 
 
-class TooManyFiles(ValueError):
-    """More new files than one load takes; nothing was loaded."""
-
-
 def new_load_id() -> str:
     return f"l-{uuid.uuid4().hex}"
 
 
-def plan_files(store: Store, files: DataFrame, flow: str) -> tuple[DataFrame, list[str]]:
+def plan_files(store: Store, files: Landing, flow: str) -> DataFrame:
     """Decide per file: ``problem`` NULL means it will be read.
 
-    A file is left out when it is over the limit, was imported through this flow before, or
-    has the same content as another file of this load.  Spark's own file listing holds one
-    entry per file on the driver; the list of paths to read is of the same size, and a load
-    with more than ``MAX_FILES_PER_LOAD`` new files is refused as a whole.
+    A file is left out when it was imported through this flow before, or has the same content
+    as another file of this load.  The plan is written: the files are hashed once.
     """
     prints = landing.fingerprint_files(files)
     known = dedup.mark_in_target(prints, store.loaded_files(flow), ["file_hash"], "_seen")
     ranked = dedup.flag_copies(known, ["file_hash"], ["path"])
-    problem = (
-        F.when(F.col("file_hash").isNull(), F.lit(TOO_LARGE))
-        .when(F.col("_seen") | ~F.col(dedup.IS_FIRST), F.lit(ALREADY_LOADED))
-    )
-    plan = ranked.select(
+    problem = F.when(F.col("_seen") | ~F.col(dedup.IS_FIRST), F.lit(ALREADY_LOADED))
+    return written(ranked.select(
         FILE, "path", "file_name", "file_hash", problem.alias("problem"),
-        F.concat(F.lit(f"{flow}-"), F.substring("file_hash", 1, 16)).alias("batch_id"))
-    plan = plan.persist(StorageLevel.MEMORY_AND_DISK)
-    fresh = plan.filter(F.col("problem").isNull()).select("path").limit(MAX_FILES_PER_LOAD + 1).collect()
-    if len(fresh) > MAX_FILES_PER_LOAD:
-        raise TooManyFiles(f"more than {MAX_FILES_PER_LOAD} new files; load them in parts")
-    return plan, [r["path"] for r in fresh]
+        F.concat(F.lit(f"{flow}-"), F.substring("file_hash", 1, 16)).alias("batch_id")), "plan")
 
 
-def read_landing(store: Store, paths: Sequence[str], fmt: str, contract: Contract | None,
+def read_landing(store: Store, files: Landing, plan: DataFrame, fmt: str, contract: Contract | None,
                  **options) -> tuple[DataFrame, DataFrame]:
-    """Text rows with file and row number, staged once, and the files that failed."""
+    """Text rows with file and row number, staged once, and the files that failed.
+
+    The folder is read as a whole; files that the plan leaves out are taken away by a join.
+    """
     spark = store.spark
     folder = work_folder(spark, "landing")
+    without = plan.filter(F.col("problem").isNotNull())
     if fmt == "xlsx":
-        scanned = workbooks.scan_workbooks(spark, list(paths), by_key=contract is not None)
+        scanned = workbooks.scan_workbooks(files, contract is not None, without, **options)
         scanned.write.mode("overwrite").parquet(folder)
         rows = spark.read.parquet(folder)
         problems = workbooks.sheet_problems(rows)
@@ -79,7 +66,8 @@ def read_landing(store: Store, paths: Sequence[str], fmt: str, contract: Contrac
         else:
             headers = workbooks.sheet_headers(rows)
         return workbooks.sheet_table(workbooks.readable(rows, problems), headers), problems
-    staged = landing.stage(landing.scan(spark, paths, fmt, **options), folder)
+    sample = plan.filter(F.col("problem").isNull()).select("path").first()["path"]
+    staged = landing.stage(landing.scan(files, fmt, sample, **options), folder, without)
     none = spark.createDataFrame([], f"{FILE} string, problem string")
     return landing.number_rows(staged), none
 
@@ -88,11 +76,13 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
     """Typed rows with ``errors`` and ``outcome``, as if files were loaded one by one.
 
     A copy of a row of the same file is dup_in_batch.  A copy of a row of an earlier file
-    or of the target is dup_in_target.  Keys are all data and constant columns.
+    or of the target is dup_in_target.  Keys are all data and constant columns.  The checked
+    rows are written with their hash: they are read for the duplicates and for the look-up.
     """
     keys = contract.column_names
     validated = validate.validate(project(rows, contract, keep=[FILE, ROW_NUMBER]), rules)
     checked = validated.withColumn("_valid", validate.is_valid())
+    checked = written(checked.withColumn(dedup.ROW_HASH, dedup.row_hash(checked, keys)), "checked")
     in_file = dedup.flag_copies(checked, [FILE, "_valid", *keys], [ROW_NUMBER])
     head = F.col("_valid") & F.col(dedup.IS_FIRST)
     # A key has one head per file at most, so heads may meet; the other rows are spread.
@@ -100,7 +90,7 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
         "_place", F.when(F.col("_head"), F.lit(-1)).otherwise(F.spark_partition_id()))
     across = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(FILE, ROW_NUMBER)
     led = meeting.withColumn("_leader", F.col("_head") & (F.row_number().over(across) == 1))
-    probed = dedup.mark_in_target(led, target, keys, "_known", when=F.col("_leader"))
+    probed = dedup.mark_in_target(led, target, keys, "_known", when=F.col("_leader"), probes=checked)
     outcome = (
         F.when(~F.col("_valid"), F.lit(INVALID))
         .when(~F.col("_head"), F.lit(DUP_IN_BATCH))
@@ -159,38 +149,35 @@ def publish(store: Store, classified: DataFrame, contract: Contract, plan: DataF
 
     Order matters: the ledger step that makes the load visible is written last.
     """
-    batch_of = F.broadcast(plan.filter(F.col("problem").isNull()).select(FILE, "batch_id"))
-    rows = classified.join(batch_of, FILE).persist(StorageLevel.MEMORY_AND_DISK)
+    batch_of = plan.filter(F.col("problem").isNull()).select(FILE, "batch_id")
+    rows = written(classified.join(batch_of, FILE), "classified")
+    counts = written(summarize(rows, contract), "counts")
+    ledger = _ledger_rows(plan, problems, counts, contract, by, by_name, messages.VALIDATED)
+    store.record(ledger, load_id, 1)
+
+    errors = validate.error_table(rows, "batch_id", ROW_NUMBER)
+    reason = [(f.header, F.col(quoted(f.name))) for f in contract.fields]
+    in_file, in_store = F.col(OUTCOME) == DUP_IN_BATCH, F.col(OUTCOME) == DUP_IN_TARGET
+    if contract.flow == "contract":
+        copies = rows.filter(in_file).select(
+            "batch_id", ROW_NUMBER, F.lit(messages.DUPLICATE_FIELD).alias("field_name"),
+            F.lit(messages.DUPLICATE_IN_FILE).alias("error_message"))
+        errors = errors.unionByName(copies)
+    store.write_errors(errors, load_id)
+    store.write_skipped(dedup.skipped_rows(rows, in_file, in_store, reason, "batch_id", ROW_NUMBER), load_id)
+
+    accepted = rows.filter(F.col(OUTCOME) == ACCEPTED).select(
+        *[F.col(quoted(c)) for c in contract.column_names],
+        F.col("batch_id").alias("_batch_id"), F.col(ROW_NUMBER).alias("_row_number"),
+        F.current_timestamp().alias("_imported_at"), F.lit(by).alias("_imported_by"), dedup.ROW_HASH)
     try:
-        counts = summarize(rows, contract).persist()
-        ledger = _ledger_rows(plan, problems, counts, contract, by, by_name, messages.VALIDATED)
-        store.record(ledger, load_id, 1)
-
-        errors = validate.error_table(rows, "batch_id", ROW_NUMBER)
-        reason = [(f.header, F.col(quoted(f.name))) for f in contract.fields]
-        in_file, in_store = F.col(OUTCOME) == DUP_IN_BATCH, F.col(OUTCOME) == DUP_IN_TARGET
-        if contract.flow == "contract":
-            copies = rows.filter(in_file).select(
-                "batch_id", ROW_NUMBER, F.lit(messages.DUPLICATE_FIELD).alias("field_name"),
-                F.lit(messages.DUPLICATE_IN_FILE).alias("error_message"))
-            errors = errors.unionByName(copies)
-        store.write_errors(errors, load_id)
-        store.write_skipped(dedup.skipped_rows(rows, in_file, in_store, reason, "batch_id", ROW_NUMBER), load_id)
-
-        accepted = rows.filter(F.col(OUTCOME) == ACCEPTED).select(
-            *[F.col(quoted(c)) for c in contract.column_names],
-            F.col("batch_id").alias("_batch_id"), F.col(ROW_NUMBER).alias("_row_number"),
-            F.current_timestamp().alias("_imported_at"), F.lit(by).alias("_imported_by"))
-        try:
-            store.write_rows(accepted, contract.table, load_id)
-        except Exception as error:
-            failed = ledger.withColumn("status", F.lit(messages.FAILED)).withColumn(
-                "notes", F.lit(str(error)[:1000]))
-            store.record(failed, load_id, 2)
-            raise
-        store.record(_ledger_rows(plan, problems, counts, contract, by, by_name, messages.IMPORTED), load_id, 2)
-    finally:
-        rows.unpersist()
+        store.write_rows(accepted, contract.table, load_id)
+    except Exception as error:
+        failed = ledger.withColumn("status", F.lit(messages.FAILED)).withColumn(
+            "notes", F.lit(str(error)))
+        store.record(failed, load_id, 2)
+        raise
+    store.record(_ledger_rows(plan, problems, counts, contract, by, by_name, messages.IMPORTED), load_id, 2)
     return load_batches(store, load_id)
 
 
@@ -198,10 +185,10 @@ def load_batches(store: Store, load_id: str) -> DataFrame:
     return store.batches().filter(F.col(LOAD) == load_id)
 
 
-def import_files(store: Store, files: DataFrame, contract: Contract, by: str, fmt: str = "csv",
+def import_files(store: Store, files: Landing, contract: Contract, by: str, fmt: str = "csv",
                  by_name: str | None = None, load_id: str | None = None,
                  rules: Sequence[Column] = (), **options) -> DataFrame:
-    """Contract import of a ``binaryFile`` listing; returns the ledger rows of the load.
+    """Contract import of the files of a landing folder; returns the ledger rows of the load.
 
     Give the same ``load_id`` to repeat a load that may have failed: a committed load is
     left as it is, an unfinished one is written again from the start.
@@ -209,24 +196,25 @@ def import_files(store: Store, files: DataFrame, contract: Contract, by: str, fm
     load_id = load_id or new_load_id()
     if store.is_committed(load_id):
         return load_batches(store, load_id)
-    plan, paths = plan_files(store, files, contract.flow)
-    try:
-        if not paths:
-            none = store.spark.createDataFrame([], f"{FILE} string, problem string")
-            counts = store.spark.createDataFrame(
-                [], f"{FILE} string, total_rows long, error_rows long, skipped_rows long, inserted_rows long")
-            store.record(_ledger_rows(plan, none, counts, contract, by, by_name, messages.REJECTED), load_id, 1)
-            return load_batches(store, load_id)
-        rows, problems = read_landing(store, paths, fmt, contract, **options)
-        store.ensure(contract.table, contract.schema())
-        filled = landing.drop_blank_rows(rows)
-        classified = classify(filled, contract, store.table(contract.table), rules)
-        return publish(store, classified, contract, plan, problems, load_id, by, by_name)
-    finally:
-        plan.unpersist()
-
-
-def import_free(store: Store, files: DataFrame, table: str, by: str, fmt: str = "csv",
+    plan = plan_files(store, files, contract.flow)
+    if _nothing_new(plan):
+        none = store.spark.createDataFrame([], f"{FILE} string, problem string")
+        counts = store.spark.createDataFrame(
+            [], f"{FILE} string, total_rows long, error_rows long, skipped_rows long, inserted_rows long")
+        store.record(_ledger_rows(plan, none, counts, contract, by, by_name, messages.REJECTED), load_id, 1)
+        return load_batches(store, load_id)
+    rows, problems = read_landing(store, files, plan, fmt, contract, **options)
+    store.ensure(contract.table, contract.schema())
+    filled = landing.drop_blank_rows(rows)
+    classified = classify(filled, contract, store.table(contract.table), rules)
+    return publish(store, classified, contract, plan, problems, load_id, by, by_name)
+
+
+def _nothing_new(plan: DataFrame) -> bool:
+    return plan.filter(F.col("problem").isNull()).isEmpty()
+
+
+def import_free(store: Store, files: Landing, table: str, by: str, fmt: str = "csv",
                 overrides: Mapping[str, Mapping[str, str]] | None = None,
                 load_id: str | None = None, by_name: str | None = None,
                 on_contract: Callable[[Contract], None] | None = None, **options) -> DataFrame:
@@ -234,21 +222,17 @@ def import_free(store: Store, files: DataFrame, table: str, by: str, fmt: str =
     load_id = load_id or new_load_id()
     if store.is_committed(load_id):
         return load_batches(store, load_id)
-    plan, paths = plan_files(store, files, "free")
-    try:
-        if not paths:
-            raise landing.EmptyInput("no new files to load")
-        rows, problems = read_landing(store, paths, fmt, None, **options)
-        landing.require_rows(rows, "the files have no rows")
-        contract = profile.inferred_contract(rows, table)
-        contract = with_overrides(contract, overrides or {}, [*profile.FREE_TYPES, "BIGINT"])
-        if on_contract is not None:
-            on_contract(contract)
-        store.ensure(contract.table, contract.schema())
-        headers = [f.header for f in contract.fields]
-        filled = landing.drop_blank_rows(rows, headers)
-        classified = classify(filled, contract, store.table(contract.table))
-        return publish(store, classified, contract, plan, problems, load_id, by, by_name)
-    finally:
-        plan.unpersist()
-
+    plan = plan_files(store, files, "free")
+    if _nothing_new(plan):
+        raise landing.EmptyInput("no new files to load")
+    rows, problems = read_landing(store, files, plan, fmt, None, **options)
+    landing.require_rows(rows, "the files have no rows")
+    contract = profile.inferred_contract(rows, table)
+    contract = with_overrides(contract, overrides or {}, [*profile.FREE_TYPES, "BIGINT"])
+    if on_contract is not None:
+        on_contract(contract)
+    store.ensure(contract.table, contract.schema())
+    headers = [f.header for f in contract.fields]
+    filled = landing.drop_blank_rows(rows, headers)
+    classified = classify(filled, contract, store.table(contract.table))
+    return publish(store, classified, contract, plan, problems, load_id, by, by_name)

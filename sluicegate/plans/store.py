@@ -10,11 +10,13 @@ Layout below the root::
 
 A load becomes visible when its last ledger step says IMPORTED.  Until then its rows lie
 in a folder that no reader joins to, so a failed or repeated job leaves nothing half done.
-One writer per target table is assumed, as with any table without a transaction log.
+One writer per target table is assumed, as with any table without a transaction log: two loads
+at once may both accept the same row.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluicegate import messages
@@ -39,7 +41,8 @@ BATCHES = _schema_of(
 ERRORS = _schema_of("batch_id string, row_number long, field_name string, error_message string")
 SKIPPED = _schema_of("batch_id string, row_number long, reason string, preview string")
 LOG = _schema_of("username string, display_name string, logged_at timestamp")
-AUDIT = _schema_of("_batch_id string, _row_number long, _imported_at timestamp, _imported_by string")
+# ``_row_hash`` lets a later load look its rows up without reading all columns of the table.
+AUDIT = _schema_of("_batch_id string, _row_number long, _imported_at timestamp, _imported_by string, _row_hash long")
 
 
 class Store:
@@ -87,7 +90,7 @@ class Store:
     def record(self, batches: DataFrame, load_id: str, step: int) -> None:
         """Write one ledger step: one row per file of the load."""
         stamped = batches.withColumn("event_time", F.current_timestamp())
-        stamped.select(*BATCHES.fieldNames()).coalesce(1).write.mode("overwrite").parquet(
+        stamped.select(*BATCHES.fieldNames()).write.mode("overwrite").parquet(
             self.path("ledger", "batches", f"{LOAD}={load_id}", f"step={step}"))
 
     def batches(self) -> DataFrame:
@@ -150,6 +153,9 @@ class Store:
         empty.coalesce(1).write.mode("ignore").parquet(self.path(*parts))
 
     def _schema(self, *parts: str) -> T.StructType | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(*parts))
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(self.path(*parts)).schema if files.exists(hadoop) else None
+        try:
+            return self.spark.read.parquet(self.path(*parts)).schema
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise

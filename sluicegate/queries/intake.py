@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sluicegate import messages
 from sluicegate.contracts import Constant, Contract, Field, project
 from sluicegate.functions import text
-from sluicegate.operators import profile
+from sluicegate.operators import dedup, profile
 from sluicegate.plans.store import Store
 from sluicegate.queries.base import SQL_NUMBER, SQL_SPACES, query, table
 from sluicegate.session import work_folder
@@ -207,7 +207,8 @@ def audited_append(spark, folder):
     store.ensure("lines", rows.schema)
     store.write_rows(
         rows.select("*", F.lit("b-1").alias("_batch_id"), F.lit(None).cast("long").alias("_row_number"),
-                    F.current_timestamp().alias("_imported_at"), F.lit("importer").alias("_imported_by")),
+                    F.current_timestamp().alias("_imported_at"), F.lit("importer").alias("_imported_by"),
+                    dedup.row_hash(rows, rows.columns).alias(dedup.ROW_HASH)),
         "lines", "l-1")
     done = spark.range(1).select(
         F.lit("b-1").alias("batch_id"), F.lit("contract").alias("flow"), F.lit("none").alias("file_hash"),

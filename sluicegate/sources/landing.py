@@ -8,8 +8,9 @@ parsed twice and the positions it is numbered by cannot change between two jobs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F
 
 from sluicegate.functions.casts import null_if_empty
 from sluicegate.functions.names import is_named, quoted, unique_names
@@ -17,8 +18,7 @@ from sluicegate.functions.names import is_named, quoted, unique_names
 FILE, BLOCK, POSITION, ROW_NUMBER = "_file", "_block", "_position", "row_number"
 BOOKKEEPING = (FILE, ROW_NUMBER)
 FIRST_DATA_ROW = 2  # the header is row 1
-MAX_FILE_BYTES = 50 * 1024 * 1024
-BROADCAST_BLOCKS = 200_000  # about 100 bytes each
+WHOLE_FILE_BYTES = 64 * 1024 * 1024  # larger files are hashed line by line
 
 
 class EmptyInput(ValueError):
@@ -33,27 +33,47 @@ def as_text(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ])
 
 
-def scan(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv", **options) -> DataFrame:
+@dataclass(frozen=True)
+class Landing:
+    """Files below ``paths`` whose name matches ``glob``; each reader lists them by itself."""
+
+    spark: SparkSession
+    paths: str | Sequence[str]
+    glob: str = "*"
+
+    def load(self, reader: DataFrameReader) -> DataFrame:
+        paths = self.paths if isinstance(self.paths, str) else list(self.paths)
+        return reader.option("pathGlobFilter", self.glob).load(paths)
+
+    def files(self) -> DataFrame:
+        """One row per file; the content is read only if it is used."""
+        return self.load(self.spark.read.format("binaryFile")).select(F.col("_metadata.file_path").alias(FILE), "*")
+
+
+def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> Landing:
+    return Landing(spark, paths, glob)
+
+
+def scan(landing: Landing, fmt: str = "csv", sample: str | None = None, **options) -> DataFrame:
     """Read header-driven files with no inference; all cells stay text.
 
-    Files of one call must share a header; a CSV file that differs is refused by the
-    reader (``enforceSchema=false``) instead of being shifted silently.
+    Files of one call must share a header, that of ``sample`` if given; a CSV file that differs
+    is refused by the reader (``enforceSchema=false``) instead of being shifted silently.
     """
-    paths = paths if isinstance(paths, str) else list(paths)
-    reader = spark.read.format(fmt).options(**options)
+    reader = landing.spark.read.format(fmt).options(**options)
     if fmt == "csv":
         reader = reader.options(inferSchema=False, escape='"')
-        first = reader.load(paths).first()
+        first = (reader.load(sample) if sample else landing.load(reader)).first()
         if first is None:
             raise EmptyInput("the files are empty")
         header = _column_names([cell or "" for cell in first])
         clash = len({h.lower() for h in first if h}) < len([h for h in first if h])
         schema = ", ".join(f"{quoted(h)} string" for h in header)
         # Repeated headers are told apart by their place, which the reader cannot compare.
-        return reader.options(header=True, enforceSchema=clash).schema(schema).load(paths)
+        return landing.load(reader.options(header=True, enforceSchema=clash).schema(schema))
     if fmt == "json":
         reader = reader.option("primitivesAsString", True)
-    return reader.load(paths)
+    return landing.load(reader)
 
 
 def _column_names(header: Sequence[str]) -> list[str]:
@@ -78,11 +98,17 @@ def with_origin(df: DataFrame) -> DataFrame:
     )
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """Write the scan once, text columns plus origin, and read it back."""
+def stage(df: DataFrame, path: str, without: DataFrame | None = None) -> DataFrame:
+    """Write the scan once, text columns plus origin, and read it back.
+
+    Files of ``without`` are left out by a join, so no list of paths passes the driver.
+    """
     origin = (FILE, BLOCK, POSITION)
-    as_text(with_origin(drop_unnamed(df)), keep=origin).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    rows = as_text(with_origin(drop_unnamed(df)), keep=origin)
+    if without is not None:
+        rows = rows.join(without.select(FILE), FILE, "left_anti").select(*[F.col(quoted(c)) for c in rows.columns])
+    rows.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def number_rows(staged: DataFrame) -> DataFrame:
@@ -96,9 +122,6 @@ def number_rows(staged: DataFrame) -> DataFrame:
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         FILE, BLOCK, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    offsets = offsets.persist()
-    if offsets.count() <= BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
     number = (F.col("_offset") + F.col(POSITION) - F.col("_first") + FIRST_DATA_ROW).alias(ROW_NUMBER)
     data = [F.col(quoted(c)) for c in staged.columns if c not in (BLOCK, POSITION)]
     return staged.join(offsets, [FILE, BLOCK]).select(*data, number)
@@ -150,22 +173,22 @@ def preview(df: DataFrame, order: Sequence[str], count: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(count)
 
 
-def list_files(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-
-
-def fingerprint_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """SHA-256 of every file of a ``binaryFile`` frame, computed where the file is read.
+def fingerprint_files(landing: Landing, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """A hash of every file, computed where the file is read; there is no limit of size.
 
-    Files over the admission limit are listed with a NULL hash, and not read, so that the
-    caller can report them.
+    Up to ``whole_bytes`` it is the SHA-256 of the file.  A larger file is read in blocks by many
+    tasks: its length, the number of its lines and two sums over hashes of its lines are digested,
+    which depends neither on the blocks nor on the order in which they are read.
     """
-    known = (F.col("_metadata.file_path").alias(FILE), "path", "length",
-             F.element_at(F.split("path", "/"), -1).alias("file_name"))
-    small = files.filter(F.col("length") <= max_bytes).select(
-        *known, F.sha2("content", 256).alias("file_hash"))
-    large = files.filter(F.col("length") > max_bytes).select(
-        *known, F.lit(None).cast("string").alias("file_hash"))
+    files = landing.files()
+    named = (FILE, "path", "length", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    small = files.filter(F.col("length") <= whole_bytes).select(*named, F.sha2("content", 256).alias("file_hash"))
+    lines = landing.load(landing.spark.read.format("text").option("lineSep", "\n")).select(
+        F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_size").alias("_size"), "value")
+    sums = [F.sum(F.xxhash64(F.lit(seed), "value").cast("decimal(20,0)")).cast("string") for seed in (1, 2)]
+    digests = lines.filter(F.col("_size") > whole_bytes).groupBy(FILE, "_size").agg(
+        F.sha2(F.concat_ws("|", F.col("_size").cast("string"), F.count(F.lit(1)).cast("string"), *sums), 256).alias("file_hash"))
+    large = files.filter(F.col("length") > whole_bytes).select(*named).join(digests.drop("_size"), FILE)
     return small.unionByName(large)
 
 

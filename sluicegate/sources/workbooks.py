@@ -2,7 +2,7 @@
 
 Spark has no workbook source, so this is the one place where Python sees row data.  Files
 are spread over the tasks; a task opens one workbook at a time with the standard library
-and streams its sheet, so its memory is bounded by the admission limit of a single file.
+and streams its sheet, so its memory is bounded by a single file.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluicegate.functions.names import SPACES, header_key, is_named
-from sluicegate.sources.landing import FILE, MAX_FILE_BYTES, ROW_NUMBER
+from sluicegate.sources.landing import FILE, ROW_NUMBER, Landing
 
-MAX_UNPACKED_BYTES = 1024 * 1024 * 1024
 ROWS_PER_BATCH = 2000
 ROW_SCHEMA = f"{FILE} string, {ROW_NUMBER} long, cells map<string,string>, problem string"
 
@@ -121,10 +120,13 @@ def _cell_text(cell, shared: list[str], dated: set[int], from_1904: bool) -> str
     return value
 
 
-def _sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number, {column: text}) for each row of the first sheet, in order."""
+def _sheet_rows(content: bytes, max_unpacked: int | None = None) -> Iterator[tuple[int, dict[int, str]]]:
+    """(row number, {column: text}) for each row of the first sheet, in order.
+
+    The sheet is parsed as a stream; ``max_unpacked`` guards against hostile archives.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        if sum(i.file_size for i in book.infolist()) > MAX_UNPACKED_BYTES:
+        if max_unpacked is not None and sum(i.file_size for i in book.infolist()) > max_unpacked:
             raise WorkbookError("the workbook unpacks to more than the allowed size")
         name, from_1904 = _first_sheet(book)
         shared, dated = _shared_strings(book), _date_styles(book)
@@ -168,11 +170,11 @@ def _header_names(cells: dict[int, str], by_key: bool) -> dict[int, str]:
     return out
 
 
-def _file_rows(path: str, content: bytes, by_key: bool) -> Iterator[tuple]:
+def _file_rows(path: str, content: bytes, by_key: bool, max_unpacked: int | None = None) -> Iterator[tuple]:
     """Records of one workbook; a failure becomes its last record."""
     headers, first, last = None, 0, 0
     try:
-        for last, cells in _sheet_rows(content):
+        for last, cells in _sheet_rows(content, max_unpacked):
             if headers is None:
                 headers, first = _header_names(cells, by_key), last
                 yield path, 1, {h: h for h in headers.values()}, None
@@ -184,34 +186,36 @@ def _file_rows(path: str, content: bytes, by_key: bool) -> Iterator[tuple]:
         yield path, 0, {}, f"unreadable workbook: {error}"
 
 
-def _reader(by_key: bool):
+def _reader(by_key: bool, max_unpacked: int | None):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                records = _file_rows(path, bytes(content), by_key)
+                records = _file_rows(path, bytes(content), by_key, max_unpacked)
                 while chunk := list(itertools.islice(records, ROWS_PER_BATCH)):
                     yield pd.DataFrame(chunk, columns=[FILE, ROW_NUMBER, "cells", "problem"])
     return read
 
 
-def scan_workbooks(spark: SparkSession, paths: str | list[str], glob: str = "*.xlsx",
-                   max_bytes: int = MAX_FILE_BYTES, by_key: bool = False) -> DataFrame:
+def scan_workbooks(landing: Landing, by_key: bool = False, without: DataFrame | None = None,
+                   max_bytes: int | None = None, max_unpacked: int | None = None) -> DataFrame:
     """One record per sheet row: file, row number, ``cells`` (header -> text), ``problem``.
 
     Row 1 carries the headers themselves.  A file that cannot be read ends with a record of
-    row number 0 that gives the reason; leave out such files with ``readable``.  No
-    shuffle: a sheet is parsed where it lies.
+    row number 0 that gives the reason; leave out such files with ``readable``.  No shuffle of
+    rows: a sheet is parsed where it lies.  Files of ``without`` are left out unread.
+    ``max_bytes`` and ``max_unpacked`` refuse larger files, if given.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-        .select(F.col("_metadata.file_path").alias("path"), "length", "content")
-    )
-    too_large = files.filter(F.col("length") > max_bytes).select(
-        F.col("path").alias(FILE), F.lit(0).cast("long").alias(ROW_NUMBER),
+    files = landing.files()
+    if without is not None:
+        files = files.join(without.select(FILE), FILE, "left_anti")
+    admitted = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    rows = admitted.select(F.col(FILE).alias("path"), "content").mapInPandas(_reader(by_key, max_unpacked), ROW_SCHEMA)
+    if max_bytes is None:
+        return rows
+    return rows.unionByName(files.filter(F.col("length") > max_bytes).select(
+        FILE, F.lit(0).cast("long").alias(ROW_NUMBER),
         F.create_map().cast("map<string,string>").alias("cells"),
-        F.lit("the file is over the size limit").alias("problem"))
-    admitted = files.filter(F.col("length") <= max_bytes).select("path", "content")
-    return admitted.mapInPandas(_reader(by_key), ROW_SCHEMA).unionByName(too_large)
+        F.lit("the file is over the size limit").alias("problem")))
 
 
 def sheet_problems(rows: DataFrame) -> DataFrame:

@@ -137,12 +137,58 @@ def test_failed_write_leaves_nothing_visible_and_can_be_repeated(spark, store, i
     assert [r["status"] for r in store.statuses().collect()] == [messages.IMPORTED]
 
 
-def test_oversize_file_is_reported(spark, store, inbox, monkeypatch):
-    put(inbox, "a.csv", "1.4.2026,1,А,1,да")
-    monkeypatch.setattr(landing.fingerprint_files, "__defaults__", (10,))
+def test_large_files_are_known_by_their_lines(spark, store, inbox, monkeypatch):
+    """No file is too large; beyond a size the hash is made from lines, in many tasks."""
+    monkeypatch.setattr(landing.fingerprint_files, "__defaults__", (100,))
+    lines = [f"1.4.2026,{i},А,1,да" for i in range(3000)]
+    put(inbox, "a.csv", *lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
+        assert (ledger["a.csv"]["status"], ledger["a.csv"]["inserted_rows"]) == (messages.IMPORTED, 3000)
+        before = ledger["a.csv"]["file_hash"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    put(inbox, "copy.csv", *lines)
+    put(inbox, "other.csv", *lines[:-1], "1.4.2026,x,А,1,да")
+    prints = {r["file_name"]: r["file_hash"] for r in landing.fingerprint_files(listing(spark, inbox)).collect()}
+    assert prints["a.csv"] == prints["copy.csv"] == before != prints["other.csv"]
+    ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
+    assert set(ledger) == {"other.csv"} and ledger["other.csv"]["inserted_rows"] == 1
+
+
+def test_files_left_out_are_joined_away(spark, store, inbox):
+    """A folder is read as a whole: old files take no part, whatever their number."""
+    for i in range(5):
+        put(inbox, f"old{i}.csv", f"1.4.2026,{i},А,1,да")
+    imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann")
+    put(inbox, "new.csv", "1.4.2026,9,А,1,да", "1.4.2026,3,А,1,да")
     ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
-    assert ledger["a.csv"]["status"] == messages.REJECTED
-    assert ledger["a.csv"]["notes"] == imports.TOO_LARGE
+    assert set(ledger) == {"new.csv"}
+    assert (ledger["new.csv"]["inserted_rows"], ledger["new.csv"]["skipped_rows"]) == (1, 1)
+    assert store.table("attestation").count() == 6
+
+
+def test_work_folder_must_be_shared_on_a_cluster(monkeypatch):
+    from sluicegate import session
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Cluster, Conf
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_folder(Session, "x")
 
 
 def test_free_load_infers_and_overrides(spark, store, inbox):
@@ -196,7 +242,7 @@ def test_workbook_folder(spark, store, inbox):
 
 def test_workbook_repeated_headers(spark, inbox):
     write_workbook(inbox / "a.xlsx", [["x", "x", None, "y"], ["1", "2", "3", "4"]])
-    rows = workbooks.scan_workbooks(spark, str(inbox))
+    rows = workbooks.scan_workbooks(landing.list_files(spark, str(inbox)))
     got = workbooks.sheet_table(rows).drop(landing.FILE).collect()[0].asDict()
     assert got == {"row_number": 2, "x": "1", "x_1": "2", "y": "4"}
 
@@ -226,7 +272,7 @@ def test_row_numbers_over_many_blocks(spark, tmp_path):
         (tmp_path / "big" / name).write_text(f"id,t\n{lines}\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        staged = landing.stage(landing.scan(spark, str(tmp_path / "big")), str(tmp_path / "staged"))
+        staged = landing.stage(landing.scan(landing.list_files(spark, str(tmp_path / "big"))), str(tmp_path / "staged"))
         assert staged.select(landing.FILE, landing.BLOCK).distinct().count() > 10
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -240,11 +286,11 @@ def test_files_with_other_headers_are_not_shifted(spark, tmp_path):
     (tmp_path / "mix" / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "mix" / "b.csv").write_text("y,x\n1,2\n")
     with pytest.raises(Exception):
-        landing.scan(spark, str(tmp_path / "mix")).collect()
+        landing.scan(landing.list_files(spark, str(tmp_path / "mix"))).collect()
 
 
 def test_empty_input_raises(spark, tmp_path):
     os.makedirs(tmp_path / "e")
     (tmp_path / "e" / "a.csv").write_text("x,y\n")
     with pytest.raises(landing.EmptyInput):
-        landing.require_rows(landing.scan(spark, str(tmp_path / "e")), "no rows")
+        landing.require_rows(landing.scan(landing.list_files(spark, str(tmp_path / "e"))), "no rows")

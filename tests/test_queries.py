@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import entry, oracle_sql, queries
 from oracle import compare, connect
 from sluicegate.operators import dedup
+from sluicegate.queries import QUERIES, SQL
 from sluicegate.queries.uniqueness import KEY, ORDER, lines
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -16,8 +17,9 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
+    assert queries()[name] is QUERIES[name]
     assert compare(spark, con, SMALL, queries()[name], oracle_sql()[name]) is None
 
 
