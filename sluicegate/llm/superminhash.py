@@ -7,10 +7,13 @@ the variance of the estimate.  Steps are taken for all shingles at once; a docum
 early as soon as each place holds an offer of an earlier step, since later ones are larger.
 
 Candidates.  Documents with equal shingle sets are one class and go on as one.  Bands of the
-signature form buckets.  A bucket is searched by pivots: one member is compared with the others,
-and only members still in different components need another pivot.  So a bucket of thousands of
-copies takes one comparison per member, and no pair of documents of one bucket is skipped unless
-both are already linked.
+signature form buckets.  First each bucket has one pivot, its member in most other buckets, that
+is compared with the others; a bucket of thousands of copies takes one comparison per member.
+Then only buckets whose members are still in different components are open.  Two members of open
+buckets either share a rare shingle (in at most ``RARE`` of these documents), and such pairs are
+listed by shingle; or their common shingles are not rare, which bounds their similarity by their
+numbers of shingles that are not rare.  Few members can pass that bound, and only pairs that pass
+are listed.  So no linked pair is lost, and no bucket is written out in pairs.
 
 Verification.  A pair must pass a bound from its sizes and a sketch (the low byte of each
 signature place, far below the threshold: a true link fails it with a chance below 1e-9);
@@ -41,6 +44,8 @@ BATCH_BYTES = 1_500_000
 #: Share of equal sketch bytes below which a pair at the threshold cannot be, and the same
 #: relative to other thresholds: threshold - 0.15.
 SKETCH_MARGIN = 0.15
+#: Documents that hold a shingle, at most, for pairs to be listed by it.
+RARE = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW32 = np.uint64(0xFFFFFFFF)
 _FACTORS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -159,6 +164,94 @@ def _linked(percent: int):
     return verify
 
 
+def _shingles_of(batches):
+    for batch in batches:
+        sets = values(batch.column("hashes"))
+        size = np.array([len(x) // 8 for x in sets])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.frombuffer(b"".join(sets), np.int64)),
+             batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sets)), size)))], ["shingle", "a"])
+
+
+class _Search:
+    """Candidate pairs (a, b) and their verification; every table is written once."""
+
+    def __init__(self, texts: DataFrame, signed: DataFrame, k: int, percent: int, bands: int):
+        self.percent, self.texts, self.k = percent, texts, k
+        self.id_type = texts.schema["doc_id"].dataType.simpleString()
+        shingled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        # Equal sets are one class, known by its smallest document.
+        self.classes = written(shingled.groupBy("digest").agg(F.min("doc_id").alias("a")), "near-classes")
+        reps = written(
+            shingled.select(F.col("doc_id").alias("a"), "digest", F.col("n_shingles").alias("n"), "bands", "sketch")
+            .join(self.classes, ["digest", "a"]).dropDuplicates(["digest", "a"]).drop("digest"), "near-representatives")
+        every = reps.select("a", "n", F.posexplode("bands").alias("place", "band"))
+        shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        self.members = written(every.join(shared, "band"), "near-buckets")
+        hubs = written(self.members.groupBy("a").agg(F.sum("size").alias("hub")), "near-hubs")
+        self.hubs = hubs
+        self.reps = written(reps.join(hubs, "a"), "near-members")
+        self.sets = written(
+            restricted(texts, hubs.select(F.col("a").alias("doc_id")))
+            .mapInArrow(_sets(k), f"doc_id {self.id_type}, hashes binary")
+            .groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")), "near-sets")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar enough."""
+        p = self.percent
+        one = self.reps.select("a", "n", F.col("sketch").alias("sketch_a"))
+        two = self.reps.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_b"))
+        kinds = f"a {self.id_type}, b {self.id_type}"
+        likely = written(
+            pairs.distinct().join(one, "a").join(two, "b").where(f"100 * least(n, m) >= {p} * greatest(n, m)")
+            .select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike_sketches(p / 100 - SKETCH_MARGIN), kinds), "near-likely")
+        return written(
+            likely.join(self.sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
+            .join(self.sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
+            .select("a", "b", "set_a", "set_b").mapInArrow(_linked(p), kinds), "near-links")
+
+    def by_pivots(self) -> DataFrame:
+        """Each bucket's pivot beside its other members."""
+        placed = self.members.select("band", "a").join(self.hubs, "a")
+        pivots = placed.groupBy("band").agg(F.max(F.struct("hub", "a")).getField("a").alias("pivot"))
+        return placed.join(pivots, "band").where("a <> pivot").select(
+            F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
+
+    def across(self, links: DataFrame) -> DataFrame:
+        """Pairs in open buckets that may be linked although the pivots did not link them."""
+        p = self.percent
+        state = written(
+            self.members.where("size > 2").join(components(links).withColumnRenamed("node", "a"), "a", "left")
+            .withColumn("component", F.coalesce("component", "a")), "near-state")
+        open_ = (
+            state.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"))
+            .where("low <> high").select("band", "least_n"))
+        live = written(state.join(open_, "band"), "near-open")
+        docs = live.select("a", "component").distinct()
+        postings = written(
+            restricted(self.sets, docs.select(F.col("a").alias("doc_id"))).select("doc_id", "hashes")
+            .mapInArrow(_shingles_of, f"shingle long, a {self.id_type}"), "near-shingles")
+        rare = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") <= RARE)
+        rare = written(postings.join(rare, "shingle"), "near-rare")
+        shared = rare.where("held > 1").join(docs, "a").select("shingle", "a", "component")
+        other = shared.select("shingle", F.col("a").alias("b"), F.col("component").alias("other"))
+        listed = shared.join(other, "shingle").where("a < b AND component <> other").select("a", "b")
+
+        common = rare.groupBy("a").agg(F.count(F.lit(1)).alias("rare"))
+        alive = (
+            live.join(common, "a", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+            .where(f"common * (100 + {p}) >= {p} * (n + least_n)")
+            .join(self.reps.select("a", "bands"), "a").select("band", "place", "a", "n", "common", "component", "bands"))
+        alive = written(alive, "near-alive")
+        pair = [F.col(c).alias(f"{c}_b") for c in ("a", "n", "common", "component", "bands")]
+        # A pair is listed in the first band that it shares.
+        first = F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) - 1
+        bounded = alive.join(alive.select("band", *pair), "band").where(
+            (F.col("a") < F.col("a_b")) & (F.col("component") != F.col("component_b"))
+            & F.expr(f"least(common, common_b) * (100 + {p}) >= {p} * (n + n_b)") & (first == F.col("place")))
+        return listed.union(bounded.select("a", F.col("a_b").alias("b")))
+
+
 def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -170,75 +263,15 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     signed = written(texts.mapInArrow(
         _signed(k, bands, rows),
         f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>, sketch binary"), "near-signatures")
-    shingled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # Equal sets are one class, known by its smallest document.
-    classes = written(shingled.groupBy("digest").agg(
-        F.min("doc_id").alias("a"), F.max("n_shingles").alias("n")), "near-classes")
-    members = written(
-        signed.select(F.col("doc_id").alias("a"), "digest", "bands")
-        .join(classes, ["digest", "a"]).dropDuplicates(["digest", "a"])
-        .select("a", "n", F.explode("bands").alias("band")), "near-bands")
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(members.join(shared.select("band"), "band", "left_semi"), "near-buckets")
-    sketches = written(
-        signed.select(F.col("doc_id").alias("a"), "digest", "sketch").join(classes.select("digest", "a"), ["digest", "a"])
-        .dropDuplicates(["digest", "a"]).join(members.select("a").distinct(), "a", "left_semi").select("a", "sketch"), "near-sketches")
-    sets = None
-    # A document is its own component until it is linked; ``used`` tells what was a pivot.
-    state = members.withColumn("component", F.col("a")).withColumn("used", F.lit(False))
-    links = None
-    while True:
-        # A bucket is open while members that were no pivot are in different components.
-        open_ = (
-            state.where("NOT used").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high"))
-        live = state.join(open_.select("band"), "band", "left_semi")
-        # One pivot per component and bucket, but for the component of the most members.
-        heads = live.where("NOT used").groupBy("band", "component").agg(
-            F.min("a").alias("pivot"), F.count(F.lit(1)).alias("weight"))
-        largest = heads.groupBy("band").agg(F.max(F.struct("weight", "component")).getField("component").alias("skip"))
-        pivots = written(
-            heads.join(largest, "band").where("component <> skip")
-            .select("band", "pivot", F.col("component").alias("pivot_component")), "near-pivots")
-        if not pivots.take(1):
-            break
-        sized = classes.select("a", "n")
-        pairs = (
-            live.where("NOT used").select("band", "a", "component").join(pivots, "band")
-            .where("component <> pivot_component")
-            .select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b")).distinct()
-            .join(sized, "a").join(sized.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
-            .where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b"))
-        likely = written(
-            pairs.join(sketches.withColumnRenamed("sketch", "sketch_a"), "a")
-            .join(sketches.select(F.col("a").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-            .select("a", "b", "sketch_a", "sketch_b")
-            .mapInArrow(_alike_sketches(percent / 100 - SKETCH_MARGIN), f"a {id_type}, b {id_type}"), "near-likely")
-        if sets is None:
-            wanted = members.select(F.col("a").alias("doc_id")).distinct()
-            sets = written(
-                restricted(texts, wanted).mapInArrow(_sets(k), f"doc_id {id_type}, hashes binary")
-                .groupBy("doc_id").agg(F.max_by("hashes", F.length("hashes")).alias("hashes")), "near-sets")
-        new = (
-            likely.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
-            .select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), f"a {id_type}, b {id_type}"))
-        links = written(new if links is None else links.union(new), "near-links")
-        found = components(links)
-        state = written(
-            state.drop("component").join(pivots.select("band", F.col("pivot").alias("a"), F.lit(True).alias("now")), ["band", "a"], "left")
-            .join(found.select(F.col("node").alias("a"), "component"), "a", "left")
-            .select("band", "a", "n", F.coalesce("component", "a").alias("component"),
-                    (F.col("used") | F.col("now").isNotNull()).alias("used")), "near-state")
-    classed = classes.select("digest", F.col("a"))
-    if links is not None:
-        classed = classed.join(components(links).withColumnRenamed("node", "a"), "a", "left").select(
-            "digest", "a", F.coalesce("component", "a").alias("component"))
-    else:
-        classed = classed.withColumn("component", F.col("a"))
+    search = _Search(texts, signed, k, percent, bands)
+    links = search.linked(search.by_pivots())
+    links = written(links.union(search.linked(search.across(links))), "near-links")
+    classed = (
+        search.classes.join(components(links).withColumnRenamed("node", "a"), "a", "left")
+        .select("digest", F.coalesce("component", "a").alias("component")))
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "digest").join(classed.select("digest", "component"), "digest", "left")
+        signed.select("doc_id", "n_shingles", "digest").join(classed, "digest", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"),
                 F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept")))
 
