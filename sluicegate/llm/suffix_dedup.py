@@ -263,13 +263,11 @@ def _hashed_windows(length: int):
 
 def _joined(batches):
     for batch in batches:
-        out = []
-        for starts in batch.column("starts").to_pylist():
-            out.append([{"first": a, "last": b} for a, b in _runs(np.unique(np.array(starts, np.int64)))])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("anchor"), batch.column("whole"), batch.column("earlier"),
-             pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
-            ["anchor", "whole", "earlier", "runs"])
+        rows = []
+        for anchor, whole, *starts in zip(*(batch.column(c).to_pylist() for c in ("anchor", "whole", "starts", "later"))):
+            for earlier, some in enumerate(starts):
+                rows += [(anchor, whole, a, b, bool(earlier)) for a, b in _runs(np.sort(np.array(some, np.int64)))]
+        yield _found_batch(rows)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
@@ -308,15 +306,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     windows = bodies.where("hot").dropDuplicates(["anchor", "whole"]).mapInArrow(
         _hashed_windows(length), f"window long, anchor long, whole long, doc_id {id_type}, row long, at long, start int")
     least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "at", "start")).alias("least"))
-    hot = windows.join(least.where("n > 1"), "window").select(
-        "anchor", "whole", "start", F.explode(F.when(
-            F.struct("doc_id", "row", "at", "start") == F.col("least"), F.array(F.lit(False))).otherwise(
-            F.array(F.lit(False), F.lit(True)))).alias("earlier"))
+    first = F.struct("doc_id", "row", "at", "start") == F.col("least")
     hot = (
-        hot.groupBy("anchor", "whole", "earlier").agg(F.collect_set("start").alias("starts"))
-        .mapInArrow(_joined, "anchor long, whole long, earlier boolean, runs array<struct<first:int,last:int>>")
-        .select("anchor", "whole", F.explode("runs").alias("r"), "earlier")
-        .select("anchor", "whole", F.col("r.first").alias("first"), F.col("r.last").alias("last"), "earlier"))
+        windows.join(least.where("n > 1"), "window").groupBy("anchor", "whole")
+        .agg(F.collect_set("start").alias("starts"), F.collect_set(F.when(~first, F.col("start"))).alias("later"))
+        .mapInArrow(_joined, _FOUND))
     found = ordered.unionByName(hot).where(F.col("earlier") == F.lit(keep_first)).drop("earlier")
 
     low, more = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(F.lit(4095))
