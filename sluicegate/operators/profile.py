@@ -31,8 +31,10 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     long = df.select(F.explode(cells).alias("e")).select("e.position", "e.cell")
     clean = long.select("position", F.length(casts.null_if_empty(F.col("cell"))).alias("size"),
                         casts.trimmed(F.col("cell")).alias("text"))
-    parsed = clean.select("position", "size", casts.parse_number(F.col("text")).alias("number"),
-                          casts.parse_iso(F.col("text")).alias("day"))
+    dated = clean.select("position", "size", "text", casts.parse_iso(F.col("text")).alias("day"))
+    # A day is no number, so only the other cells are tried.
+    parsed = dated.select(
+        "position", "size", "day", F.when(F.col("day").isNull(), casts.parse_number(F.col("text"))).alias("number"))
     number = F.col("number")
     totals = parsed.groupBy("position").agg(
         F.count("size").alias("filled"), F.count("day").alias("days"), F.count(number).alias("numbers"),
