@@ -37,7 +37,7 @@ LENGTH, GRAM = 400, 136
 #: Bytes hashed at a time.
 BATCH_BYTES = 1_000_000
 #: Classes that are put into suffix order together, and windows of a batch of such groups.
-HOT_CLASSES, BATCH_WINDOWS = 400, 60_000
+HOT_CLASSES, BATCH_WINDOWS = 1000, 60_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -279,10 +279,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     keyed = keyed_texts(docs)
     every = written(keyed.mapInArrow(
         _anchored(length, gram), f"anchor long, whole long, row long, doc_id {id_type}, at long"), "suffix-anchors")
-    counted = every.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    members = written(
-        every.join(counted.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "suffix-members")
+    # Counts are written, so that the join reads both sides as they are and can split a hot anchor.
+    counted = written(every.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n"), "suffix-counts")
+    members = written(every.join(counted, "anchor"), "suffix-members")
     place = F.struct("doc_id", "row", "at")
     classes = written(members.groupBy("anchor", "whole", "mixed").agg(
         F.count(F.lit(1)).alias("copies"), F.min(place).alias("first_place")), "suffix-classes")

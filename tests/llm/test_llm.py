@@ -195,7 +195,7 @@ def test_hot_groups_of_passages_agree(spark, small, monkeypatch):
     assert got == {d: x for (d, _), x in zip(rows, brute.repeats([t for _, t in rows]))}
 
 
-@pytest.mark.parametrize("hot", [1, 400])
+@pytest.mark.parametrize("hot", [1, 1000])
 def test_first_copies_of_passages_stay(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
     length, gram = 40, 16
