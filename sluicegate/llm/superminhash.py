@@ -269,7 +269,8 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     classed = (
         search.classes.join(components(links).withColumnRenamed("node", "a"), "a", "left")
         .select("digest", F.coalesce("component", "a").alias("component")))
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    member = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own = F.when(member, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return (
         signed.select("doc_id", "n_shingles", "digest").join(classed, "digest", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"),
