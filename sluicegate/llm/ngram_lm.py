@@ -133,8 +133,8 @@ def _hot_words(least: float):
 class Dealing:
     """To which bucket a pair goes."""
 
-    def __init__(self, buckets: int, hot: dict[int, int]):
-        self.buckets = buckets
+    def __init__(self, labels: list[int], hot: dict[int, int]):
+        self.labels, self.buckets = labels, len(labels)
         self.words = np.array(sorted(hot), np.uint64)
         self.spread = np.array([hot[w] for w in sorted(hot)], np.uint64)
 
@@ -151,6 +151,13 @@ class Dealing:
         return (((first >> np.uint64(17)) + (second >> np.uint64(23)) % spread) % np.uint64(self.buckets)).astype(np.int64)
 
 
+def even_labels(spark: SparkSession, many: int) -> list[int]:
+    """Numbers that hash partitioning sends to ``many`` different partitions, for buckets to be called by."""
+    tried = spark.range(40 * many + 200).select("id", F.pmod(F.hash("id"), F.lit(many)).alias("place"))
+    found = [r["id"] for r in tried.groupBy("place").agg(F.min("id").alias("id")).collect()]
+    return found if len(found) == many else list(range(many))
+
+
 _PAIRS = ["bucket", "block", "run_words", "run_sizes", "second_words", "second_places", "train_counts",
           "post_counts", "post_docs", "post_times"]
 
@@ -187,7 +194,7 @@ def _dealt_pairs(dealing):
                 vocabulary = sorted_words[np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])]
                 p, q = begin[x], begin[y]
                 rows.append((
-                    b, number, pack(first[x:y][run_at]), pack(np.diff(np.append(run_at, y - x)).astype(np.uint32)),
+                    deal.labels[b], number, pack(first[x:y][run_at]), pack(np.diff(np.append(run_at, y - x)).astype(np.uint32)),
                     pack_sorted(vocabulary), pack(np.searchsorted(vocabulary, second[x:y]).astype(np.uint32)),
                     pack(trained[x:y].astype(np.uint32)), pack(np.diff(begin[x:y + 1]).astype(np.uint32)),
                     pack(docs[p:q]), pack(times[p:q].astype(np.uint32))))
@@ -412,7 +419,7 @@ def scored(docs: DataFrame, train) -> DataFrame:
     # At most buckets / HOT_PART words are hot.
     least = HOT_PART * tokens / buckets
     hot = words.select("words", "counts").mapInArrow(_hot_words(least), "word long, n long").collect()
-    dealing = spark.sparkContext.broadcast(Dealing(buckets, {
+    dealing = spark.sparkContext.broadcast(Dealing(even_labels(spark, buckets), {
         r["word"] % (1 << 64): max(2, min(buckets, int(np.ceil(r["n"] / least)))) for r in hot} if buckets > 1 else {}))
 
     kinds = ", ".join(f"{c} {'long' if c in ('bucket', 'block') else 'binary'}" for c in _PAIRS)
