@@ -74,13 +74,16 @@ class InvertedFiles:
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray,
                  top: int, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST):
     """Best vectors of a shard for each query: lists of query id, vector id and cosine."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
     files = InvertedFiles(prefixes(vectors, pivots, prefix), len(pivots))
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     most = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
     out = []
     for query_id, query, order in zip(query_ids, queries, prefixes(queries, pivots, prefix)):
-        agreement = files.agreement(order)
-        near = np.argpartition(-agreement, most - 1)[:most] if most < len(ids) else np.arange(len(ids))
+        # Ties, as of copies, go to the smaller vec_id.
+        rank = np.arange(len(ids)) - files.agreement(order).astype(np.int64) * len(ids)
+        near = np.argpartition(rank, most - 1)[:most] if most < len(ids) else np.arange(len(ids))
         near = near[ids[near] != query_id]
         score = (vectors[near] * query).sum(axis=1) / (norms[near] * np.sqrt((query * query).sum()))
         best = np.lexsort((ids[near], -score))[:top]
