@@ -8,8 +8,9 @@ probability under a temperature fitted on documents kept out of the counts, and
 tells that the text is further from its language than calibration documents are.
 
 The models are fitted on a bounded sample, whole documents only: per language the
-``SAMPLE_DOCS`` documents first in a seeded order, up to ``SAMPLE_CHARS`` characters together,
-and ``CALIBRATION_DOCS`` more.  Everything else reads all rows and whole texts.
+``SAMPLE_DOCS`` documents first in a seeded order, up to ``SAMPLE_CHARS`` characters together.
+One in ``CALIBRATION_EVERY`` of them is not counted but calibrates.  Everything else reads all
+rows and whole texts.
 
 A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is everything
 if no labelled text was given.  Ties go to the first language by name.  A null doc_id counts as
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sluicegate.llm.base import crc_mod, restricted, table
 
 ORDER = 4
-SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION_DOCS = 1500, 6_000_000, 300
+SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION_EVERY = 1800, 7_000_000, 6
 #: Deviations from the mean cross-entropy beyond which a text is rejected, at least.
 REJECT_DEVIATIONS = 8.0
 #: Characters scored at a time.
@@ -291,7 +292,7 @@ def _counted(order: int):
 
 
 def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
-            sample_chars: int = SAMPLE_CHARS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
+            sample_chars: int = SAMPLE_CHARS, calibration_every: int = CALIBRATION_EVERY) -> Model:
     """Models of the languages in column ``lang`` of docs, from the bounded sample."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -299,12 +300,13 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
     ranked = (
         labelled.select("doc_id", "lang", F.length("text").alias("size"), h.alias("h"))
-        .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs + calibration_docs))
+        .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs))
     upto = first.rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         ranked.withColumn("chars", F.sum("size").over(upto))
-        .select("doc_id", (F.col("rank") > sample_docs).alias("calibration"), (F.col("chars") <= sample_chars).alias("fits"))
-        .where("calibration OR fits").groupBy("doc_id").agg(F.min("calibration").alias("calibration")).persist())
+        .where(F.col("chars") <= sample_chars)
+        .select("doc_id", (F.col("rank") % calibration_every == 0).alias("calibration"))
+        .groupBy("doc_id").agg(F.min("calibration").alias("calibration")).persist())
     # What comes to the driver is bounded by the sample: n-grams of it, and the calibration texts.
     counts = (
         restricted(labelled, picked.where("NOT calibration")).select("text", "lang")
@@ -317,8 +319,7 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     codes = np.array(counts["gram"].tolist(), np.uint32).reshape(len(counts), order)
     where = {x: i for i, x in enumerate(languages)}
     model = fit(languages, codes, counts["lang"].map(where).to_numpy(np.int64), counts["n"].to_numpy(np.float64))
-    rest = restricted(labelled, picked.where("calibration")).where(F.length("text") <= sample_chars // 100)
-    rest = rest.select("text", "lang").collect()
+    rest = restricted(labelled, picked.where("calibration")).select("text", "lang").collect()
     picked.unpersist()
     rest = [r for r in rest if r["lang"] in where]
     return calibrate(model, [r["text"] for r in rest], [r["lang"] for r in rest])
