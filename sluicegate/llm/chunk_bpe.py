@@ -7,7 +7,9 @@ never met are given to the tokenizer.  Joining chunks or pieces is exact only if
 sees nothing across the cut, so every join is verified: joins are told apart by the characters
 on either side of the cut, the first of each sort is re-encoded with both pieces in one string
 and compared.  Joins that disagree are repaired: the pieces around them are re-encoded together,
-and the window grows until it agrees with its neighbours, in the end to the whole text.
+and the window grows until it agrees with its neighbours, in the end to the whole text.  White
+space at either end of a text is a join too.  For a tokenizer that encodes white space as such,
+no cut agrees and the window is the whole text from the start.
 
 Reuse is per task and its memory is bounded (``CACHE_BYTES``); a full cache starts anew, which
 costs time but changes nothing.
@@ -64,6 +66,7 @@ class ChunkEncoder:
         self.safe: dict[tuple[int, int], bool] = {}
         # Without a decoder, decoding puts one space between tokens, so decoded pieces can be joined.
         self.joins_decoded = tokenizer.decoder is None
+        self.blind = not any(self._direct([SPACES, *(bytes([c]) * n for c in SPACES for n in (1, 2))]))
         self._clear()
 
     def _clear(self) -> None:
@@ -131,7 +134,8 @@ class ChunkEncoder:
         if len(new):
             sort, place = np.unique(left[new] * n + right[new], return_index=True, sorted=True)
             pairs = [(int(pieces[new[p]]), int(pieces[new[p] + 1])) for p in place]
-            seen = self._direct([self.texts[a] + gap + self.texts[b] for a, b in pairs for gap in (b" ", SPACES)])
+            seen = self._direct([
+                end + self.texts[a] + gap + self.texts[b] + end for a, b in pairs for gap, end in ((b" ", b""), (SPACES, SPACES))])
             for k, (a, b) in enumerate(pairs):
                 apart = self._ids_of(a) + self._ids_of(b)
                 good = seen[2 * k] == apart and seen[2 * k + 1] == apart
@@ -158,7 +162,7 @@ class ChunkEncoder:
             at += len(w)
 
         def encoded(a: int, b: int) -> list[int]:
-            return self._direct([text[spans[a][0]:spans[b - 1][1]]])[0]
+            return self._direct([text[spans[a][0] if a else 0:spans[b - 1][1] if b < len(words) else len(text)]])[0]
 
         done = [(a, b, encoded(a, b)) for a, b in groups]
         k = 0
@@ -179,6 +183,10 @@ class ChunkEncoder:
             yield from self._encode(texts[a:b])
 
     def _encode(self, texts: list[bytes]):
+        if not self.blind:
+            for ids in map(self._direct, ([t] for t in texts)):
+                yield np.array(ids[0], np.uint32), self.tokenizer.decode(ids[0], skip_special_tokens=False).encode()
+            return
         rows = self._look_up(texts)
         pieces = np.concatenate([np.zeros(0, np.int32), *rows])
         stop = np.cumsum([len(r) for r in rows])
@@ -197,6 +205,8 @@ class ChunkEncoder:
         for i, (text, close) in enumerate(zip(texts, stop.tolist())):
             if i in broken:
                 own = np.array(self.repaired(text, agrees[begin:close - 1]), np.uint32)
+            elif close - begin == 1 and len(text) > len(self.texts[rows[i][0]]):
+                own = np.array(self._direct([text])[0], np.uint32)  # one piece and the white space at its ends
             else:
                 own = ids[upto[begin]:upto[close]]
             if i in broken or not self.joins_decoded:
