@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from sluicegate.llm.base import table, written
 
-#: Pivots (the bounded sample, for each length of vectors), and how many of them represent a vector.
+#: Pivots, chosen from a bounded sample of four times as many different vectors (for each length of
+#: vectors), and how many of them represent a vector.
 PIVOTS, PREFIX = 256, 96
+#: Cosine above which two sampled vectors are too close to be both pivots.
+CLOSE = 0.8
 #: Part of a shard that is reranked, and least number of vectors.
 SHARE, LEAST = 0.06, 200
 #: Rows of a shard, about, and queries of a block.
@@ -47,6 +50,15 @@ def prefixes(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
     return np.take_along_axis(some, order, 1)
 
 
+def spread_out(sample: np.ndarray, many: int) -> np.ndarray:
+    """The first ``many`` vectors that are not close to one before; close ones only if others lack."""
+    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
+    far, near = [], []
+    for i in range(len(sample)):
+        (near if len(far) and (unit[far] @ unit[i]).max() > CLOSE else far).append(i)
+    return sample[(far + near)[:many]]
+
+
 class InvertedFiles:
     """For each pivot, the vectors that have it in their prefix, with its rank."""
 
@@ -110,14 +122,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, n_pivots: int
     Both are tables as ``usable`` returns them.
     """
     seeded = Window.partitionBy("size").orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id")
-    sample = vectors.withColumn("place", F.row_number().over(seeded)).where(F.col("place") <= n_pivots)
-    pivots: dict[int, list] = {}
-    for row in sample.orderBy("size", "place").collect():  # at most n_pivots for each length of vectors
-        pivots.setdefault(row["size"], []).append(row["embedding"])
+    different = vectors.groupBy("size", "embedding").agg(F.min("vec_id").alias("vec_id"))
+    sample = different.withColumn("place", F.row_number().over(seeded)).where(F.col("place") <= 4 * n_pivots)
+    sampled: dict[int, list] = {}
+    for row in sample.orderBy("size", "place").collect():  # bounded for each length of vectors
+        sampled.setdefault(row["size"], []).append(row["embedding"])
+    pivots = {size: spread_out(np.array(found), n_pivots) for size, found in sampled.items()}
     if not pivots:
         return vectors.select(
             F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    shared = vectors.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in pivots.items()})
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_queries))
     # Every block of queries meets every shard; a task holds one of each.
