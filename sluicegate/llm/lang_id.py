@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluicegate.llm.base import crc_mod, restricted, table
+from sluicegate.llm.base import crc_mod, restricted, table, written
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION_EVERY = 1800, 7_000_000, 6
@@ -302,11 +302,12 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
         labelled.select("doc_id", "lang", F.length("text").alias("size"), h.alias("h"))
         .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs))
     upto = first.rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
+    # Written, its size is known: Spark then decides by its own check whether to broadcast it.
+    picked = written(
         ranked.withColumn("chars", F.sum("size").over(upto))
         .where(F.col("chars") <= sample_chars)
         .select("doc_id", (F.col("rank") % calibration_every == 0).alias("calibration"))
-        .groupBy("doc_id").agg(F.min("calibration").alias("calibration")).persist())
+        .groupBy("doc_id").agg(F.min("calibration").alias("calibration")), "language-sample")
     # What comes to the driver is bounded by the sample: n-grams of it, and the calibration texts.
     counts = (
         restricted(labelled, picked.where("NOT calibration")).select("text", "lang")
@@ -314,13 +315,11 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     languages = sorted(counts["lang"].unique().tolist())
     if not languages:
-        picked.unpersist()
         return Model([], order, [], [], 0.0)
     codes = np.array(counts["gram"].tolist(), np.uint32).reshape(len(counts), order)
     where = {x: i for i, x in enumerate(languages)}
     model = fit(languages, codes, counts["lang"].map(where).to_numpy(np.int64), counts["n"].to_numpy(np.float64))
     rest = restricted(labelled, picked.where("calibration")).select("text", "lang").collect()
-    picked.unpersist()
     rest = [r for r in rest if r["lang"] in where]
     return calibrate(model, [r["text"] for r in rest], [r["lang"] for r in rest])
 
