@@ -4,8 +4,10 @@ One model per learned language.  All n-grams of an order that any language knows
 array of hashes beside a matrix of log probabilities, a column per language, with discounts and
 interpolation already applied; contexts have a second array with their back-off weights.  The
 prediction is the language of the lowest cross-entropy per character.  ``score`` is its
-probability under a temperature fitted on documents kept out of the counts, and ``rejected``
-tells that the text is further from its language than calibration documents are.
+probability under a temperature fitted on documents kept out of the counts.  ``rejected`` tells
+that the text is further from the learned languages than calibration documents are, even if each
+stretch of ``STRETCH`` characters may be in the language that suits it best, so that a quotation
+in another learned language rejects nothing.
 
 The models are fitted on a bounded sample, whole documents only: per language the
 ``SAMPLE_DOCS`` documents first in a seeded order, up to ``SAMPLE_CHARS`` characters together.
@@ -33,6 +35,8 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION_EVERY = 1800, 7_000_000, 6
 #: Deviations from the mean cross-entropy beyond which a text is rejected, at least.
 REJECT_DEVIATIONS = 8.0
+#: Characters that may be in a language of their own.
+STRETCH = 128
 #: Characters scored at a time.
 BLOCK_CHARS = 400_000
 SPACE = 32
@@ -140,12 +144,12 @@ class Model:
             out[miss] = lower
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: cross-entropy per character by language (nats), number of characters
-        predicted, and whether it has a letter.  A text longer than a block is read block by
-        block, each starting without context."""
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: cross-entropy per character by language (nats), the same with the best
+        language of each stretch, number of characters predicted, and whether it has a letter.
+        A text longer than a block is read block by block, each starting without context."""
         n = len(texts)
-        sums, count = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
+        sums, count = np.zeros((n, len(self.languages) + 1)), np.zeros(n, np.int64)
         lettered = np.zeros(n, bool)
         part, who, size = [], [], 0
         for i, text in enumerate(texts):
@@ -159,7 +163,8 @@ class Model:
                 size += len(piece)
         if part:
             self._add(part, np.array(who), sums, count, lettered)
-        return -sums / np.maximum(count, 1)[:, None], count, lettered
+        entropy = -sums / np.maximum(count, 1)[:, None]
+        return entropy[:, :-1], entropy[:, -1], count, lettered
 
     def _add(self, part, who, sums, count, lettered) -> None:
         codes, predicted, owner = characters(part, self.order)
@@ -168,8 +173,14 @@ class Model:
         log_p = self._log_p(self.order, keys, at)
         owner = owner[at]
         np.add.at(count, who, np.bincount(owner, minlength=len(part)))
-        for j in range(len(self.languages)):
-            np.add.at(sums[:, j], who, np.bincount(owner, log_p[:, j], minlength=len(part)))
+        if len(at) and self.languages:
+            own = np.bincount(owner, minlength=len(part))
+            place = np.arange(len(at)) - (np.cumsum(own) - own)[owner]
+            start = np.flatnonzero(place % STRETCH == 0)
+            stretches = np.add.reduceat(log_p, start, axis=0, dtype=np.float64)
+            stretches = np.concatenate([stretches, stretches.max(axis=1)[:, None]], axis=1)
+            for j in range(stretches.shape[1]):
+                np.add.at(sums[:, j], who, np.bincount(owner[start], stretches[:, j], minlength=len(part)))
         lettered[who[np.bincount(owner, codes[at] != SPACE, minlength=len(part)) > 0]] = True
 
     def deviations(self, best: np.ndarray, entropy: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -178,14 +189,14 @@ class Model:
 
     def predict(self, texts: list[str]):
         """Language, score, cross-entropy per character and rejection of each text."""
-        entropy, count, lettered = self.entropies(texts)
+        entropy, mixed, count, lettered = self.entropies(texts)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), [True] * len(texts)
         best = np.argmin(entropy, axis=1)
         low = entropy[np.arange(len(texts)), best]
         gap = (entropy - low[:, None]) * count[:, None] * self.beta
         score = np.where(lettered, 1 / np.exp(-np.minimum(gap, 700)).sum(axis=1), 0.0)
-        rejected = ~lettered | (self.deviations(best, low, count) > self.limit)
+        rejected = ~lettered | (self.deviations(best, mixed, count) > self.limit)
         names = [self.languages[b] if ok else "und" for b, ok in zip(best, lettered)]
         return names, score, np.where(lettered, low, 0.0), rejected.tolist()
 
@@ -245,25 +256,25 @@ def calibrate(model: Model, texts: list[str], labels: list[str]) -> Model:
     """Set temperature and rejection limits from labelled texts outside the counts."""
     many = len(model.languages)
     model.mean, model.spread, model.per_char = np.full(many, np.log(30.0)), np.full(many, 1.0), np.full(many, 4.0)
-    entropy, count, lettered = model.entropies(texts)
+    entropy, mixed, count, lettered = model.entropies(texts)
     truth = np.array([model.languages.index(x) for x in labels], np.int64)
     use = np.flatnonzero(lettered & (count >= 20))
     if not len(use):
         return model
-    entropy, count, truth = entropy[use], count[use], truth[use]
+    entropy, mixed, count, truth = entropy[use], mixed[use], count[use], truth[use]
     own = entropy[np.arange(len(use)), truth]
     for j in range(many):
         mine = truth == j
         if mine.sum() >= 5:
-            model.mean[j] = np.median(own[mine])
-            model.spread[j] = max(0.02, 1.4826 * np.median(np.abs(own[mine] - model.mean[j])))
+            model.mean[j] = np.median(mixed[mine])
+            model.spread[j] = max(0.02, 1.4826 * np.median(np.abs(mixed[mine] - model.mean[j])))
     gap = (entropy - own[:, None]) * count[:, None]
     losses = []
     for beta in (2.0 ** -k for k in range(12)):
         losses.append((float(np.log(np.exp(-np.clip(gap * beta, -700, 700)).sum(axis=1)).mean()), beta))
     model.beta = min(losses)[1]
     best = np.argmin(entropy, axis=1)
-    off = model.deviations(best, entropy[np.arange(len(use)), best], count)
+    off = model.deviations(best, mixed, count)
     model.limit = max(REJECT_DEVIATIONS, 1.1 * float(np.quantile(off, 0.995)))
     return model
 
