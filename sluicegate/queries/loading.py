@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sluicegate import messages
-from sluicegate.contracts import Contract, Field
+from sluicegate.contracts import Contract, Field, project
 from sluicegate.operators import validate
 from sluicegate.plans.imports import import_files
 from sluicegate.plans.store import LOAD, Store
 from sluicegate.queries.base import query, table
 from sluicegate.session import work_folder
-from sluicegate.sources.landing import list_files
+from sluicegate.sources import landing, workbooks
+from sluicegate.sources.landing import FILE, ROW_NUMBER, list_files
 
 ORDER_LINES = Contract("order_lines", "Order lines", "order_lines", (
     Field("Order", "order_key", "NVARCHAR(20)", required=True),
@@ -66,3 +72,55 @@ def import_pipeline(spark, folder):
     loads = store.batches().groupBy(LOAD, "table_name", "uploaded_by").agg(
         F.min("status").alias("status"), F.every(F.length("file_hash") == 64).alias("hashed"), *tallies)
     return loads.join(stored, LOAD)
+
+
+CUSTOMERS = Contract("customers", "Customers", "customers", (
+    Field("Customer", "customer", "INT", required=True),
+    Field("Name", "name", "NVARCHAR(255)", required=True),
+    Field("Balance", "balance", "DECIMAL(10,2)"),
+    Field("Segment", "segment", "NVARCHAR(50)"),
+    Field("Comment", "comment", "NVARCHAR(50)"),
+))
+BOOK_ROWS = 500
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def _workbook(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """A workbook of the rows of one block, in key order: header in row 1, a blank row after it."""
+    def line(number: int, cells: list) -> str:
+        inner = "".join(f'<c r="{chr(65 + i)}{number}" t="inlineStr"><is><t>{escape(str(c))}</t></is></c>'
+                        for i, c in enumerate(cells) if c is not None)
+        return f'<row r="{number}">{inner}</row>'
+
+    lines = [line(1, [" customer", "Unknown", "NAME", "balance ", "Segment"])]
+    for number, r in enumerate(rows.sort_values("c_custkey").itertuples(index=False), start=3):
+        lines.append(line(number, [r.c_custkey, "x", r.c_name, r.balance, r.segment]))
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>'
+                                         '<sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PKG}">'
+                                                    '<Relationship Id="r1" Type="t" Target="worksheets/s.xml"/></Relationships>')
+        book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return pd.DataFrame({FILE: [f"block-{key[0]}.xlsx"], "content": [content.getvalue()]})
+
+
+@query(f"""
+    SELECT concat('block-', c_custkey // {BOOK_ROWS}, '.xlsx') AS file,
+           row_number() OVER (PARTITION BY c_custkey // {BOOK_ROWS} ORDER BY c_custkey) + 2 AS row_number,
+           CAST(c_custkey AS INTEGER) AS customer, c_name AS name, CAST(c_acctbal AS DECIMAL(10,2)) AS balance,
+           nullif(c_mktsegment, 'BUILDING') AS segment, CAST(NULL AS VARCHAR) AS comment
+    FROM customer""")
+def contract_workbooks(spark, folder):
+    """Customers as workbooks of at most 500 rows, read back under a contract."""
+    rows = table(spark, folder, "customer").select(
+        "c_custkey", "c_name", F.format_string("%.2f", "c_acctbal").alias("balance"),
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"),
+        F.floor(F.col("c_custkey") / BOOK_ROWS).cast("long").alias("block"))
+    books = rows.groupBy("block").applyInPandas(_workbook, f"{FILE} string, content binary")
+    scanned = workbooks.scan_contents(books, by_key=True)
+    cells = workbooks.sheet_table(scanned, [f.header.lower() for f in CUSTOMERS.fields])
+    filled = landing.drop_blank_rows(cells)
+    return project(filled, CUSTOMERS, keep=[FILE, ROW_NUMBER]).withColumnRenamed(FILE, "file")

@@ -209,7 +209,7 @@ def scan_workbooks(landing: Landing, by_key: bool = False, without: DataFrame |
     if without is not None:
         files = files.join(without.select(FILE), FILE, "left_anti")
     admitted = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
-    rows = admitted.select(F.col(FILE).alias("path"), "content").mapInPandas(_reader(by_key, max_unpacked), ROW_SCHEMA)
+    rows = scan_contents(admitted, by_key, max_unpacked)
     if max_bytes is None:
         return rows
     return rows.unionByName(files.filter(F.col("length") > max_bytes).select(
@@ -218,6 +218,11 @@ def scan_workbooks(landing: Landing, by_key: bool = False, without: DataFrame |
         F.lit("the file is over the size limit").alias("problem")))
 
 
+def scan_contents(files: DataFrame, by_key: bool = False, max_unpacked: int | None = None) -> DataFrame:
+    """As ``scan_workbooks``, of workbooks that are cells of a table (``_file``, ``content``)."""
+    return files.select(F.col(FILE).alias("path"), "content").mapInPandas(_reader(by_key, max_unpacked), ROW_SCHEMA)
+
+
 def sheet_problems(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("problem").isNotNull()).select(FILE, "problem")
 
