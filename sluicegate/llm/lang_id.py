@@ -361,10 +361,10 @@ def training_part(docs: DataFrame) -> DataFrame:
     return docs.where(crc_mod(F.col("doc_id"), 4) != 2)
 
 
-def _accepted(model, names: list[str]):
+def _accepted(model, place: int):
     def keep(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(names.index("text")).cast(pa.string()).to_pylist()]
+            texts = [t or "" for t in batch.column(place).cast(pa.string()).to_pylist()]
             *_, rejected = model.value.predict(texts)
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 
@@ -374,7 +374,8 @@ def _accepted(model, names: list[str]):
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with their columns."""
     model = docs.sparkSession.sparkContext.broadcast(trained(training_part(docs)))
-    return docs.mapInArrow(_accepted(model, docs.columns), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any names may follow
+    return plain.mapInArrow(_accepted(model, docs.columns.index("text")), plain.schema).toDF(*docs.columns)
 
 
 def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
