@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sluicegate.llm.base import written
 
 
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of links (a, b); the component is its smallest node.
 
@@ -19,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "components")
+    before = _digest(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(
@@ -37,9 +42,9 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .union(least.select(F.col("node").alias("a"), F.col("low").alias("b")))
             .distinct())
-        done = edges
         edges = written(small, "components")
-        # Stars that do not change any more: equal edge sets.
-        if edges.count() == done.count() and not edges.exceptAll(done).take(1):
+        # Stars that do not change any more: equal edge sets, known by number and hashes.
+        before, last = _digest(edges), before
+        if before == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
