@@ -381,4 +381,22 @@ def op3_lpf_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_lpf_repeats": op3_lpf_repeats}
-SQL: dict[str, str] = {}
+#: Windows are compared by hash, bytes are written in hexadecimal.
+SQL = {"op3_lpf_repeats": r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS body, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+starts AS (SELECT doc_id, body, unnest(range(1, n_bytes - 398)) AS i FROM bytes),
+windows AS (SELECT doc_id, i, hash(substr(body, 2 * i - 1, 800)) AS h FROM starts),
+repeated AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM repeated),
+grouped AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS first, max(i) + 400 AS behind FROM grouped GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, span, coalesce(lag(behind) OVER (PARTITION BY doc_id ORDER BY span), 1) AS open, first, behind FROM spans),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(behind - first)::BIGINT AS n_removed,
+         string_agg(substr(body, 2 * open - 1, 2 * (first - open)), '' ORDER BY span) || substr(any_value(body), 2 * max(behind) - 1) AS body
+  FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, b.n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.body, b.body))) AS kept_sha256
+FROM bytes AS b LEFT JOIN kept AS k USING (doc_id)"""}
