@@ -11,8 +11,8 @@ and the window grows until it agrees with its neighbours, in the end to the whol
 space at either end of a text is a join too.  For a tokenizer that encodes white space as such,
 no cut agrees and the window is the whole text from the start.
 
-Reuse is per task and its memory is bounded (``CACHE_BYTES``); a full cache starts anew, which
-costs time but changes nothing.
+Reuse is per task and its memory is bounded (``CACHE_BYTES``): a full cache forgets its chunks and
+the pieces met only once, which costs time but changes nothing.
 
 A null text counts as empty: no ids, and the empty text decoded.  Texts are encoded whole.
 Repeated rows give equal results, an empty table no rows; other columns play no part.
@@ -31,8 +31,12 @@ from sluicegate.llm.base import SPACES, prefix_hashes, slices, table, values
 
 #: Bytes under the rolling hash, and hash bits that must be zero: chunks of about 64 words.
 WINDOW, CUT_BITS = 16, 6
-#: Bytes of chunk and piece texts that a task remembers, and of texts it works on at a time.
-CACHE_BYTES, BATCH_BYTES = 24_000_000, 4_000_000
+#: Bytes of memory that a task spends on chunks and pieces, about, and of texts it works on at a time.
+CACHE_BYTES, BATCH_BYTES = 100_000_000, 2_000_000
+#: Bytes that a piece and a chunk take besides their texts: objects, dictionary entries, ids.
+PIECE_COST, CHUNK_COST = 280, 250
+#: Different characters at the edges of pieces, at most, that outlive a full cache.
+MOST_EDGES = 3000
 
 
 def chunks(texts: list[bytes]) -> list[list[bytes]]:
@@ -79,8 +83,29 @@ class ChunkEncoder:
         self.decoded: list[bytes] = []
         self.edges: dict[str, int] = {}
         self.known = np.zeros((64, 64), np.int8)  # joins by edge characters: 0 new, 1 agrees, 2 does not
+        self.used = np.zeros(0, np.int64)
         self.held = 0
 
+    def _shrink(self) -> None:
+        """Forget all chunks and the pieces met once, or if these are many, met least."""
+        keep = np.flatnonzero(self.used > 1)
+        most = self.cache_bytes // (2 * PIECE_COST)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[:most]])
+        length = self.length[keep]
+        end = np.cumsum(length)
+        total = int(end[-1]) if len(end) else 0
+        self.ids = self.ids[np.repeat(self.offset[keep] - (end - length), length) + np.arange(total)]
+        self.offset, self.length, self.first, self.last = end - length, length, self.first[keep], self.last[keep]
+        self.used = self.used[keep] // 2
+        self.texts = [self.texts[i] for i in keep.tolist()]
+        self.decoded = [self.decoded[i] for i in keep.tolist()]
+        self.pieces = {t: i for i, t in enumerate(self.texts)}
+        self.chunk_pieces = {}
+        self.held = sum(map(len, self.texts)) + PIECE_COST * len(self.texts)
+        if len(self.edges) > MOST_EDGES:
+            self._clear()
+
     def _direct(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
@@ -99,6 +124,7 @@ class ChunkEncoder:
         self.first = np.concatenate([self.first, np.array([edges.setdefault(t[0], len(edges)) for t in texts], np.int64)])
         self.last = np.concatenate([self.last, np.array([edges.setdefault(t[-1], len(edges)) for t in texts], np.int64)])
         self.texts += new
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
 
     def _look_up(self, texts: list[bytes]) -> list[np.ndarray]:
         """Pieces of each text, as numbers."""
@@ -110,12 +136,12 @@ class ChunkEncoder:
                 if chunk in known or chunk in split:
                     continue
                 words = split[chunk] = chunk.split()
-                self.held += len(chunk)
+                self.held += len(chunk) + CHUNK_COST
                 for w in words:
                     if w not in pieces:
                         pieces[w] = len(pieces)
                         new.append(w)
-                        self.held += len(w)
+                        self.held += len(w) + PIECE_COST
         self._add_pieces(new)
         for chunk, words in split.items():
             known[chunk] = np.array([pieces[w] for w in words], np.int32)
@@ -179,7 +205,7 @@ class ChunkEncoder:
         """Ids of each text, and the decoded text in UTF-8."""
         for a, b in slices(texts, BATCH_BYTES):
             if self.held > self.cache_bytes:
-                self._clear()
+                self._shrink()
             yield from self._encode(texts[a:b])
 
     def _encode(self, texts: list[bytes]):
@@ -189,6 +215,7 @@ class ChunkEncoder:
             return
         rows = self._look_up(texts)
         pieces = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.used += np.bincount(pieces, minlength=len(self.used))
         stop = np.cumsum([len(r) for r in rows])
         agrees = np.ones(max(0, len(pieces) - 1), bool)
         if len(pieces) > 1:
@@ -249,16 +276,17 @@ def _encoded(path: str | None, digests: bool):
     def run(batches):
         encoder = _encoder(path)
         for batch in batches:
-            ids, decoded, count = [], [], []
-            for own, text in encoder.encode(values(batch.column("text"))):
-                count.append(len(own))
-                raw = own.astype("<u4").tobytes()
-                ids.append(hashlib.sha256(raw).hexdigest() if digests else own.astype(np.int32))
-                decoded.append(hashlib.sha256(text).hexdigest() if digests else text.decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count, pa.int64()),
-                 pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids", "decoded"])
+            texts = values(batch.column("text"))
+            for a, b in slices(texts, BATCH_BYTES):  # small batches: ids and decoded text are larger than the text
+                ids, decoded, count = [], [], []
+                for own, text in encoder.encode(texts[a:b]):
+                    count.append(len(own))
+                    ids.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest() if digests else own.astype(np.int32))
+                    decoded.append(hashlib.sha256(text).hexdigest() if digests else text.decode())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(count, pa.int64()),
+                     pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
