@@ -87,7 +87,7 @@ _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
-def _workbook(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _workbook(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A workbook of the rows of one block, in key order: header in row 1, a blank row after it."""
     def line(number: int, cells: list) -> str:
         inner = "".join(f'<c r="{chr(65 + i)}{number}" t="inlineStr"><is><t>{escape(str(c))}</t></is></c>'

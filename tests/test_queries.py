@@ -19,7 +19,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    assert queries()[name] is QUERIES[name]
+    assert queries()[name].__wrapped__ is QUERIES[name]
     assert compare(spark, con, SMALL, queries()[name], oracle_sql()[name]) is None
 
 
