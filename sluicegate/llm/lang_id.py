@@ -38,7 +38,7 @@ REJECT_DEVIATIONS = 8.0
 #: Characters that may be in a language of their own.
 STRETCH = 128
 #: Characters scored at a time.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 200_000
 SPACE = 32
 
 _MULTIPLIERS = np.array(
