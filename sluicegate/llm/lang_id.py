@@ -11,7 +11,9 @@ in another learned language rejects nothing.
 
 The models are fitted on a bounded sample, whole documents only: per language the
 ``SAMPLE_DOCS`` documents first in a seeded order, up to ``SAMPLE_CHARS`` characters together.
-One in ``CALIBRATION_EVERY`` of them is not counted but calibrates.  Everything else reads all
+Documents of more than one ``LONG_SHARE``-th of those characters come after all others, the
+shortest first, so that a long text never takes the place of another; the first document is
+always taken, however long, so that a language with any labelled letter has a model.  One in ``CALIBRATION_EVERY`` of them is not counted but calibrates.  Everything else reads all
 rows and whole texts.
 
 A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is everything
@@ -33,6 +35,8 @@ from sluicegate.llm.base import crc_mod, restricted, table, written
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION_EVERY = 1800, 7_000_000, 6
+#: A document of more than this part of the sample's characters waits until the shorter ones are in.
+LONG_SHARE = 100
 #: Deviations from the mean cross-entropy beyond which a text is rejected, at least.
 REJECT_DEVIATIONS = 8.0
 #: Characters that may be in a language of their own.
@@ -82,6 +86,22 @@ def gram_keys(codes: np.ndarray, order: int) -> np.ndarray:
     return keys
 
 
+def _blocks(texts: list[str], most: int):
+    """Pieces of texts and the text of each, up to ``most`` characters together."""
+    part, who, size = [], [], 0
+    for i, text in enumerate(texts):
+        for begin in range(0, len(text), most):
+            piece = text[begin:begin + most]
+            if part and size + len(piece) > most:
+                yield part, who
+                part, who, size = [], [], 0
+            part.append(piece)
+            who.append(i)
+            size += len(piece)
+    if part:
+        yield part, who
+
+
 @dataclass
 class HashArray:
     """Sorted hashes with a value row each; ``start`` is where the hashes of each high part begin."""
@@ -151,17 +171,7 @@ class Model:
         n = len(texts)
         sums, count = np.zeros((n, len(self.languages) + 1)), np.zeros(n, np.int64)
         lettered = np.zeros(n, bool)
-        part, who, size = [], [], 0
-        for i, text in enumerate(texts):
-            for begin in range(0, len(text), BLOCK_CHARS):
-                piece = text[begin:begin + BLOCK_CHARS]
-                if part and size + len(piece) > BLOCK_CHARS:
-                    self._add(part, np.array(who), sums, count, lettered)
-                    part, who, size = [], [], 0
-                part.append(piece)
-                who.append(i)
-                size += len(piece)
-        if part:
+        for part, who in _blocks(texts, BLOCK_CHARS):
             self._add(part, np.array(who), sums, count, lettered)
         entropy = -sums / np.maximum(count, 1)[:, None]
         return entropy[:, :-1], entropy[:, -1], count, lettered
@@ -286,15 +296,16 @@ def _counted(order: int):
             out = [[], [], []]
             for lang in sorted(set(langs)):
                 own = [t or "" for t, x in zip(texts, langs) if x == lang]
-                codes, predicted, _ = characters(own, order)
-                at = np.flatnonzero(predicted)
-                if not len(at):
-                    continue
-                _, first, group = _grouped(gram_keys(codes, order)[at])
-                rows = codes[at[first][:, None] + np.arange(1 - order, 1)]
-                out[0] += [lang] * len(first)
-                out[1] += rows.astype("<u4").tolist()
-                out[2] += np.bincount(group, minlength=len(first)).tolist()
+                for part, _ in _blocks(own, SAMPLE_CHARS):
+                    codes, predicted, _ = characters(part, order)
+                    at = np.flatnonzero(predicted)
+                    if not len(at):
+                        continue
+                    _, first, group = _grouped(gram_keys(codes, order)[at])
+                    rows = codes[at[first][:, None] + np.arange(1 - order, 1)]
+                    out[0] += [lang] * len(first)
+                    out[1] += rows.astype("<u4").tolist()
+                    out[2] += np.bincount(group, minlength=len(first)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.int64())],
                 ["lang", "gram", "n"])
@@ -308,7 +319,9 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "size")
+    # Long documents come last, by size: the running sum then cuts off none that is shorter.
+    late = F.when(F.col("size") * LONG_SHARE > sample_chars, F.col("size")).otherwise(F.lit(0))
+    first = Window.partitionBy("lang").orderBy(late, "h", "doc_id", "size")
     ranked = (
         labelled.select("doc_id", "lang", F.length("text").alias("size"), h.alias("h"))
         .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs))
@@ -316,7 +329,7 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     # Written, its size is known: Spark then decides by its own check whether to broadcast it.
     picked = written(
         ranked.withColumn("chars", F.sum("size").over(upto))
-        .where(F.col("chars") <= sample_chars)
+        .where((F.col("chars") <= sample_chars) | (F.col("rank") == 1))
         .select("doc_id", (F.col("rank") % calibration_every == 0).alias("calibration"))
         .groupBy("doc_id").agg(F.min("calibration").alias("calibration")), "language-sample")
     # What comes to the driver is bounded by the sample: n-grams of it, and the calibration texts.

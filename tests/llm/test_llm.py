@@ -478,6 +478,25 @@ def test_unlike_texts_are_rejected(spark):
     assert kept.columns == docs.columns and kept.count() >= 0.99 * docs.count()
 
 
+def test_long_texts_take_no_place_in_the_sample(spark):
+    """A language whose first-ranked text exceeds the bound, one with several long ones early, one of a long text alone."""
+    words = {"x": "abba cabba ", "y": "lomo molo ", "z": "tiki kiti "}
+    h = F.xxhash64(F.col("id").cast("string"))
+    ranked = [r["id"] for r in spark.range(300).orderBy(h).select("id").collect()]
+    rows = []
+    for place, doc in enumerate(ranked):
+        lang = "xy"[place % 2]
+        size = 30_000 if place == 0 else 6_000 if lang == "y" and place < 8 else 40
+        rows.append((doc, (words[lang] * size)[:size], lang))
+    rows.append((1000, (words["z"] * 30_000)[:30_000], "z"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.trained(docs, sample_chars=20_000)
+    assert model.languages == ["x", "y", "z"]
+    assert model.predict([words[x] * 9 for x in "xyz"])[0] == ["x", "y", "z"]
+    # The texts after the long ones are calibrated on, too; the default spread stands for fewer than five.
+    assert all(model.spread[i] < 1.0 for i in (0, 1))
+
+
 # -- nearest neighbours --------------------------------------------------------------------------
 
 def vectors(seed=1, n=3000, size=24):
