@@ -7,9 +7,12 @@ equal pseudonyms in all documents, whatever separators they were written with, a
 the key can invert it.
 
 Kinds: ``email`` (letters and digits of the local part), ``phone`` (ten digits after an optional
-country code 1, or the digits after another country code), ``card`` (13 to 19 digits with a
-Luhn check digit), ``ssn`` (valid area, group and serial), ``ip`` (dotted quad without leading
-zeros), ``date`` (real days of 1900 to 2099).  What fails validation stays as it is.
+country code 1, or the digits after another country code; ten digits without a plus, brackets or
+two separators only if area and exchange begin with 2 to 9, and so does their pseudonym),
+``card`` (13 to 19 digits with a Luhn check digit, unbroken or in the groups cards are printed
+in), ``ssn`` (valid area, group and serial), ``ip`` (dotted quad without leading zeros), ``date``
+(real days of 1900 to 2099).  What fails validation stays as it is.  One to three digits after a
+space behind four groups of four belong to the card only if the sixteen are no card.
 
 A null text stays null with no pseudonyms, texts of any length are read whole, repeated rows
 give equal results, an empty table no rows; other columns play no part.
@@ -27,15 +30,29 @@ DEMO_KEY = "demonstration key"
 ROUNDS = 10
 
 _DATE_YMD = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"
-_DATE_DMY = r"\d{1,2}[./]\d{1,2}[./]\d{4}"
+_DATE_DMY = r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,2}-\d{1,2}-\d{4}"
 _IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
-_CARD = r"\d{4}(?:[ -]\d{4}){3}|\d{13,19}"
+#: A short last group is not the beginning of a number, date or address of its own.
+_LAST = r"(?![\w%+/.-]{0,64}+@|[\w%+/]|[ .,:-]{1,2}[(+]?[0-9])"
+_CARD = (
+    rf"\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -]\d{{1,3}}{_LAST})?|\d{{4}}(?:[ -]\d{{4}}){{2}}[ -]\d{{1,3}}{_LAST}|"
+    r"\d{4}[ -]\d{6}[ -](?:\d{5}|\d{4}(?![-/]))|\d{4}[ -]\d{4}[ -]\d{5}|\d{4}[ -]\d{5}[ -]\d{6}|"
+    r"\d{6}[ -]\d{7,13}|\d{13,19}")
 _PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
-_ABROAD = r"\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,5}"
+#: Marked by a plus or brackets; without them, letters around or decimal places tell other numbers apart.
+_MARKED = r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})|(?:1[ .-]?)?\(\d{3}\))[ .-]?\d{3}[ .-]?\d{4}"
+_BARE = (
+    r"(?<![A-Za-z_])(?<![0-9][.,])(?:1?\d{10}|(?:1[ -])?(?:\d{10}|\d{3}[ -]\d{7}|\d{6}[ -]\d{4}))"
+    r"(?![A-Za-z_]|[.,][0-9])")
+_ABROAD = r"\+[2-9]\d{0,2}(?:[ .-]?\(0\))?(?:[ .-]?\(?\d{2,4}\)?){2,5}"
+#: Country codes in use, 1 aside; none begins another.
+_COUNTRY = (
+    r"2(?:[07]|1[12368]|[2346]\d|5[0-8]|9[01789])|3(?:[0-469]|[57]\d|8[0-35-79])|4(?:[013-9]|2[013])|5(?:[1-8]|[09]\d)|"
+    r"6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])|7|8(?:[1246]|0[08]|5[02356]|7[08]|8[0-368])|9(?:[0-58]|6[0-8]|7[0-79]|9[2-68])")
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
 PATTERN = (
-    rf"{_EMAIL}|(?<![0-9])(?=[+(0-9])(?:{_IP}|{_DATE_YMD}|{_DATE_DMY}|{_SSN}|{_CARD}|{_PHONE}|{_ABROAD})(?![0-9])")
+    rf"{_EMAIL}|(?<![0-9])(?=[+(0-9])(?:{_IP}|{_DATE_YMD}|{_DATE_DMY}|{_SSN}|{_CARD}|{_PHONE}|{_MARKED}|{_BARE}|{_ABROAD})(?![0-9])")
 
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days are 1900 to 2099
 
@@ -104,26 +121,63 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
+def _check(digits: Column) -> Column:
+    """The check digit to follow."""
+    return F.pmod(10 - F.pmod(_luhn_sum(digits, True), F.lit(10)), F.lit(10)).cast("string")
+
+
 def _card(m: Column, key: str, inverse: bool) -> Column:
+    """Beyond 16 digits the Luhn sum of the first 16 stays, so that these are a card before and
+    after or neither time."""
     digits = _digits(m)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = _permuted_digits(body, "card", key, inverse)
-    check = F.pmod(10 - F.pmod(_luhn_sum(new, True), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0, _into(m, F.concat(new, check)))
+    sixteen = F.pmod(_luhn_sum(F.substring(digits, 1, 16), False), F.lit(10))
+    apart = m.rlike(r"^\d{4}(?:[ -]\d{4}){3} \d{1,3}$") & (sixteen == 0)
+    number = F.when(apart, F.substring(digits, 1, 16)).otherwise(digits)
+    long = F.length(number) > 16
+    body = F.when(long, F.concat(F.substring(number, 1, 15), F.substring(number, F.lit(17), F.length(number) - 17))).otherwise(
+        F.substring(number, F.lit(1), F.length(number) - 1))
+
+    def completed(new: Column) -> Column:
+        head = F.substring(new, 1, 15)
+        return F.when(long, F.concat(
+            head, F.pmod(sixteen - _luhn_sum(head, True), F.lit(10)).cast("string"), F.substring(new, 16, 3))).otherwise(new)
+
+    # Results are used more than once, as the one element of an array.
+    whole = F.transform(F.transform(F.array(_permuted_digits(body, "card", key, inverse)), completed),
+                        lambda new: F.concat(new, _check(new), F.when(apart, F.substring(digits, 17, 3)).otherwise("")))
+    return F.when(F.pmod(_luhn_sum(number, False), F.lit(10)) == 0, _into(m, F.element_at(whole, 1)))
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
+    """Numbers whose area and exchange begin with 2 to 9 are permuted among themselves, as are the others."""
     digits = _digits(m)
     own = F.substring(digits, -10, 10)
     code = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    return F.when(F.length(digits).between(10, 11), _into(m, F.concat(code, _permuted_digits(own, "phone", key, inverse))))
+    a, b = F.substring(own, 1, 1).cast("long"), F.substring(own, 4, 1).cast("long")
+    rest = F.concat(F.substring(own, 2, 2), F.substring(own, 5, 6)).cast("long")
+    usual = (a >= 2) & (b >= 2)
+    pair = F.when(usual, (a - 2) * 8 + b - 2).when(a < 2, a * 10 + b).otherwise(16 + a * 2 + b)  # 64, or 36
+    new = feistel(pair * 10 ** 8 + rest, "phone", F.when(usual, 640_000).otherwise(360_000).cast("long"), 10_000, key, inverse)
+
+    def written(v: Column) -> Column:
+        pair, rest = F.floor(v / 10 ** 8), F.lpad(F.pmod(v, F.lit(10 ** 8)).cast("string"), 8, "0")
+        first = F.when(usual, F.floor(pair / 8) + 2).when(pair < 20, F.floor(pair / 10)).otherwise(F.floor((pair - 16) / 2))
+        fourth = F.when(usual, F.pmod(pair, F.lit(8)) + 2).when(pair < 20, F.pmod(pair, F.lit(10))).otherwise(F.pmod(pair, F.lit(2)))
+        return F.concat(first.cast("string"), F.substring(rest, 1, 2), fourth.cast("string"), F.substring(rest, 3, 6))
+
+    valid = F.length(digits).between(10, 11) & (m.rlike(r"[+(]") | m.rlike(rf"^{_PHONE}$") | usual)
+    return F.when(valid, _into(m, F.concat(code, F.element_at(F.transform(F.array(new), written), 1))))
 
 
 def _abroad(m: Column, key: str, inverse: bool) -> Column:
-    code = F.regexp_extract(m, r"^\+(\d{1,3})[ .-]", 1)
-    own = F.substring(_digits(m), F.length(code) + 1, F.lit(20))
-    valid = (F.length(code) > 0) & F.length(own).between(6, 12)
-    return F.when(valid, _into(m, F.concat(code, _permuted_digits(own, "abroad", key, inverse))))
+    """The country code is the listed one; an unlisted one is told by the separator after it."""
+    listed = F.regexp_extract(m, rf"^\+({_COUNTRY})", 1)
+    code = F.when(listed != "", listed).otherwise(F.regexp_extract(m, r"^\+(\d{1,3})[ .-]", 1))
+    trunk = F.when(m.rlike(r"^\+\d+[ .-]?\(0\)"), "0").otherwise("")  # written, but not part of the number
+    own = F.substring(_digits(m), F.length(code) + F.length(trunk) + 1, F.lit(20))
+    valid = (F.length(code) > 0) & F.length(own).between(6, 12) & (
+        (trunk == "") | (F.regexp_extract(m, r"^\+(\d+)[ .-]?\(0\)", 1) == code))
+    return F.when(valid, _into(m, F.concat(code, trunk, _permuted_digits(own, "abroad", key, inverse))))
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
@@ -215,7 +269,7 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
 
 
 _KINDS = (("email", "@", _email), ("ip", rf"^{_IP}$", _ip), ("date", rf"^(?:{_DATE_YMD}|{_DATE_DMY})$", _date),
-          ("ssn", rf"^{_SSN}$", _ssn), ("card", rf"^(?:{_CARD})$", _card), ("phone", rf"^(?:{_PHONE})$", _phone),
+          ("ssn", rf"^{_SSN}$", _ssn), ("card", rf"^(?:{_CARD})$", _card), ("phone", rf"^(?:{_PHONE}|{_MARKED}|{_BARE})$", _phone),
           ("phone", rf"^{_ABROAD}$", _abroad))
 
 

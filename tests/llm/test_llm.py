@@ -603,6 +603,52 @@ def test_pseudonyms_keep_their_format(spark):
     assert all(a["pseudonym"] != b["pseudonym"] for a, b in zip(other["pseudonyms"], found))
 
 
+WRITTEN = [  # a number, its digits without country code, its forms
+    ("phone", 10, ["+1 (415) 555-0123", "+14155550123", "4155550123", "14155550123", "(415)5550123", "+1(415)5550123", "415-555-0123",
+                   "415 5550123", "415555-0123", "1 (415) 555-0123"]),
+    ("phone", 10, ["+1 (105) 055-0123", "+11050550123", "(105)0550123", "105.055.0123"]),
+    ("phone", 10, ["+44 20 7123 4567", "+442071234567", "+44-2071234567", "+44 (0)20 7123 4567", "+4420 7123 4567"]),
+    ("phone", 9, ["+420 601 123 456", "+420601123456", "+420-601-123456"]),
+    ("card", 15, ["378282246310005", "3782-822463-10005", "3782 822463 10005"]),
+    ("card", 13, ["4222222222222", "4222 2222 2222 2", "4222-2222-22222"]),
+    ("card", 14, ["30569309025904", "3056 930902 5904", "3056 9309 0259 04"]),
+    ("card", 16, ["4111111111111111", "4111-1111-1111-1111", "4111 1111 1111 1111"]),
+    ("card", 19, ["6205500000000000004", "6205 5000 0000 0000 004", "6205-5000-0000-0000-004", "620550 0000000000004"])]
+UNMARKED = ["1700000000", "0.4155550123", "4155550123.5", "x4155550123", "2125550123_a", "+2101234567890", "99-12-2020"]
+
+
+def test_all_written_forms_are_linked(spark):
+    forms = [(i, v) for i, (_, _, vs) in enumerate(WRITTEN) for v in vs]
+    # A card with its expiry, code, a date, a phone or an address behind it, as before.
+    follow = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/25", "4111 1111 1111 1111 12/31/1999",
+              "4111 1111 1111 1111 415-555-0123", "4111 1111 1111 1111 42@x.io", "3782 822463 10005 12/25"]
+    texts = ["is " + v + "; " for _, v in forms] + ["on 31-12-2020, 1-2-1999."] + UNMARKED + follow
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    new = {r["doc_id"]: r for r in pii_feistel.pseudonymised(docs, "k").collect()}
+    linked = defaultdict(set)
+    for place, (i, value) in enumerate(forms):
+        kind, n, _ = WRITTEN[i]
+        found = [(p["kind"], p["value"]) for p in new[place]["pseudonyms"]]
+        assert found == [(kind, value)], value
+        p = new[place]["pseudonyms"][0]["pseudonym"]
+        assert re.sub("[0-9]", "9", p) == re.sub("[0-9]", "9", value)
+        linked[i].add(re.sub(r"\D", "", p)[-n:])
+        assert kind != "card" or luhn(re.sub(r"\D", "", p))
+    assert all(len(x) == 1 for x in linked.values())
+    at = len(forms)
+    assert [p["value"] for p in new[at]["pseudonyms"]] == ["31-12-2020", "1-2-1999"]
+    assert all(re.fullmatch(r"\d{1,2}-\d{1,2}-\d{4}", p["pseudonym"]) for p in new[at]["pseudonyms"])
+    assert [new[at + 1 + i]["text"] for i in range(len(UNMARKED))] == UNMARKED
+    at += 1 + len(UNMARKED)
+    card = next(iter(linked[7]))
+    for i, text in enumerate(follow[:5]):
+        assert re.sub(r"\D", "", new[at + i]["text"])[:16] == card
+    assert [len(new[at + i]["pseudonyms"]) for i in range(6)] == [1, 1, 2, 2, 2, 1]
+    back = pii_feistel.pseudonymised(spark.createDataFrame(
+        [(d, r["text"]) for d, r in new.items() if d != len(forms)], "doc_id int, text string"), "k", inverse=True).collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in back if "12/31" not in texts[r["doc_id"]])
+
+
 @pytest.mark.parametrize("left,right", [(17, 4297), (10, 10), (1, 7), (898, 3)])
 def test_feistel_is_a_permutation(spark, left, right):
     n = left * right
