@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.session import work_folder
@@ -48,14 +48,11 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def restricted(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
-    """Rows of docs whose doc_id is in kept, all columns; ``once``: equal (doc_id, text) leave one row."""
-    key, rank = free_name(docs.columns, "kept_key"), free_name(docs.columns, "kept_rank")
+def restricted(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in kept, all columns."""
+    key = free_name(docs.columns, "kept_key")
     ids = kept.select(id_key(F.col("doc_id")).alias(key)).distinct()
     stay = docs.withColumn(key, id_key(F.col("doc_id"))).join(ids, key, "left_semi")
-    if once:
-        copies = Window.partitionBy(key, "text").orderBy(F.lit(1))
-        stay = stay.withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1)
     return stay.select(*[f"`{c}`" for c in docs.columns])
 
 

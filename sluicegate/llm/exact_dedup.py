@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluicegate.llm.base import SPACES, pack, pack_sorted, restricted, table, unpack, unpack_sorted, values, written
+from sluicegate.llm.base import SPACES, free_name, pack, pack_sorted, restricted, table, unpack, unpack_sorted, values, written
 from sluicegate.session import shuffle_partitions
 
 
@@ -152,9 +152,30 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def _with_sha(batches):
+    """The last column, a text, becomes the digest that ``exact_groups`` gives it."""
+    for batch in batches:
+        *columns, text = batch.columns
+        sha = [hashlib.sha256(normalised(t)).hexdigest() for t in values(text)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sha, pa.string())], batch.schema.names)
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; repeated rows of one id leave one row."""
-    return restricted(docs, exact_groups(docs).where("kept"), once=True)
+    # An id alone does not tell which of its rows stay: texts of one id, or of none, may differ.
+    sha, none, rank = (free_name(docs.columns, x) for x in ("kept_sha", "kept_none", "kept_rank"))
+    key = free_name(docs.columns, "kept_key")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), none: F.col("doc_id").isNull()})
+
+    kept = keyed(exact_groups(docs).where("kept")).select(key, none, F.col("text_sha256").alias(sha)).distinct()
+    plain = docs.withColumn(sha, F.col("text").cast("string"))
+    plain = plain.toDF(*[f"c{i}" for i in range(len(plain.columns))])  # any names may follow
+    stay = keyed(plain.mapInArrow(_with_sha, plain.schema).toDF(*docs.columns, sha)).join(kept, [key, none, sha], "left_semi")
+    copies = Window.partitionBy(key, none, "text").orderBy(F.lit(1))
+    stay = stay.withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1)
+    return stay.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,20 @@ def test_exact_copies_dropped_once(spark, folder):
     assert Counter(rows) == Counter(want)
 
 
+@pytest.mark.parametrize("rows", [
+    [(1, "x"), (None, "x"), (None, "y")], [(1, "x"), (2, "x"), (2, "y"), (2, "y")], [(None, "x y"), (None, "xy"), (3, None), (None, "")]])
+def test_exact_copies_of_one_id_go_by_their_text(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_copies(docs).collect())
+    assert got == Counter({(d, t) for (d, t), g in zip(rows, brute_groups(rows)) if g[3]})
+
+
+def test_exact_copies_of_an_empty_id_and_of_none(spark):
+    docs = spark.createDataFrame([(None, "x"), ("", "x"), (None, "y")], "doc_id string, text string")
+    got = {(r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_copies(docs).collect()}
+    assert got == {("", "x"), (None, "y")}
+
+
 # -- near copies ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("k,percent,bands,rows", [(3, 85, 42, 6), (5, 80, 50, 5)])
