@@ -81,7 +81,7 @@ def _anchored(length: int, gram: int):
         for batch in batches:
             texts = values(batch.column("text"))
             rows, ids = batch.column("row").to_numpy(), batch.column("doc_id")
-            for a, b in slices(texts, BATCH_BYTES):
+            for a, b in _long_alone(texts, BATCH_BYTES):
                 for part, base in _pieces(texts[a:b], length):
                     owner, low, high, place, g, whole = anchors(part, length, gram)
                     if not len(owner):
@@ -94,6 +94,19 @@ def _anchored(length: int, gram: int):
     return run
 
 
+def _long_alone(texts: list[bytes], most: int):
+    """Slices in which a text of more than ``most`` bytes has no others beside it, empty ones neither."""
+    for a, b in slices(texts, most):
+        for i in range(a, b):
+            if len(texts[i]) > most:
+                if a < i:
+                    yield a, i
+                yield i, i + 1
+                a = i + 1
+        if a < b:
+            yield a, b
+
+
 def _pieces(texts: list[bytes], length: int, most: int = BATCH_BYTES):
     """A very long text in pieces that share ``length - 1`` bytes, so that each window is in one."""
     if len(texts) == 1 and len(texts[0]) > most:

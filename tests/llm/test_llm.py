@@ -7,6 +7,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,33 @@ def test_anchors_of_a_long_text_in_pieces():
     assert got == want and len(want) == 9000 - 399
 
 
+def test_a_long_text_after_an_empty_one_is_cut(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 2000)
+    texts = [b"", b"ab", b"", b"x" * 5000, b"", b"cd" * 900, b"ef" * 90, b"y" * 2001, b""]
+    cut = list(suffix_dedup._long_alone(texts, 2000))
+    assert [i for a, b in cut for i in range(a, b)] == list(range(len(texts)))
+    assert all(b - a == 1 for a, b in cut if any(len(t) > 2000 for t in texts[a:b]))
+
+
+def test_repeats_in_texts_beyond_24_bits_of_places(spark):
+    """An empty text before each of two long ones that share a passage near their ends."""
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 123, 900).astype(np.uint8))
+    texts = []
+    for seed in (6, 7):
+        own = np.random.default_rng(seed).integers(97, 123, (1 << 24) + 20_000).astype(np.uint8).tobytes()
+        texts += [b"", own + passage]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([t.decode() for t in texts]), pa.array(range(4)), pa.array(range(4))], ["text", "row", "doc_id"])
+    found = defaultdict(set)
+    for out in suffix_dedup._anchored(400, 136)([batch]):
+        for g, row, at in zip(out["anchor"].to_pylist(), out["row"].to_pylist(), out["at"].to_pylist()):
+            low = at >> 24
+            if low >= (1 << 24) + 20_000:  # a run of windows inside the passage
+                found[row].add((g, low + (at & 0xFFF)))
+    assert found[1] and found[1] == found[3]
+
+
 # -- language-model scores -----------------------------------------------------------------------
 
 @pytest.mark.parametrize("tokens", [400, 2_500_000])
