@@ -1,10 +1,12 @@
 """Secret scan: patterns, and novelty measured with zstandard primed by a dictionary.
 
-A candidate is a string of secret characters shortly after a sensitive word.  A compressor is
-primed with common identifiers and with the text around the candidate, the candidate itself
-left out; the bytes it needs for the candidate beyond an empty frame are its marginal size.
-Names, paths and repeated values cost little, random keys cost about their length: a candidate
-that stays incompressible is reported as ``novel`` unless a pattern already covers it.
+A candidate is a string of secret characters, letters and digits among them, shortly after or
+before a sensitive word.  A compressor is primed with common identifiers and with the text around
+the candidate, the candidate and its copies left out, so that a key used twice is reported at both
+places; only copies that are called, as ``name(``, stay, since they make it a name.  The bytes
+needed for the candidate beyond an empty frame are its marginal size.  Names and paths cost
+little, random keys cost about their length: a candidate that stays incompressible is reported as
+``novel`` unless a pattern already covers it.
 
 Texts are scanned whole; spans are code points, end exclusive.  A null or empty text has no
 spans.  Repeated rows are scanned alike, an empty table gives no rows, other columns play no part.
@@ -12,6 +14,7 @@ spans.  Repeated rows are scanned alike, an empty table gives no rows, other col
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -70,22 +73,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found, done = [], 0
+def _surroundings(text: str, start: int, end: int) -> str:
+    """The text around a candidate, copies of it blanked, those too that reach over the edge."""
+    more = end - start
+    before, after = text[max(0, start - AROUND - more):start], text[end:end + AROUND + more]
+    for value in {p for p in text[start:end].split("=") if len(p) >= 12}:
+        copy, blank = re.compile(re.escape(value) + r"(?!\()"), " " * len(value)
+        before, after = copy.sub(blank, before), copy.sub(blank, after)
+    return before[-AROUND:] + " " + after[:AROUND]
+
+
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """Strings of secret characters after a sensitive word, then those wholly before one."""
+    found, done, words = [], 0, []
     for word in SENSITIVE.finditer(text):
+        words.append(word.start())
         stop = word.end() + REACH
         for m in CANDIDATE.finditer(text, max(done, word.end())):
             if m.start() >= stop:
                 break
             done = m.end()
-            value = m[0]
-            if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-                continue
-            if any(s < m.end() and m.start() < e for s, _, e in known):
-                continue
-            around = text[max(0, m.start() - AROUND):m.start()] + " " + text[m.end():m.end() + AROUND]
-            if marginal_bytes(value, around) >= NOVEL * len(value):
-                found.append((m.start(), 3, m.end()))
+            found.append(m.span())
+    begins = [s for s, _ in found]
+    for m in CANDIDATE.finditer(text) if words else ():
+        following = bisect.bisect_left(words, m.end())
+        if following == len(words):
+            break
+        if words[following] - m.end() < REACH:
+            before = bisect.bisect_left(begins, m.end())
+            if not before or found[before - 1][1] <= m.start():
+                found.append(m.span())
+    return found
+
+
+def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    found = []
+    for start, end in _candidates(text):
+        value = text[start:end]
+        if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+            continue
+        if any(s < end and start < e for s, _, e in known):
+            continue
+        if marginal_bytes(value, _surroundings(text, start, end)) >= NOVEL * len(value):
+            found.append((start, 3, end))
     return found
 
 

@@ -399,6 +399,20 @@ def test_novel_strings():
     assert secret_scan.marginal_bytes("application/json", "") < 8 < secret_scan.marginal_bytes("q8Zr5TnW2xKv9LmB", "")
 
 
+def test_novel_strings_may_recur_and_come_first():
+    code = "def connect(host, port):\n    return Session(host, port, timeout=30)\n" * 6
+    key = "q8Zr5TnW2xKv9LmB4yHd7"
+    part = f"# the secret of staging is below\nvalue <- {key}\n" + code
+    text = code + part
+    # Twice is no name, be it definition and use or a repeated passage.
+    for twice in (text.replace("below\n", f"below\nuse <- {key}\n"), text + part, text + "#" * 900 + part):
+        spans = secret_scan.scan(twice, twice.encode())[1]
+        assert [twice[s:e] for s, k, e in spans if k == 3] == [key, key]
+    before = code + f"value <- {key}  # the staging secret\n" + code
+    spans = secret_scan.scan(before, before.encode())[1]
+    assert [before[s:e] for s, k, e in spans if k == 3] == [key]
+
+
 # -- mixing --------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("difficult_rows", [False, True])
