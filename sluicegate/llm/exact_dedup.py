@@ -13,23 +13,16 @@ larger than any other.  An empty table gives no rows.  Other columns play no par
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluicegate.llm.base import SPACES, free_name, pack, pack_sorted, restricted, table, unpack, unpack_sorted, values, written
+from sluicegate.llm.base import SPACES, free_name, pack, pack_sorted, table, unpack, unpack_sorted, written
 from sluicegate.session import shuffle_partitions
 
 
-def normalised(text: bytes) -> bytes:
-    return text.translate(None, SPACES)
-
-
 def build_filter(fingerprints: np.ndarray, remainder_bits: int):
     """(occupied quotients, entries of each, remainders sorted within a quotient, counts)."""
     f = np.sort(fingerprints.astype(np.uint64))
@@ -57,14 +50,9 @@ def merge_filters(filters: list, remainder_bits: int):
     return _split(entries[first], np.add.reduceat(counts, first) if len(first) else counts, remainder_bits)
 
 
-def _fingerprinted(batches):
-    for batch in batches:
-        sha = [hashlib.sha256(normalised(t)).digest() for t in values(batch.column("text"))]
-        size = pc.fill_null(pc.utf8_length(batch.column("text")), 0)
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sha, pa.binary()),
-            pa.array(np.frombuffer(b"".join(d[:8] for d in sha), ">i8").astype(np.int64)),
-        ], ["doc_id", "n_points", "sha", "fingerprint"])
+def digest(text: Column) -> Column:
+    """SHA-256 of a text without its white space; null counts as empty."""
+    return F.unhex(F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), SPACES.decode(), "").cast("binary"), 256))
 
 
 def _partition_filters(range_bits: int, quotient_bits: int):
@@ -111,71 +99,68 @@ def repeated_fingerprints(fingerprints: DataFrame, quotient_bits: int = 32) -> D
     return filters.groupBy("range").applyInPandas(_repeated(64 - quotient_bits), "fingerprint long")
 
 
-def _bodies(batches):
-    for batch in batches:
-        body = [normalised(t) for t in values(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([hashlib.sha256(b).digest() for b in body], pa.binary()), pa.array(body, pa.binary())],
-            ["sha", "body"])
-
-
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = written(
-        texts.mapInArrow(_fingerprinted, f"doc_id {id_type}, n_points long, sha binary, fingerprint long"),
-        "exact-rows")
-    repeated = repeated_fingerprints(rows.select("fingerprint")).withColumn("routed", F.lit(True))
-    routed = rows.join(repeated, "fingerprint", "left_semi")
-
-    # Byte verification: texts of routed rows are grouped by their bytes.  A digest that stood
-    # for two different texts would stop the job here instead of merging them.
-    bodies = restricted(texts, routed)
+def _groups(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """sha, keep_id and size of the texts that occur more than once in ``rows`` (doc_id, n_points, sha)."""
+    fingerprint = F.xxhash64("sha")
+    # Written, their size is known: Spark broadcasts them only if they are small by its own check.
+    repeated = written(repeated_fingerprints(rows.select(fingerprint.alias("fingerprint"))), "exact-repeated")
+    routed = rows.withColumn("fingerprint", fingerprint).join(repeated, "fingerprint", "left_semi")
+
+    # Byte verification: texts of routed rows are grouped by their bytes, copies within a task
+    # before they are moved.  A digest that stood for two different texts would stop the job
+    # here instead of merging them.
+    bodies = (
+        texts.select(digest(F.col("text")).alias("sha"), F.translate(
+            F.coalesce("text", F.lit("")), SPACES.decode(), "").cast("binary").alias("body"))
+        .withColumn("fingerprint", fingerprint).join(repeated, "fingerprint", "left_semi"))
     same = (
-        bodies.mapInArrow(_bodies, "sha binary, body binary")
-        .groupBy("sha", "body").agg(F.count(F.lit(1)).alias("copies"))
+        bodies.groupBy("sha", "body").agg(F.count(F.lit(1)).alias("copies"))
         .groupBy("sha").agg(F.count(F.lit(1)).alias("texts")))
     verified = same.select("sha", F.when(F.col("texts") == 1, True).otherwise(
         F.raise_error(F.lit("one SHA-256 digest stands for different texts")).cast("boolean")).alias("equal"))
     # Most code points first, then the smallest id; a null id comes last.
     best = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = (
+    # The groups are written so that the join reads them as they are and can split a hot one.
+    return written(
         routed.groupBy("sha").agg(F.min(best).getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
-        .join(verified, "sha").where("equal"))
+        .join(verified, "sha").where("equal").drop("equal"), "exact-groups")
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts, written(texts.select(
+        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"), digest(F.col("text")).alias("sha")),
+        "exact-rows")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    texts, rows = _rows(docs)
     # A digest of one fingerprint may share it with another text: such a row has no group or one of its own.
-    # The groups are written so that the join reads them as they are and can split a hot one.
-    out = rows.join(written(groups, "exact-groups"), "sha", "left")
+    out = rows.join(_groups(texts, rows), "sha", "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _with_sha(batches):
-    """The last column, a text, becomes the digest that ``exact_groups`` gives it."""
-    for batch in batches:
-        *columns, text = batch.columns
-        sha = [hashlib.sha256(normalised(t)).hexdigest() for t in values(text)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(sha, pa.string())], batch.schema.names)
-
-
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns; repeated rows of one id leave one row."""
+    """The documents that stay, with their columns; repeated rows of one id and text leave one row.
+
+    Only rows whose text recurs are looked at again: all others pass through as they are read.
+    """
+    sha, keep, size, rank = (free_name(docs.columns, x) for x in ("kept_sha", "kept_id", "kept_size", "kept_rank"))
+    groups = _groups(*_rows(docs)).select(
+        F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("size").alias(size))
+    keyed = docs.withColumn(sha, digest(F.col("text")))
+    single = keyed.join(groups.select(sha), sha, "left_anti")
     # An id alone does not tell which of its rows stay: texts of one id, or of none, may differ.
-    sha, none, rank = (free_name(docs.columns, x) for x in ("kept_sha", "kept_none", "kept_rank"))
-    key = free_name(docs.columns, "kept_key")
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), none: F.col("doc_id").isNull()})
-
-    kept = keyed(exact_groups(docs).where("kept")).select(key, none, F.col("text_sha256").alias(sha)).distinct()
-    plain = docs.withColumn(sha, F.col("text").cast("string"))
-    plain = plain.toDF(*[f"c{i}" for i in range(len(plain.columns))])  # any names may follow
-    stay = keyed(plain.mapInArrow(_with_sha, plain.schema).toDF(*docs.columns, sha)).join(kept, [key, none, sha], "left_semi")
-    copies = Window.partitionBy(key, none, "text").orderBy(F.lit(1))
-    stay = stay.withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1)
-    return stay.select(*[f"`{c}`" for c in docs.columns])
+    copies = Window.partitionBy(sha, "text").orderBy(F.lit(1))
+    kept = (
+        keyed.join(groups, sha).where(F.col("doc_id").eqNullSafe(F.col(keep)))
+        .withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1))
+    columns = [f"`{c}`" for c in docs.columns]
+    return single.select(*columns).union(kept.select(*columns))
 
 
 def op8_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

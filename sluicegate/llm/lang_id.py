@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ REJECT_DEVIATIONS = 8.0
 STRETCH = 128
 #: Characters scored at a time.
 BLOCK_CHARS = 200_000
+#: Bytes of text that a task takes out of an Arrow batch at a time.
+SLICE_BYTES = 2_000_000
 SPACE = 32
 
 _MULTIPLIERS = np.array(
@@ -348,15 +351,27 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     return calibrate(model, [r["text"] for r in rest], [r["lang"] for r in rest])
 
 
+def _spans(column: pa.Array, most: int):
+    """Ranges of rows with about ``most`` bytes of text together (one text may be longer)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(upto):
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + most, side="right"))
+        end = max(end, begin + 1)
+        yield begin, end
+        begin = end
+
+
 def _identified(model):
     def predict(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            names, score, entropy, rejected = model.value.predict(texts)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()),
-                pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            for a, b in _spans(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                names, score, entropy, rejected = model.value.predict([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()),
+                    pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
+                    ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return predict
 
@@ -377,9 +392,10 @@ def training_part(docs: DataFrame) -> DataFrame:
 def _accepted(model, place: int):
     def keep(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(place).cast(pa.string()).to_pylist()]
-            *_, rejected = model.value.predict(texts)
-            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+            for a, b in _spans(batch.column(place), SLICE_BYTES):  # few rows at a time are held in Python
+                part = batch.slice(a, b - a)
+                *_, rejected = model.value.predict([t or "" for t in part.column(place).cast(pa.string()).to_pylist()])
+                yield part.filter(pa.array([not r for r in rejected], pa.bool_()))
 
     return keep
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicegate.llm.base import WORD, free_name, table, written
@@ -31,9 +31,20 @@ DP_WORDS = 1 << 16
 HASH_RANGES = 4096
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def row_hash(seed: int, text: Column | None = None) -> Column:
+    """The seeded hash that ranks a row: by id and text, so that rows of one id differ."""
+    text = F.col("text") if text is None else text
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(),
+                      F.coalesce(text.cast("string"), F.lit("")))
+
+
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+
+
+def sizes(docs: DataFrame, seed: int = 7) -> DataFrame:
     return docs.select(
-        "doc_id", "source",
+        "doc_id", "source", row_hash(seed).alias("h"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
@@ -121,19 +132,21 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
     """A row per row of docs: doc_id, size, source_size, target, taken, repeats, source."""
-    rows = written(sizes(docs), "mix-sizes")
+    return _mixed(docs, weights, most, seed).drop("h", "source_key")
+
+
+def _mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+    rows = written(sizes(docs, seed), "mix-sizes")
     targets = source_targets(rows, weights, most)
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     targets = targets.select(
-        key.alias("source_key"), "source_size", "target",
+        source_key().alias("source_key"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.least(
             F.floor((F.col("target") + 1e-6) / F.col("source_size")), F.lit(most))).otherwise(0).cast("long").alias("whole"))
     targets = written(targets.withColumn("budget", F.greatest(
         F.lit(0), F.round("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
 
-    h = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    ranked = rows.select("doc_id", "source", "size", key.alias("source_key"), h.alias("h"),
-                         F.pmod(h, F.lit(HASH_RANGES)).alias("hash_range"))
+    ranked = rows.select("doc_id", "source", "size", source_key().alias("source_key"), "h",
+                         F.pmod(F.col("h"), F.lit(HASH_RANGES)).alias("hash_range"))
     # Documents by source, length and range of the hash: a hot source or length is summed before
     # the shuffle, and its documents are ranked range by range.
     cells = ranked.groupBy("source_key", "size", "hash_range").agg(F.count(F.lit(1)).alias("n"))
@@ -157,24 +170,33 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
         full.unionByName(cut).join(targets.drop("budget"), "source_key")
         .select("doc_id", "size", "source_size", "target",
                 (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"),
-                (F.col("whole") + F.col("extra")).cast("int").alias("repeats"), "source"))
+                (F.col("whole") + F.col("extra")).cast("int").alias("repeats"), "source", "h", "source_key"))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
+def mixture(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns.
 
-    Documents without words take part in no budget and stay once.  Rows that repeat a doc_id
-    count as one document here.
+    Documents without words take part in no budget and stay once.  Repeats belong to rows, known
+    by id, text and source: of rows that agree in these, some may be taken once more than others.
     """
-    repeats, n = free_name(docs.columns, "mix_repeats"), free_name(docs.columns, "mix_n")
-    key = free_name(docs.columns, "mix_key")
-    one = mixed(docs, **options).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)).agg(
-        F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("repeats"))).alias(repeats))
-    taken = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(one, key)
+    h, key, each, more, rank, n = (
+        free_name(docs.columns, x) for x in ("mix_hash", "mix_key", "mix_each", "mix_more", "mix_rank", "mix_n"))
+    rows = _mixed(docs, seed=seed, **options).withColumn(
+        "repeats", F.when(F.col("size") == 0, 1).otherwise(F.col("repeats")))
+    alike = rows.groupBy("h", "source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("repeats").alias("total"))
+    alike = written(alike.where("total > 0").select(
+        F.col("h").alias(h), F.col("source_key").alias(key), F.expr("total div n").cast("int").alias(each),
+        (F.col("total") % F.col("n")).alias(more)), "mix-repeats")
+    taken = docs.withColumns({h: row_hash(seed), key: source_key()}).join(alike, [h, key])
+    # Only where rows that are alike share the repeats unevenly are they put in order.
+    first = Window.partitionBy(h, key).orderBy(F.lit(1))
+    uneven = taken.where(F.col(more) > 0).withColumn(rank, F.row_number().over(first)).withColumn(
+        each, F.col(each) + F.when(F.col(rank) <= F.col(more), 1).otherwise(0)).drop(rank)
+    columns = [f"`{c}`" for c in docs.columns]
     return (
-        taken.where(F.col(repeats) > 0)
-        .withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(repeats))))
-        .select(*[f"`{c}`" for c in docs.columns]))
+        taken.where(F.col(more) == 0).unionByName(uneven).where(F.col(each) > 0)
+        .withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(each))))
+        .select(*columns))
 
 
 def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -463,6 +463,24 @@ def test_mixture_repeats_documents(spark, folder):
     assert Counter(r["doc_id"] for r in mix.collect()) == Counter({d: n for d, n in wanted.items() if n})
 
 
+def test_mixture_repeats_rows_of_no_id(spark):
+    """Rows share no repeats through a null, empty or repeated id."""
+    rng = np.random.default_rng(3)
+    rows = [(i if i % 3 else None, " ".join(["w"] * int(rng.integers(1, 9))) + f" {i}", f"s{i % 3}") for i in range(60)]
+    rows += [(None, "a b c", "s0")] * 5 + [(7, "other text of the id", "s1"), (7, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mixed(docs).collect()
+    taken = Counter()
+    for r in mixed:
+        taken[r["source"]] += r["taken"]
+    got = mixing.mixture(docs).collect()
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(brute.words(r["text"]))
+    assert words == taken
+    assert sum(1 for r in got if r["text"] is None) == 1
+
+
 # -- language identification ---------------------------------------------------------------------
 
 def test_language_accuracy(spark):
