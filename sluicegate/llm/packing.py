@@ -20,7 +20,6 @@ starts afresh anyway.  An empty table gives no rows; other columns play no part.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -37,7 +36,7 @@ from sluicegate.llm.chunk_bpe import load_tokenizer
 #: Ids of a sequence, and the id that ends a document.
 SIZE, END = 1024, 0
 #: Bytes of text that a task tokenises at a time, and characters of a block of a long text.
-BATCH_BYTES, BLOCK = 2_000_000, 500_000
+BATCH_BYTES, BLOCK = 2_000_000, 200_000
 #: Share of padding at which the linear program is good enough; pricings, and columns that each may give.
 GAP, ROUNDS, WIDE = 1e-6, 150, 24
 
@@ -282,43 +281,44 @@ def blocks(text: str, most: int = BLOCK) -> list[str]:
     return [*out, text[begin:]]
 
 
-_TOKENIZERS: dict[str, object] = {}
+_ENCODINGS: dict[tuple[str, str], object] = {}
 
 
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = load_tokenizer(path)
-    return _TOKENIZERS[path]
+def encoding(path: str, ranks_path: str):
+    """The byte-level tokenizer of ``path`` in the form of merge ranks, which have the same ids at a
+    third of the time; its special tokens are those of ``path``."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    if (path, ranks_path) not in _ENCODINGS:
+        special = {x.content: i for i, x in load_tokenizer(path).get_added_tokens_decoder().items()}
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        _ENCODINGS[path, ranks_path] = tiktoken.Encoding(
+            "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _ENCODINGS[path, ranks_path]
 
 
-def _ids(tokenizer, texts: list[str]):
-    """The ids of each text as an array, the end id last."""
-    parts, owner = [], []
-    for i, text in enumerate(texts):
-        for block in blocks(text):
-            parts.append(block)
-            owner.append(i)
-    encoded = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-    own: list[list[int]] = [[] for _ in texts]
-    for i, e in zip(owner, encoded):
-        own[i] += e.ids
-    for ids in own:
-        yield np.array([*ids, END], "<u4")
+def _ids(tokenizer, text: str) -> np.ndarray:
+    """The ids of a text, the end id last."""
+    return np.array([*(i for b in blocks(text) for i in tokenizer.encode(b, allowed_special="all")), END], "<u4")
 
 
 _PIECES = "start long, length int, crc long, doc_tokens long, part int, place long, crcs array<long>"
 
 
-def _tokenised(path: str, size: int):
+def _tokenised(path: str, ranks_path: str, size: int):
     def run(batches):
-        tokenizer, part = _tokenizer(path), TaskContext.get().partitionId()
+        tokenizer, part = encoding(path, ranks_path), TaskContext.get().partitionId()
         seen = [0] * (size + 1)  # pieces of each length so far: the rank within the task
         for batch in batches:
             texts = values(batch.column("text"))
             for a, b in slices(texts, BATCH_BYTES):
                 row, out = [], [[] for _ in range(7)]
-                for i, ids in enumerate(_ids(tokenizer, [t.decode("utf-8", "replace") for t in texts[a:b]])):
+                for i, text in enumerate(texts[a:b]):
+                    ids = _ids(tokenizer, text.decode("utf-8", "replace"))
                     for start in range(0, len(ids), size):
                         piece = ids[start:start + size]
                         raw = piece.tobytes()
@@ -352,14 +352,18 @@ def _sequence(position: Column, done: Plan) -> tuple[Column, Column]:
         within - F.when(last, F.element_at(starts, ended + 1)).otherwise(0))
 
 
-def packed(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def packed(docs: DataFrame, path: str | None = None, ranks_path: str | None = None, size: int = SIZE) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``path`` and ``ranks_path`` are two files of one tokenizer, of ``tokenizers`` and of ``tiktoken``.
+    """
     import public_tokenizers
 
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     pieces = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _tokenised(path or public_tokenizers.path("byte_bpe_50k.json"), size), f"doc_id {id_type}, {_PIECES}"), "packing-pieces")
+        _tokenised(path or public_tokenizers.path("byte_bpe_50k.json"),
+                   ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), size), f"doc_id {id_type}, {_PIECES}"), "packing-pieces")
     # Ranks over all tasks: what earlier tasks hold of a length, and the place within the task.
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).withColumn(

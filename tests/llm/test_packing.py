@@ -103,6 +103,16 @@ def test_blocks_have_the_ids_of_the_text(text):
     assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ranks_have_the_ids_of_the_tokenizer():
+    """Every code point beside letters, digits, marks, spaces, and long runs of one kind."""
+    tokenizer, ranks = load_tokenizer(PATH), packing.encoding(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [f"a{c}b 1{c}2 {c}{c} .{c}! '{c}s  {c} x{c}" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    texts = [" ".join(texts[i:i + 500]) for i in range(0, len(texts), 500)]
+    texts += [" " * 300_000, "ab" * 150_000, "<|endoftext|>x <|endof" * 50, "a" + "\n" * 5000 + "b", ""]
+    for text, wanted in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ranks.encode(text, allowed_special="all") == wanted.ids
+
+
 def laid_out(plan, histogram):
     """All places of a plan: (length, rank) -> its parts, each (sequence, offset, shift, size)."""
     parts = defaultdict(list)
