@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -154,3 +157,24 @@ def slices(texts: list[bytes], most: int):
         size += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def release_memory() -> None:
+    """Give freed memory back: a worker goes on to other stages, beside those of other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it wants
+        pass
+
+
+def releasing(work):
+    """A function over batches that releases memory when its task has no more of them."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run

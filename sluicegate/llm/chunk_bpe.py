@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.base import SPACES, prefix_hashes, slices, table, values
+from sluicegate.llm.base import SPACES, prefix_hashes, releasing, slices, table, values
 
 #: Bytes under the rolling hash, and hash bits that must be zero: chunks of about 64 words.
 WINDOW, CUT_BITS = 16, 6
@@ -71,9 +71,9 @@ class ChunkEncoder:
         # Without a decoder, decoding puts one space between tokens, so decoded pieces can be joined.
         self.joins_decoded = tokenizer.decoder is None
         self.blind = not any(self._direct([SPACES, *(bytes([c]) * n for c in SPACES for n in (1, 2))]))
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.pieces: dict[bytes, int] = {}
         self.texts: list[bytes] = []
         self.chunk_pieces: dict[bytes, np.ndarray] = {}
@@ -104,7 +104,7 @@ class ChunkEncoder:
         self.chunk_pieces = {}
         self.held = sum(map(len, self.texts)) + PIECE_COST * len(self.texts)
         if len(self.edges) > MOST_EDGES:
-            self._clear()
+            self.forget()
 
     def _direct(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -275,6 +275,7 @@ def _encoder(path: str | None) -> ChunkEncoder:
 def _encoded(path: str | None, digests: bool):
     def run(batches):
         encoder = _encoder(path)
+        encoder.forget()
         for batch in batches:
             texts = values(batch.column("text"))
             for a, b in slices(texts, BATCH_BYTES):  # small batches: ids and decoded text are larger than the text
@@ -287,8 +288,9 @@ def _encoded(path: str | None, digests: bool):
                     [batch.column("doc_id").slice(a, b - a), pa.array(count, pa.int64()),
                      pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())],
                     ["doc_id", "n_tokens", "ids", "decoded"])
+        encoder.forget()  # the worker may serve other stages next
 
-    return run
+    return releasing(run)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:

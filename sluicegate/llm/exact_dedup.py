@@ -23,6 +23,10 @@ from sluicegate.llm.base import SPACES, free_name, pack, pack_sorted, table, unp
 from sluicegate.session import shuffle_partitions
 
 
+#: Rows of a table that may be broadcast, some 30 MB; larger ones are joined by shuffles.
+BROADCAST_ROWS = 250_000
+
+
 def build_filter(fingerprints: np.ndarray, remainder_bits: int):
     """(occupied quotients, entries of each, remainders sorted within a quotient, counts)."""
     f = np.sort(fingerprints.astype(np.uint64))
@@ -50,9 +54,21 @@ def merge_filters(filters: list, remainder_bits: int):
     return _split(entries[first], np.add.reduceat(counts, first) if len(first) else counts, remainder_bits)
 
 
+def body(text: Column) -> Column:
+    """The bytes of a text without its white space; null counts as empty."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for space in SPACES.decode():
+        out = F.replace(out, F.lit(space), F.lit(""))
+    return out.cast("binary")
+
+
 def digest(text: Column) -> Column:
-    """SHA-256 of a text without its white space; null counts as empty."""
-    return F.unhex(F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), SPACES.decode(), "").cast("binary"), 256))
+    return F.unhex(F.sha2(body(text), 256))
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _partition_filters(range_bits: int, quotient_bits: int):
@@ -100,44 +116,44 @@ def repeated_fingerprints(fingerprints: DataFrame, quotient_bits: int = 32) -> D
 
 
 def _groups(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """sha, keep_id and size of the texts that occur more than once in ``rows`` (doc_id, n_points, sha)."""
-    fingerprint = F.xxhash64("sha")
-    # Written, their size is known: Spark broadcasts them only if they are small by its own check.
-    repeated = written(repeated_fingerprints(rows.select(fingerprint.alias("fingerprint"))), "exact-repeated")
-    routed = rows.withColumn("fingerprint", fingerprint).join(repeated, "fingerprint", "left_semi")
+    """Texts that occur more than once in ``rows`` (doc_id, n_points, sha, fingerprint): fingerprint,
+    sha, keep_id, size, and how many rows of the group have the id that stays."""
+    repeated = written(repeated_fingerprints(rows.select("fingerprint")), "exact-repeated")
+    repeated = broadcast_if_small(repeated, BROADCAST_ROWS)
+    routed = rows.join(repeated, "fingerprint", "left_semi")
 
     # Byte verification: texts of routed rows are grouped by their bytes, copies within a task
     # before they are moved.  A digest that stood for two different texts would stop the job
     # here instead of merging them.
     bodies = (
-        texts.select(digest(F.col("text")).alias("sha"), F.translate(
-            F.coalesce("text", F.lit("")), SPACES.decode(), "").cast("binary").alias("body"))
-        .withColumn("fingerprint", fingerprint).join(repeated, "fingerprint", "left_semi"))
+        texts.select(body(F.col("text")).alias("body")).withColumn("fingerprint", F.xxhash64("body"))
+        .join(repeated, "fingerprint", "left_semi"))
     same = (
-        bodies.groupBy("sha", "body").agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy("sha").agg(F.count(F.lit(1)).alias("texts")))
+        bodies.groupBy("body").agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy(F.unhex(F.sha2("body", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("texts")))
     verified = same.select("sha", F.when(F.col("texts") == 1, True).otherwise(
         F.raise_error(F.lit("one SHA-256 digest stands for different texts")).cast("boolean")).alias("equal"))
     # Most code points first, then the smallest id; a null id comes last.
-    best = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
+    by_id = routed.groupBy("fingerprint", "sha", "doc_id").agg(F.max("n_points").alias("points"), F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("n")))
+    groups = by_id.groupBy("fingerprint", "sha").agg(best.alias("best"), F.sum("n").alias("size"))
     # The groups are written so that the join reads them as they are and can split a hot one.
-    return written(
-        routed.groupBy("sha").agg(F.min(best).getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
-        .join(verified, "sha").where("equal").drop("equal"), "exact-groups")
+    return written(groups.join(verified, "sha").where("equal").select(
+        "fingerprint", "sha", F.col("best.doc_id").alias("keep_id"), "size", F.col("best.n").alias("same_id")), "exact-groups")
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return texts, written(texts.select(
-        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"), digest(F.col("text")).alias("sha")),
-        "exact-rows")
+        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"), digest(F.col("text")).alias("sha"),
+        F.xxhash64(body(F.col("text"))).alias("fingerprint")), "exact-rows")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     texts, rows = _rows(docs)
     # A digest of one fingerprint may share it with another text: such a row has no group or one of its own.
-    out = rows.join(_groups(texts, rows), "sha", "left")
+    out = rows.join(_groups(texts, rows).select("sha", "keep_id", "size"), "sha", "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
@@ -147,20 +163,25 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; repeated rows of one id and text leave one row.
 
-    Only rows whose text recurs are looked at again: all others pass through as they are read.
+    Documents are matched with the groups by fingerprint and digest where they are read; only if
+    there are more than ``BROADCAST_ROWS`` groups are they shuffled for it.
     """
-    sha, keep, size, rank = (free_name(docs.columns, x) for x in ("kept_sha", "kept_id", "kept_size", "kept_rank"))
-    groups = _groups(*_rows(docs)).select(
-        F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("size").alias(size))
-    keyed = docs.withColumn(sha, digest(F.col("text")))
-    single = keyed.join(groups.select(sha), sha, "left_anti")
+    key, of_key, group, rank = (free_name(docs.columns, x) for x in ("kept_key", "kept_group_key", "kept_group", "kept_rank"))
+    found = _groups(*_rows(docs))
+    groups = broadcast_if_small(written(found.groupBy(F.col("fingerprint").alias(of_key)).agg(
+        F.collect_list(F.struct("sha", "keep_id", "same_id")).alias(group)), "exact-keys"), BROADCAST_ROWS)
+    own = F.when(F.col(group).isNotNull(), F.get(F.filter(group, lambda g: g["sha"] == digest(F.col("text"))), F.lit(0)))
     # An id alone does not tell which of its rows stay: texts of one id, or of none, may differ.
-    copies = Window.partitionBy(sha, "text").orderBy(F.lit(1))
-    kept = (
-        keyed.join(groups, sha).where(F.col("doc_id").eqNullSafe(F.col(keep)))
-        .withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1))
+    matched = docs.withColumn(key, F.xxhash64(body(F.col("text")))).join(
+        groups, F.col(key) == F.col(of_key), "left").withColumn(group, own)
+    kept = matched.where(F.col(group).isNull() | F.col("doc_id").eqNullSafe(F.col(group)["keep_id"]))
     columns = [f"`{c}`" for c in docs.columns]
-    return single.select(*columns).union(kept.select(*columns))
+    if found.where("same_id > 1").isEmpty():
+        return kept.select(*columns)
+    again = F.coalesce(F.col(group)["same_id"] > 1, F.lit(False))
+    copies = Window.partitionBy(key, "text").orderBy(F.lit(1))
+    once = kept.where(again).withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1)
+    return kept.where(~again).select(*columns).union(once.select(*columns))
 
 
 def op8_quotient_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluicegate.llm.base import crc_mod, restricted, table, written
+from sluicegate.llm.base import crc_mod, releasing, restricted, table, written
 
 ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATION_EVERY = 1800, 7_000_000, 6
@@ -373,7 +373,7 @@ def _identified(model):
                     pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
                     ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return predict
+    return releasing(predict)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -397,7 +397,7 @@ def _accepted(model, place: int):
                 *_, rejected = model.value.predict([t or "" for t in part.column(place).cast(pa.string()).to_pylist()])
                 yield part.filter(pa.array([not r for r in rejected], pa.bool_()))
 
-    return keep
+    return releasing(keep)
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:

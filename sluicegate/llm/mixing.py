@@ -187,7 +187,8 @@ def mixture(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     alike = written(alike.where("total > 0").select(
         F.col("h").alias(h), F.col("source_key").alias(key), F.expr("total div n").cast("int").alias(each),
         (F.col("total") % F.col("n")).alias(more)), "mix-repeats")
-    taken = docs.withColumns({h: row_hash(seed), key: source_key()}).join(alike, [h, key])
+    # A row per document: never a side to broadcast.
+    taken = docs.withColumns({h: row_hash(seed), key: source_key()}).join(alike.hint("merge"), [h, key])
     # Only where rows that are alike share the repeats unevenly are they put in order.
     first = Window.partitionBy(h, key).orderBy(F.lit(1))
     uneven = taken.where(F.col(more) > 0).withColumn(rank, F.row_number().over(first)).withColumn(

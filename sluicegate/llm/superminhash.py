@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.base import mix, restricted, slices, table, values, word_hashes, written
+from sluicegate.llm.base import mix, releasing, restricted, slices, table, values, word_hashes, written
 from sluicegate.llm.components import components
 
 BANDS, ROWS = 42, 6
@@ -120,7 +120,7 @@ def _signed(k: int, bands: int, rows: int):
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 ["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
-    return sign
+    return releasing(sign)
 
 
 def _sets(k: int):
@@ -134,7 +134,7 @@ def _sets(k: int):
                 out += [hashes[e - c:e].tobytes() for e, c in zip(end, count)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "hashes"])
 
-    return shingled
+    return releasing(shingled)
 
 
 def _alike_sketches(least: float):
