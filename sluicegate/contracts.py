@@ -158,6 +158,19 @@ def with_overrides(contract: Contract, overrides: Mapping[str, Mapping[str, str]
     return replace(contract, fields=tuple(replace(f, name=n) for f, n in zip(fields, unique)))
 
 
+# A free column fits a table's column of these types; every value keeps its meaning.
+_WIDER = {"INT": ("BIGINT", "FLOAT", "NVARCHAR(MAX)"), "BIGINT": ("FLOAT", "NVARCHAR(MAX)"),
+          "FLOAT": ("NVARCHAR(MAX)",), "DATE": ("NVARCHAR(MAX)",)}
+
+
+def with_table_types(contract: Contract, table: T.StructType | None) -> Contract:
+    """A free contract whose columns take the wider types that an existing table has for them."""
+    named = {T.LongType: "BIGINT", T.DoubleType: "FLOAT", T.StringType: "NVARCHAR(MAX)"}
+    have = {f.name: named.get(type(f.dataType)) for f in table} if table else {}
+    return replace(contract, fields=tuple(
+        replace(f, type=have[f.name]) if have.get(f.name) in _WIDER.get(f.type, ()) else f for f in contract.fields))
+
+
 class Registry:
     """Contracts by id; unknown or unfinished ones are refused."""
 

@@ -13,12 +13,13 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluicegate import messages
-from sluicegate.contracts import Contract, project, with_overrides
-from sluicegate.functions.names import header_key, quoted
+from sluicegate.contracts import Contract, project, with_overrides, with_table_types
+from sluicegate.functions.names import header_key, quoted, sanitize_name
 from sluicegate.operators import dedup, profile, validate
 from sluicegate.plans.outcomes import ACCEPTED, DUP_IN_BATCH, DUP_IN_TARGET, INVALID, OUTCOME
-from sluicegate.plans.store import LOAD, Store
-from sluicegate.sources import landing, workbooks
+from sluicegate.plans.store import AUDIT, LOAD, Store
+from sluicegate.sources import landing, records, workbooks
+from sluicegate.sources.fingerprint import fingerprint_files
 from sluicegate.sources.landing import FILE, ROW_NUMBER, Landing
 from sluicegate.session import work_folder, written
 
@@ -31,18 +32,18 @@ def new_load_id() -> str:
     return f"l-{uuid.uuid4().hex}"
 
 
-def plan_files(store: Store, files: Landing, flow: str) -> DataFrame:
+def plan_files(store: Store, files: Landing, flow: str, separator: str | None = None) -> DataFrame:
     """Decide per file: ``problem`` NULL means it will be read.
 
     A file is left out when it was imported through this flow before, or has the same content
     as another file of this load.  The plan is written: the files are hashed once.
     """
-    prints = landing.fingerprint_files(files)
+    prints = fingerprint_files(files, separator)
     known = dedup.mark_in_target(prints, store.loaded_files(flow), ["file_hash"], "_seen")
     ranked = dedup.flag_copies(known, ["file_hash"], ["path"])
     problem = F.when(F.col("_seen") | ~F.col(dedup.IS_FIRST), F.lit(ALREADY_LOADED))
     return written(ranked.select(
-        FILE, "path", "file_name", "file_hash", problem.alias("problem"),
+        FILE, "path", "file_name", "file_hash", "width", problem.alias("problem"),
         F.concat(F.lit(f"{flow}-"), F.substring("file_hash", 1, 16)).alias("batch_id")), "plan")
 
 
@@ -51,6 +52,7 @@ def read_landing(store: Store, files: Landing, plan: DataFrame, fmt: str, contra
     """Text rows with file and row number, staged once, and the files that failed.
 
     The folder is read as a whole; files that the plan leaves out are taken away by a join.
+    Workbooks and CSV files are matched by the header of each file.
     """
     spark = store.spark
     folder = work_folder(spark, "landing")
@@ -66,8 +68,12 @@ def read_landing(store: Store, files: Landing, plan: DataFrame, fmt: str, contra
         else:
             headers = workbooks.sheet_headers(rows)
         return workbooks.sheet_table(workbooks.readable(rows, problems), headers), problems
-    sample = plan.filter(F.col("problem").isNull()).select("path").first()["path"]
-    staged = landing.stage(landing.scan(files, fmt, sample, **options), folder, without)
+    if fmt == "csv":
+        read = plan.filter(F.col("problem").isNull())
+        width = read.agg(F.max("width")).first()[0]
+        return records.read_records(
+            records.stage_records(files, width, folder, without, **options), read.select(FILE), contract)
+    staged = landing.stage(landing.scan(files, fmt, **options), folder, without)
     none = spark.createDataFrame([], f"{FILE} string, problem string")
     return landing.number_rows(staged), none
 
@@ -80,6 +86,8 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
     rows are written with their hash: they are read for the duplicates and for the look-up.
     """
     keys = contract.column_names
+    if {*keys} != {*target.columns} - {LOAD, *AUDIT.fieldNames()}:
+        target = target.drop(dedup.ROW_HASH)  # stored hashes are of all columns, these are some of them
     validated = validate.validate(project(rows, contract, keep=[FILE, ROW_NUMBER]), rules)
     checked = validated.withColumn("_valid", validate.is_valid())
     checked = written(checked.withColumn(dedup.ROW_HASH, dedup.row_hash(checked, keys)), "checked")
@@ -114,28 +122,27 @@ def summarize(classified: DataFrame, contract: Contract) -> DataFrame:
         F.count(F.lit(1)).alias("total_rows"),
         count(*faulty).alias("error_rows"),
         count(*skipped).alias("skipped_rows"),
-        count(ACCEPTED).alias("inserted_rows"),
     )
 
 
 def _ledger_rows(plan: DataFrame, problems: DataFrame, counts: DataFrame, contract: Contract,
                  by: str, by_name: str | None, done: str) -> DataFrame:
-    """One ledger row per file of the load."""
+    """One ledger row per file of the load; ``done`` is the status of those not rejected.  Rows
+    count as inserted when the load is committed (``Store.finish``)."""
     failed = problems.groupBy(FILE).agg(F.min("problem").alias("_failed"))
     joined = plan.join(failed, FILE, "left").join(counts, FILE, "left")
     reason = F.coalesce("problem", "_failed")
-    zero = ["total_rows", "error_rows", "skipped_rows", "inserted_rows"]
+    zero = ["total_rows", "error_rows", "skipped_rows"]
     numbers = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in zero}
     valid = numbers["total_rows"] - numbers["error_rows"]
     rejected = reason.isNotNull() | (valid == 0)
-    kept = F.when(F.lit(done == messages.IMPORTED), numbers["inserted_rows"]).otherwise(F.lit(0))
     return joined.select(
         F.coalesce("batch_id", F.concat(F.lit(f"{contract.flow}-"), F.substring(F.sha2(FILE, 256), 1, 16))).alias("batch_id"),
         F.lit(contract.flow).alias("flow"), "file_hash", "file_name",
         F.lit(contract.table).alias("table_name"), F.lit(by).alias("uploaded_by"),
         F.lit(by_name).cast("string").alias("uploaded_by_name"),
         numbers["total_rows"].alias("total_rows"), valid.alias("valid_rows"),
-        numbers["error_rows"].alias("error_rows"), kept.cast("long").alias("inserted_rows"),
+        numbers["error_rows"].alias("error_rows"), F.lit(0).cast("long").alias("inserted_rows"),
         numbers["skipped_rows"].alias("skipped_rows"),
         F.when(rejected, F.lit(messages.REJECTED)).otherwise(F.lit(done)).alias("status"),
         F.coalesce(reason, F.when(valid == 0, F.lit(NO_VALID_ROWS)).otherwise(
@@ -143,14 +150,37 @@ def _ledger_rows(plan: DataFrame, problems: DataFrame, counts: DataFrame, contra
     ).filter(F.coalesce(F.col("notes") != ALREADY_LOADED, F.lit(True)))
 
 
-def publish(store: Store, classified: DataFrame, contract: Contract, plan: DataFrame,
-            problems: DataFrame, load_id: str, by: str, by_name: str | None = None) -> DataFrame:
+def publish(store: Store, classified: DataFrame, contract: Contract, plan: DataFrame, problems: DataFrame,
+            load_id: str, by: str, by_name: str | None = None, version: int | None = None) -> DataFrame:
     """Write rows, errors, skips and the ledger of one load; returns its ledger rows.
 
-    Order matters: the ledger step that makes the load visible is written last.
+    ``version`` is the table's when the rows were compared with it.  The load is committed by
+    taking the next version.  If other loads took it meanwhile, the accepted rows are compared with
+    the rows of those loads only, and the load is written again for the version after them.
     """
     batch_of = plan.filter(F.col("problem").isNull()).select(FILE, "batch_id")
     rows = written(classified.join(batch_of, FILE), "classified")
+    version = store.version(contract.table) if version is None else version
+    while True:
+        _write_load(store, rows, contract, plan, problems, load_id, by, by_name)
+        if store.commit(contract.table, version + 1, load_id):
+            break
+        newer, version = store.rows_since(contract.table, version)
+        rows = written(_recheck(rows, newer, contract), "rechecked")
+    store.finish(load_id, contract.table)
+    return load_batches(store, load_id)
+
+
+def _recheck(rows: DataFrame, newer: DataFrame, contract: Contract) -> DataFrame:
+    """Accepted rows that loads committed meanwhile hold as well become dup_in_target."""
+    accepted = F.col(OUTCOME) == ACCEPTED
+    known = dedup.mark_in_target(rows, newer, contract.column_names, "_taken", when=accepted)
+    return known.withColumn(OUTCOME, F.when(F.col("_taken"), F.lit(DUP_IN_TARGET)).otherwise(F.col(OUTCOME))).drop("_taken")
+
+
+def _write_load(store: Store, rows: DataFrame, contract: Contract, plan: DataFrame, problems: DataFrame,
+                load_id: str, by: str, by_name: str | None) -> None:
+    """Rows, errors, skips and the first ledger step; none of it is visible in the table yet."""
     counts = written(summarize(rows, contract), "counts")
     ledger = _ledger_rows(plan, problems, counts, contract, by, by_name, messages.VALIDATED)
     store.record(ledger, load_id, 1)
@@ -177,8 +207,6 @@ def publish(store: Store, classified: DataFrame, contract: Contract, plan: DataF
             "notes", F.lit(str(error)))
         store.record(failed, load_id, 2)
         raise
-    store.record(_ledger_rows(plan, problems, counts, contract, by, by_name, messages.IMPORTED), load_id, 2)
-    return load_batches(store, load_id)
 
 
 def load_batches(store: Store, load_id: str) -> DataFrame:
@@ -194,20 +222,26 @@ def import_files(store: Store, files: Landing, contract: Contract, by: str, fmt:
     left as it is, an unfinished one is written again from the start.
     """
     load_id = load_id or new_load_id()
-    if store.is_committed(load_id):
+    if store.is_committed(load_id, contract.table):
+        store.finish(load_id, contract.table)
         return load_batches(store, load_id)
-    plan = plan_files(store, files, contract.flow)
+    plan = plan_files(store, files, contract.flow, _separator(fmt, options))
     if _nothing_new(plan):
         none = store.spark.createDataFrame([], f"{FILE} string, problem string")
         counts = store.spark.createDataFrame(
-            [], f"{FILE} string, total_rows long, error_rows long, skipped_rows long, inserted_rows long")
+            [], f"{FILE} string, total_rows long, error_rows long, skipped_rows long")
         store.record(_ledger_rows(plan, none, counts, contract, by, by_name, messages.REJECTED), load_id, 1)
         return load_batches(store, load_id)
     rows, problems = read_landing(store, files, plan, fmt, contract, **options)
     store.ensure(contract.table, contract.schema())
     filled = landing.drop_blank_rows(rows)
+    version = store.version(contract.table)
     classified = classify(filled, contract, store.table(contract.table), rules)
-    return publish(store, classified, contract, plan, problems, load_id, by, by_name)
+    return publish(store, classified, contract, plan, problems, load_id, by, by_name, version)
+
+
+def _separator(fmt: str, options: Mapping) -> str | None:
+    return str(options.get("sep", options.get("delimiter", ","))) if fmt == "csv" else None
 
 
 def _nothing_new(plan: DataFrame) -> bool:
@@ -218,21 +252,27 @@ def import_free(store: Store, files: Landing, table: str, by: str, fmt: str = "c
                 overrides: Mapping[str, Mapping[str, str]] | None = None,
                 load_id: str | None = None, by_name: str | None = None,
                 on_contract: Callable[[Contract], None] | None = None, **options) -> DataFrame:
-    """Import without a contract: the types come from the data, the user may override them."""
-    load_id = load_id or new_load_id()
-    if store.is_committed(load_id):
+    """Import without a contract: the types come from the data, the user may override them.
+
+    A table that exists may have more columns: those that the files lack become NULL, rows are
+    compared on the columns of the files, and a column has its type in the table unless overridden.
+    """
+    load_id, name = load_id or new_load_id(), sanitize_name(table)
+    if store.is_committed(load_id, name):
+        store.finish(load_id, name)
         return load_batches(store, load_id)
-    plan = plan_files(store, files, "free")
+    plan = plan_files(store, files, "free", _separator(fmt, options))
     if _nothing_new(plan):
         raise landing.EmptyInput("no new files to load")
     rows, problems = read_landing(store, files, plan, fmt, None, **options)
     landing.require_rows(rows, "the files have no rows")
-    contract = profile.inferred_contract(rows, table)
+    contract = with_table_types(profile.inferred_contract(rows, table), store.recorded(name))
     contract = with_overrides(contract, overrides or {}, [*profile.FREE_TYPES, "BIGINT"])
     if on_contract is not None:
         on_contract(contract)
     store.ensure(contract.table, contract.schema())
     headers = [f.header for f in contract.fields]
     filled = landing.drop_blank_rows(rows, headers)
+    version = store.version(contract.table)
     classified = classify(filled, contract, store.table(contract.table))
-    return publish(store, classified, contract, plan, problems, load_id, by, by_name)
+    return publish(store, classified, contract, plan, problems, load_id, by, by_name, version)

@@ -3,19 +3,24 @@
 Layout below the root::
 
     tables/<name>/load_id=<load>/          rows of one load, written by one job
+    commits/<name>/<version>               the load that took this version of the table
     ledger/batches/load_id=<load>/step=<n> one row per file: status after step n
     ledger/errors/load_id=<load>/          row errors
     ledger/skipped/load_id=<load>/         skipped rows with reason
-    log/                                   event log
+    log/write_id=<write>/                  event log
 
-A load becomes visible when its last ledger step says IMPORTED.  Until then its rows lie
-in a folder that no reader joins to, so a failed or repeated job leaves nothing half done.
-One writer per target table is assumed, as with any table without a transaction log: two loads
-at once may both accept the same row.
+A load becomes visible when it has taken a version of its table, or its last ledger step says
+IMPORTED.  Until then its rows lie in a folder that no reader joins to, so a failed or repeated
+job leaves nothing half done.  A version is a file that is created only if absent: of several
+writers one gets it, and the others compare their rows with that load before they try the next.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -55,19 +60,22 @@ class Store:
 
     # -- tables ---------------------------------------------------------------------
 
+    def recorded(self, name: str) -> T.StructType | None:
+        """The schema that the table was created with; None when there is no such table."""
+        return self._schema("tables", name, f"{LOAD}={NEVER}")
+
     def ensure(self, name: str, schema: T.StructType) -> bool:
         """Create the table unless it exists; True when it existed.
 
-        An existing table must have the same columns and types.
+        An existing table must have all these columns, with these types; it may have more.
         """
         wanted = T.StructType([*schema.fields, *AUDIT.fields])
-        have = self._schema("tables", name)
+        have = self.recorded(name)
         if have is None:
             self._create(wanted, "tables", name, f"{LOAD}={NEVER}")
             return False
-        differs = {f.name: f.dataType for f in have if f.name != LOAD} != {
-            f.name: f.dataType for f in wanted}
-        if differs:
+        kinds = {f.name: f.dataType for f in have}
+        if any(kinds.get(f.name) != f.dataType for f in wanted):
             raise ValueError(f"columns do not match the existing table {name}")
         return True
 
@@ -75,10 +83,61 @@ class Store:
         """All rows of one load, in one job, into the load's own folder."""
         df.write.mode("overwrite").parquet(self.path("tables", name, f"{LOAD}={load_id}"))
 
+    def _stored(self, name: str) -> DataFrame:
+        """Rows of all loads under the table's schema: columns that a load lacks are NULL."""
+        schema = T.StructType([*self.recorded(name).fields, T.StructField(LOAD, T.StringType())])
+        return self.spark.read.schema(schema).parquet(self.path("tables", name))
+
     def table(self, name: str) -> DataFrame:
         """Rows of committed loads only.  The ledger side prunes the load folders."""
-        rows = self.spark.read.parquet(self.path("tables", name))
-        return rows.join(self.committed_loads(), LOAD, "left_semi")
+        return self._stored(name).join(self.committed_loads(name), LOAD, "left_semi")
+
+    # -- versions -------------------------------------------------------------------
+
+    def versions(self, name: str) -> DataFrame:
+        """version, load_id of each commit of the table."""
+        try:
+            taken = self.spark.read.text(self.path("commits", name), wholetext=True)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"version long, {LOAD} string")
+        return taken.select(F.col("_metadata.file_name").cast("long").alias("version"), F.trim("value").alias(LOAD))
+
+    def version(self, name: str) -> int:
+        return self.versions(name).agg(F.max("version")).first()[0] or 0
+
+    def commit(self, name: str, version: int, load_id: str) -> bool:
+        """Take a version of the table for a load; False when another load has it."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path("commits", name, f"{version:012d}"))
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(load_id.encode()))
+        out.close()
+        return True
+
+    def rows_since(self, name: str, version: int, patience: float = 60.0) -> tuple[DataFrame, int]:
+        """Rows of the loads that took a version after ``version``, one at least, and the last of these.
+
+        A version is taken a moment before its load is named in it, and until then it is not
+        listed; that moment is waited for.
+        """
+        until = time.monotonic() + patience
+        while True:
+            later = self.versions(name).filter(F.col("version") > version)
+            n, last = later.agg(F.count(F.lit(1)), F.max("version")).first()
+            if n and n == last - version:
+                loads = later.filter(F.col("version") <= last).select(LOAD)
+                return self._stored(name).join(loads, LOAD, "left_semi"), last
+            if time.monotonic() > until:
+                raise TimeoutError(f"a version of {name} was taken but does not name its load")
+            time.sleep(0.2)
 
     # -- ledgers --------------------------------------------------------------------
 
@@ -105,11 +164,24 @@ class Store:
             F.min("event_time").alias("created_at"))
         return newest.select("batch_id", "_row.*", "created_at")
 
-    def committed_loads(self) -> DataFrame:
-        return self.ledger().filter(F.col("status") == messages.IMPORTED).select(LOAD).distinct()
-
-    def is_committed(self, load_id: str) -> bool:
-        return not self.committed_loads().filter(F.col(LOAD) == load_id).isEmpty()
+    def committed_loads(self, name: str | None = None) -> DataFrame:
+        """Loads whose last step was recorded, and those that took a version of the table ``name``."""
+        done = self.ledger().filter(F.col("status") == messages.IMPORTED).select(LOAD)
+        return (done if name is None else done.union(self.versions(name).select(LOAD))).distinct()
+
+    def is_committed(self, load_id: str, name: str | None = None) -> bool:
+        return not self.committed_loads(name).filter(F.col(LOAD) == load_id).isEmpty()
+
+    def finish(self, load_id: str, name: str) -> None:
+        """Record the last ledger step of a load that took a version, unless it is recorded."""
+        steps = self.ledger().filter(F.col(LOAD) == load_id)
+        if not steps.filter(F.col("status") == messages.IMPORTED).isEmpty():
+            return
+        stored = self._stored(name).filter(F.col(LOAD) == load_id).groupBy(F.col("_batch_id").alias("batch_id")).agg(
+            F.count(F.lit(1)).alias("_stored"))
+        first = steps.filter(F.col("step") == 1).join(stored, "batch_id", "left")
+        done = F.when(F.col("status") == messages.VALIDATED, F.lit(messages.IMPORTED)).otherwise(F.col("status"))
+        self.record(first.withColumns({"status": done, "inserted_rows": F.coalesce("_stored", F.lit(0))}), load_id, 2)
 
     def loaded_files(self, flow: str) -> DataFrame:
         """Hashes that count as seen: imported through this flow."""
@@ -137,14 +209,19 @@ class Store:
 
     # -- event log ------------------------------------------------------------------
 
-    def log_events(self, events: DataFrame) -> None:
-        """Append (username, display_name); the time is set here."""
+    def log_events(self, events: DataFrame, write_id: str | None = None) -> None:
+        """Append (username, display_name); the time is set here.
+
+        A write that is repeated with its ``write_id`` replaces what it wrote before.
+        """
+        folder = f"write_id={write_id or uuid.uuid4().hex}"
         events.select("username", "display_name", F.current_timestamp().alias("logged_at")).write.mode(
-            "append").parquet(self.path("log"))
+            "overwrite").parquet(self.path("log", folder))
 
     def log(self) -> DataFrame:
-        self._create(LOG, "log")
-        return self.spark.read.schema(LOG).parquet(self.path("log"))
+        self._create(LOG, "log", "write_id=created")
+        return self.spark.read.schema(T.StructType([*LOG.fields, T.StructField("write_id", T.StringType())])).parquet(
+            self.path("log")).drop("write_id")
 
     # -- helpers --------------------------------------------------------------------
 

@@ -225,11 +225,16 @@ def audited_append(spark, folder):
     SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
     WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')""")
 def committed_batches_only(spark, folder):
-    """Orders as the ledger: only lines of orders with the final status are visible."""
-    ledger = table(spark, folder, "orders").filter("o_orderstatus = 'F'")
-    done = ledger.select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(
-        done, "l_orderkey", "left_semi")
+    """Lines of two loads, of orders with the final status and of the others; one is committed."""
+    store = Store(spark, work_folder(spark, "committed"))
+    final = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    store.ensure("lines", lines.schema)
+    for load, statuses in (("l-final", "o_orderstatus = 'F'"), ("l-open", "o_orderstatus <> 'F'")):
+        rows = lines.join(final.filter(statuses), "l_orderkey", "left_semi")
+        store.write_rows(rows.withColumn("_batch_id", F.lit(load)), "lines", load)
+    store.commit("lines", 1, "l-final")
+    return store.table("lines").select(*lines.columns)
 
 
 @query("SELECT event_id, ts, user_id, event_type, value FROM events")

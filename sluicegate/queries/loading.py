@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from sluicegate import messages
 from sluicegate.contracts import Contract, Field, project
 from sluicegate.operators import validate
-from sluicegate.plans.imports import import_files
+from sluicegate.plans.imports import import_files, import_free
 from sluicegate.plans.store import LOAD, Store
 from sluicegate.queries.base import query, table
 from sluicegate.session import work_folder
 from sluicegate.sources import landing, workbooks
 from sluicegate.sources.landing import FILE, ROW_NUMBER, list_files
+from sluicegate.streaming.landing_stream import start_landing
 
 ORDER_LINES = Contract("order_lines", "Order lines", "order_lines", (
     Field("Order", "order_key", "NVARCHAR(20)", required=True),
@@ -74,6 +75,74 @@ def import_pipeline(spark, folder):
     return loads.join(stored, LOAD)
 
 
+@query(f"""
+    WITH lines AS (
+        SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS k, l_linenumber AS n, l_returnflag AS f, l_orderkey % 4 AS part FROM lineitem)
+    SELECT 'row' AS kind, k AS order_key, CAST(n AS INTEGER) AS line_number, CASE part WHEN 2 THEN NULL ELSE f END AS flag, 1 AS n
+    FROM lines WHERE part IN (0, 1)
+    UNION ALL SELECT DISTINCT 'row', k, CAST(n AS INTEGER), NULL, 1 FROM lines WHERE part = 2
+    UNION ALL SELECT '{messages.IMPORTED}', NULL, NULL, NULL, 3
+    UNION ALL SELECT '{messages.REJECTED}', NULL, NULL, 'missing required columns: order', 1""")
+def mixed_header_import(spark, folder):
+    """Four files of one load, each with its own header: two orders of columns, one without an
+    optional column and with one more, and one that lacks a required column and is rejected."""
+    work = work_folder(spark, "mixed-headers")
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("Order"), F.col("l_linenumber").alias("Line"), F.col("l_returnflag").alias("Flag"))
+    headers = (["Order", "Line", "Flag"], ["Flag", "Order", "Line"], ["LINE ", "Remark", " order"], ["Line", "Flag"])
+    for part, header in enumerate(headers):
+        cells = [F.col("Flag").alias(h) if h == "Remark" else F.col(h.strip()).alias(h) for h in header]
+        lines.filter(F.col("Order") % 4 == part).select(*cells).coalesce(1).write.option("header", True).option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{work}/inbox/{part}")
+    store = Store(spark, f"{work}/store")
+    ledger = import_files(store, list_files(spark, f"{work}/inbox/*", "*.csv"), ORDER_LINES, "importer")
+    files = ledger.groupBy(F.col("status").alias("kind"), F.when(F.col("status") == messages.REJECTED, F.col("notes")).alias("flag")).agg(
+        F.count(F.lit(1)).cast("int").alias("n"))
+    rows = store.table(ORDER_LINES.table).select(
+        F.lit("row").alias("kind"), "order_key", "line_number", "flag", F.lit(1).alias("n"))
+    return rows.unionByName(files.select("kind", F.lit(None).cast("string").alias("order_key"), F.lit(None).cast("int").alias(
+        "line_number"), "flag", "n"))
+
+
+@query("""
+    WITH first AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_orderkey % 3 = 0),
+    second AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey % 3 < 2 AND l_linenumber < 7),
+    fresh AS (SELECT * FROM second ANTI JOIN first USING (k, n)),
+    third AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_orderkey % 3 > 0)
+    SELECT 'l-1' AS load_id, k AS "Order", n AS "Line", f AS "Flag" FROM first
+    UNION ALL SELECT 'l-2', k, n, NULL FROM fresh
+    UNION ALL SELECT 'l-3', k, n, f FROM third""")
+def subset_append(spark, folder):
+    """Three free loads into one table; the second has a column less, so it is compared on two."""
+    work = work_folder(spark, "subset-append")
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("Order"), F.col("l_linenumber").alias("Line"), F.col("l_returnflag").alias("Flag"))
+    parts = (lines.filter("`Order` % 3 = 0"), lines.filter("`Order` % 3 < 2 AND Line < 7").select("Line", "Order"),
+             lines.filter("`Order` % 3 > 0"))
+    store = Store(spark, f"{work}/store")
+    for i, part in enumerate(parts, 1):
+        part.coalesce(1).write.option("header", True).csv(f"{work}/{i}")
+        import_free(store, list_files(spark, f"{work}/{i}", "*.csv"), "lines", "importer", load_id=f"l-{i}")
+    return store.table("lines").select(LOAD, *[F.col(c).cast("long").alias(c) for c in ("Order", "Line")], "Flag")
+
+
+@query("""
+    SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS order_key, CAST(l_linenumber AS INTEGER) AS line_number, l_returnflag AS flag
+    FROM lineitem""")
+def ledger_landing(spark, folder):
+    """The landing stream with its ledger: files that are there, then the same content under other
+    names and all lines once more in other files; every line is stored once."""
+    work = work_folder(spark, "ledger-landing")
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("Order"), F.col("l_linenumber").alias("Line"), F.col("l_returnflag").alias("Flag"))
+    store = Store(spark, f"{work}/store")
+    spread = lines.repartition(4, "Order").sortWithinPartitions("Order", "Line", "Flag")
+    for mode, rows in (("overwrite", spread), ("append", spread), ("append", lines.coalesce(1))):
+        rows.write.mode(mode).option("header", True).csv(f"{work}/inbox")
+        start_landing(store, f"{work}/inbox", ORDER_LINES, "importer", f"{work}/state", "inbox").awaitTermination()
+    return store.table(ORDER_LINES.table).select("order_key", "line_number", "flag")
+
+
 CUSTOMERS = Contract("customers", "Customers", "customers", (
     Field("Customer", "customer", "INT", required=True),
     Field("Name", "name", "NVARCHAR(255)", required=True),

@@ -18,7 +18,6 @@ from sluicegate.functions.names import is_named, quoted, unique_names
 FILE, BLOCK, POSITION, ROW_NUMBER = "_file", "_block", "_position", "row_number"
 BOOKKEEPING = (FILE, ROW_NUMBER)
 FIRST_DATA_ROW = 2  # the header is row 1
-WHOLE_FILE_BYTES = 64 * 1024 * 1024  # larger files are hashed line by line
 
 
 class EmptyInput(ValueError):
@@ -54,19 +53,20 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*")
     return Landing(spark, paths, glob)
 
 
-def scan(landing: Landing, fmt: str = "csv", sample: str | None = None, **options) -> DataFrame:
+def scan(landing: Landing, fmt: str = "csv", **options) -> DataFrame:
     """Read header-driven files with no inference; all cells stay text.
 
-    Files of one call must share a header, that of ``sample`` if given; a CSV file that differs
-    is refused by the reader (``enforceSchema=false``) instead of being shifted silently.
+    CSV files of one call must share a header; one that differs is refused by the reader
+    (``enforceSchema=false``) instead of being shifted silently.  ``records`` reads files of
+    different headers.
     """
     reader = landing.spark.read.format(fmt).options(**options)
     if fmt == "csv":
         reader = reader.options(inferSchema=False, escape='"')
-        first = (reader.load(sample) if sample else landing.load(reader)).first()
+        first = landing.load(reader).first()
         if first is None:
             raise EmptyInput("the files are empty")
-        header = _column_names([cell or "" for cell in first])
+        header = column_names([cell or "" for cell in first])
         clash = len({h.lower() for h in first if h}) < len([h for h in first if h])
         schema = ", ".join(f"{quoted(h)} string" for h in header)
         # Repeated headers are told apart by their place, which the reader cannot compare.
@@ -76,7 +76,7 @@ def scan(landing: Landing, fmt: str = "csv", sample: str | None = None, **option
     return landing.load(reader)
 
 
-def _column_names(header: Sequence[str]) -> list[str]:
+def column_names(header: Sequence[str]) -> list[str]:
     """Header cells as column names: blank ones ``_cN``, repeated ones with a suffix."""
     named = iter(unique_names([h for h in header if is_named(h)]))
     return [next(named) if is_named(h) else f"_c{i}" for i, h in enumerate(header)]
@@ -111,8 +111,8 @@ def stage(df: DataFrame, path: str, without: DataFrame | None = None) -> DataFra
     return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def number_rows(staged: DataFrame) -> DataFrame:
-    """Row numbers as in the source file, the header being row 1.
+def number_rows(staged: DataFrame, first: int = FIRST_DATA_ROW) -> DataFrame:
+    """Row numbers as in the source file; ``first`` is that of the first staged row.
 
     One count per input block, prefix sums over the blocks of a file, then block offset
     plus place in the block: no window ever sees more than one row per block.
@@ -122,7 +122,7 @@ def number_rows(staged: DataFrame) -> DataFrame:
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         FILE, BLOCK, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    number = (F.col("_offset") + F.col(POSITION) - F.col("_first") + FIRST_DATA_ROW).alias(ROW_NUMBER)
+    number = (F.col("_offset") + F.col(POSITION) - F.col("_first") + first).alias(ROW_NUMBER)
     data = [F.col(quoted(c)) for c in staged.columns if c not in (BLOCK, POSITION)]
     return staged.join(offsets, [FILE, BLOCK]).select(*data, number)
 
@@ -173,24 +173,5 @@ def preview(df: DataFrame, order: Sequence[str], count: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(count)
 
 
-def fingerprint_files(landing: Landing, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """A hash of every file, computed where the file is read; there is no limit of size.
-
-    Up to ``whole_bytes`` it is the SHA-256 of the file.  A larger file is read in blocks by many
-    tasks: its length, the number of its lines and two sums over hashes of its lines are digested,
-    which depends neither on the blocks nor on the order in which they are read.
-    """
-    files = landing.files()
-    named = (FILE, "path", "length", F.element_at(F.split("path", "/"), -1).alias("file_name"))
-    small = files.filter(F.col("length") <= whole_bytes).select(*named, F.sha2("content", 256).alias("file_hash"))
-    lines = landing.load(landing.spark.read.format("text").option("lineSep", "\n")).select(
-        F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_size").alias("_size"), "value")
-    sums = [F.sum(F.xxhash64(F.lit(seed), "value").cast("decimal(20,0)")).cast("string") for seed in (1, 2)]
-    digests = lines.filter(F.col("_size") > whole_bytes).groupBy(FILE, "_size").agg(
-        F.sha2(F.concat_ws("|", F.col("_size").cast("string"), F.count(F.lit(1)).cast("string"), *sums), 256).alias("file_hash"))
-    large = files.filter(F.col("length") > whole_bytes).select(*named).join(digests.drop("_size"), FILE)
-    return small.unionByName(large)
-
-
 def fingerprint_text(c: Column) -> Column:
     return F.sha2(c, 256)

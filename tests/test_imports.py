@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicegate import messages
-from sluicegate.contracts import ContractError
 from sluicegate.operators import validate
 from sluicegate.plans import imports
 from sluicegate.plans.store import Store
 from sluicegate.registry import CONTRACTS
-from sluicegate.sources import landing, workbooks
+from sluicegate.sources import fingerprint, landing, workbooks
+from sluicegate.sources.fingerprint import fingerprint_files
 from sluicegate.streaming.landing_stream import start_landing
 from workbook_writer import write_workbook
 
@@ -101,10 +101,114 @@ def test_constants_keep_two_contracts_apart(spark, store, inbox):
     assert sorted(r["school_type"] for r in store.table("school_sessions").collect()) == ["director", "supervisor"]
 
 
-def test_missing_header_raises_before_anything_is_written(spark, store, inbox):
-    put(inbox, "a.csv", "1", head="Дата")
-    with pytest.raises(ContractError, match="иин|ИИН"):
-        imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann")
+def test_each_file_is_matched_by_its_own_header(spark, store, inbox):
+    """Columns in another order, with one less, one more, or spelled differently."""
+    put(inbox, "a.csv", "1.4.2026,1,А,1,да")
+    put(inbox, "b.csv", "нет,2,Б,2.4.2026", head="подтверждение, ИИН ,фи,ДАТА,доп. балл")
+    put(inbox, "c.csv", '"3.4.2026","да, верно","x",3,В,3,9', head='Дата,Подтверждение,"Лишний, с запятой",ИИН,ФИ,Доп. Балл,иин')
+    put(inbox, "d.csv", "1", head="Дата")
+    (inbox / "e.csv").write_text("\n\n")
+    put(inbox, "f.csv")
+    ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
+    assert {n: ledger[n]["status"] for n in ledger} == {
+        **dict.fromkeys(["a.csv", "b.csv", "c.csv"], messages.IMPORTED),
+        **dict.fromkeys(["d.csv", "e.csv", "f.csv"], messages.REJECTED)}
+    assert "missing required columns" in ledger["d.csv"]["notes"] and "иин" in ledger["d.csv"]["notes"]
+    assert ledger["e.csv"]["notes"] == "the file has no rows"
+    rows = {r["iin"]: r for r in store.table("attestation").collect()}
+    assert {k: (str(r["exam_date"]), r["full_name"], r["bonus_score"], r["confirmed"], r["_row_number"]) for k, r in rows.items()} == {
+        "1": ("2026-04-01", "А", 1.0, "да", 2), "2": ("2026-04-02", "Б", None, "нет", 2),
+        "3": ("2026-04-03", "В", 3.0, "да, верно", 2)}
+
+
+def test_an_old_file_of_another_header_blocks_nothing(spark, store, inbox):
+    put(inbox, "old.csv", "да,7,Ж,1.4.2026,", head="Подтверждение,ИИН,ФИ,Дата,Доп. Балл")
+    imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann")
+    put(inbox, "new.csv", "1.4.2026,1,А,1,да", "1.4.2026,7,Ж,,да")
+    ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
+    assert set(ledger) == {"new.csv"}
+    assert (ledger["new.csv"]["inserted_rows"], ledger["new.csv"]["skipped_rows"]) == (1, 1)
+
+
+def test_free_files_of_different_headers(spark, store, inbox):
+    put(inbox, "a.csv", "1,x", head="id,name")
+    put(inbox, "b.csv", "y,2.5,2,9", head="name,rate,id,")
+    ledger = by_name(imports.import_free(store, listing(spark, inbox), "mixed", "bob"))
+    assert {r["inserted_rows"] for r in ledger.values()} == {1}
+    rows = sorted((r["id"], r["name"], r["rate"]) for r in store.table("mixed").collect())
+    assert rows == [(1, "x", None), (2, "y", 2.5)]
+
+
+def test_a_file_may_lack_columns_of_its_table(spark, store, inbox):
+    """Rows are compared on the columns of the file; the others become NULL."""
+    put(inbox, "a.csv", "1,x,1.5", "2,y,2.5", head="id,name,rate")
+    imports.import_free(store, listing(spark, inbox, "a.csv"), "t", "bob")
+    put(inbox, "b.csv", "1,x", "2,other", "3,z", "3,z", head="id,name")
+    b = by_name(imports.import_free(store, listing(spark, inbox, "b.csv"), "t", "bob"))["b.csv"]
+    assert (b["inserted_rows"], b["skipped_rows"]) == (2, 2)
+    put(inbox, "c.csv", "3,z,", "4,w,4", "1,x,1.5", head="id,name,rate")
+    c = by_name(imports.import_free(store, listing(spark, inbox, "c.csv"), "t", "bob"))["c.csv"]
+    assert (c["inserted_rows"], c["skipped_rows"]) == (1, 2)
+    assert sorted(map(str, ((r["id"], r["name"], r["rate"]) for r in store.table("t").collect()))) == sorted(map(str, [
+        (1, "x", 1.5), (2, "y", 2.5), (2, "other", None), (3, "z", None), (4, "w", 4.0)]))
+
+
+def test_two_loads_at_once_accept_each_row_once(spark, store, inbox, monkeypatch):
+    """Another load commits between the look-up and the commit of this one."""
+    put(inbox, "a.csv", "1.4.2026,1,А,1,да", "1.4.2026,2,Б,1,да", "1.4.2026,3,В,1,да")
+    put(inbox, "b.csv", "1.4.2026,2,Б,1,да", "1.4.2026,9,Я,1,да")
+    put(inbox, "c.csv", "1.4.2026,3,В,1,да", "1.4.2026,9,Я,1,да")
+    real = Store.write_rows
+
+    def meanwhile(self, df, name, load_id):
+        real(self, df, name, load_id)
+        if load_id == "l-a":
+            monkeypatch.setattr(Store, "write_rows", real)
+            for other in "bc":
+                imports.import_files(store, listing(spark, inbox, f"{other}.csv"), ATTESTATION, "bob", load_id=f"l-{other}")
+
+    monkeypatch.setattr(Store, "write_rows", meanwhile)
+    a = by_name(imports.import_files(store, listing(spark, inbox, "a.csv"), ATTESTATION, "ann", load_id="l-a"))["a.csv"]
+    assert (a["status"], a["inserted_rows"], a["skipped_rows"]) == (messages.IMPORTED, 1, 2)
+    rows = store.table("attestation").collect()
+    assert sorted(r["iin"] for r in rows) == ["1", "2", "3", "9"]
+    assert [r["load_id"] for r in store.versions("attestation").orderBy("version").collect()] == ["l-b", "l-c", "l-a"]
+    skipped = [r for r in store.skipped().collect() if r["reason"] == messages.ROW_EXISTS]
+    assert len(skipped) == 3
+
+
+def test_a_load_that_stopped_after_its_commit_is_finished(spark, store, inbox, monkeypatch):
+    put(inbox, "a.csv", "1.4.2026,1,А,1,да")
+    real = Store.finish
+
+    def stopped(self, load_id, name):
+        raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(Store, "finish", stopped)
+    with pytest.raises(RuntimeError):
+        imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann", load_id="l-1")
+    assert store.table("attestation").count() == 1
+    assert [r["status"] for r in store.statuses().collect()] == [messages.VALIDATED]
+    monkeypatch.setattr(Store, "finish", real)
+    ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann", load_id="l-1"))
+    assert (ledger["a.csv"]["status"], ledger["a.csv"]["inserted_rows"]) == (messages.IMPORTED, 1)
+
+
+def test_a_version_is_taken_once(store):
+    store.ensure("t", store.spark.range(1).schema)
+    assert store.commit("t", 1, "l-1") and not store.commit("t", 1, "l-2") and store.commit("t", 2, "l-2")
+    assert store.version("t") == 2 and store.version("other") == 0
+    with pytest.raises(TimeoutError):
+        store.commit("t", 3, "")
+        store.rows_since("t", 2, patience=0.3)
+
+
+def test_a_repeated_event_write_replaces_itself(spark, store):
+    events = spark.createDataFrame([("ann", "Ann"), ("bob", "Bob")], "username string, display_name string")
+    for write_id in ("w1", "w1", None):
+        store.log_events(events, write_id)
+    assert sorted(r["username"] for r in store.log().collect()) == ["ann", "ann", "bob", "bob"]
+    assert store.log().columns == ["username", "display_name", "logged_at"]
 
 
 def test_rules_reject_rows(spark, store, inbox):
@@ -137,24 +241,50 @@ def test_failed_write_leaves_nothing_visible_and_can_be_repeated(spark, store, i
     assert [r["status"] for r in store.statuses().collect()] == [messages.IMPORTED]
 
 
-def test_large_files_are_known_by_their_lines(spark, store, inbox, monkeypatch):
-    """No file is too large; beyond a size the hash is made from lines, in many tasks."""
-    monkeypatch.setattr(landing.fingerprint_files, "__defaults__", (100,))
-    lines = [f"1.4.2026,{i},А,1,да" for i in range(3000)]
+def hashes(spark, inbox):
+    return {r["file_name"]: r["file_hash"] for r in fingerprint_files(listing(spark, inbox)).collect()}
+
+
+def test_fingerprints_do_not_depend_on_blocks(spark, store, inbox):
+    """Lines count with their place; how a file is cut does not count."""
+    lines = [f"1.4.2026,{i},А,1,да" for i in range(1200)]
     put(inbox, "a.csv", *lines)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    put(inbox, "copy.csv", *lines)
+    put(inbox, "swapped.csv", lines[1], lines[0], *lines[2:])
+    put(inbox, "far.csv", lines[-1], *lines[1:-1], lines[0])
+    put(inbox, "other.csv", *lines[:-1], "1.4.2026,x,А,1,да")
+    (inbox / "no-end.csv").write_text("\n".join([HEAD, *lines]), encoding="utf8")
+    (inbox / "blank.csv").write_text("\n\n")
+    (inbox / "line.csv").write_text("\n")
+    whole = hashes(spark, inbox)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
     try:
-        ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
-        assert (ledger["a.csv"]["status"], ledger["a.csv"]["inserted_rows"]) == (messages.IMPORTED, 3000)
-        before = ledger["a.csv"]["file_hash"]
+        lines_read = landing.list_files(spark, str(inbox), "a.csv").load(spark.read.format("text"))
+        assert lines_read.rdd.getNumPartitions() > 5
+        assert hashes(spark, inbox) == whole
+        ledger = by_name(imports.import_files(store, listing(spark, inbox, "a.csv"), ATTESTATION, "ann"))
+        assert (ledger["a.csv"]["status"], ledger["a.csv"]["inserted_rows"]) == (messages.IMPORTED, 1200)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    put(inbox, "copy.csv", *lines)
-    put(inbox, "other.csv", *lines[:-1], "1.4.2026,x,А,1,да")
-    prints = {r["file_name"]: r["file_hash"] for r in landing.fingerprint_files(listing(spark, inbox)).collect()}
-    assert prints["a.csv"] == prints["copy.csv"] == before != prints["other.csv"]
-    ledger = by_name(imports.import_files(store, listing(spark, inbox), ATTESTATION, "ann"))
-    assert set(ledger) == {"other.csv"} and ledger["other.csv"]["inserted_rows"] == 1
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert whole.pop("copy.csv") == whole["a.csv"]
+    assert len(set(whole.values())) == len(whole) and all(len(h) == 64 for h in whole.values())
+    assert by_name(imports.import_files(store, listing(spark, inbox, "copy.csv"), ATTESTATION, "ann")) == {}
+
+
+def test_sums_of_lines_against_python_numbers(spark):
+    """Powers and sums modulo the prime, and the shift of a block to its place."""
+    places = [0, 1, 255, 256, 70000, 2**31, 2**33 - 1]
+    rows = [("f", 0, p, f"line {p}") for p in places]
+    df = spark.createDataFrame(rows, "_file string, _block long, _place long, value string")
+    seeds = [F.xxhash64(F.lit(s), "value").alias(f"h{s}") for s in fingerprint.SEEDS]
+    hashed = {r["_place"]: r for r in df.select("_place", *seeds).collect()}
+    got = fingerprint.block_sums(df).first()
+    for i, seed in enumerate(fingerprint.SEEDS):
+        want = sum(hashed[p][f"h{seed}"] % fingerprint.PRIME * pow(fingerprint.BASE, p, fingerprint.PRIME) for p in places)
+        assert got[f"s{i}"] == want % fingerprint.PRIME
+    assert (got["first"], got["n"], got["head"]) == (0, len(places), "line 0")
 
 
 def test_files_left_out_are_joined_away(spark, store, inbox):
