@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluicegate.operators import changes
+from sluicegate.plans.keyed import KeyedTable
+from sluicegate.plans.store import Store
 from sluicegate.queries.base import query, table
+from sluicegate.session import work_folder
 
 
 @query("""
@@ -59,3 +62,31 @@ def role_upsert(spark, folder):
     granted = events.filter("event_type = 'purchase'").select(F.concat(F.lit(" USER"), "user_id").alias("username"))
     after = changes.grant_role(roles, granted, "trainer", "admin")
     return after.orderBy(F.col("granted_at").desc(), "username").drop("granted_at")
+
+
+@query("""
+    WITH priced AS (
+        SELECT o_custkey AS k, max_by(o_orderpriority, struct_pack(d := o_orderdate, k := o_orderkey)) AS segment, max(o_totalprice) AS balance
+        FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+    one AS (
+        SELECT c_custkey AS k, coalesce(segment, c_mktsegment) AS segment, coalesce(balance, c_acctbal) AS balance
+        FROM customer LEFT JOIN priced ON c_custkey = k),
+    two AS (SELECT * FROM one WHERE k % 7 <> 0),
+    three AS (SELECT * FROM two WHERE k % 5 <> 0 UNION ALL SELECT c_custkey, 'BACK', 0.5 FROM customer WHERE c_custkey % 5 = 0)
+    SELECT k AS key, segment, balance FROM three""")
+def merge_on_read(spark, folder):
+    """Customers as a keyed table: prices of orders, a delete, a compaction, another upsert."""
+    store = Store(spark, work_folder(spark, "keyed"))
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("balance"))
+    orders = table(spark, folder, "orders").filter("o_orderstatus = 'F'")
+    newest = orders.groupBy(F.col("o_custkey").alias("key")).agg(
+        F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("segment"),
+        F.max("o_totalprice").cast("double").alias("balance")).join(customers.select("key"), "key", "left_semi")
+    keyed = KeyedTable(store, "customers", customers.schema, ["key"])
+    keyed.upsert(customers)
+    keyed.upsert(newest)
+    keyed.compact()
+    keyed.delete(customers.filter("key % 7 = 0"))
+    keyed.upsert(customers.filter("key % 5 = 0").select("key", F.lit("BACK").alias("segment"), F.lit(0.5).alias("balance")))
+    return keyed.rows()

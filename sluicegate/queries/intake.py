@@ -10,7 +10,7 @@ from sluicegate.functions import text
 from sluicegate.operators import dedup, profile
 from sluicegate.plans.store import Store
 from sluicegate.queries.base import SQL_NUMBER, SQL_SPACES, query, table
-from sluicegate.session import work_folder
+from sluicegate.session import work_folder, written
 from sluicegate.sources import landing
 from sluicegate.streaming.landing_stream import append_stream
 
@@ -188,6 +188,15 @@ def infer_schema(spark, folder):
     return profile.infer_schema(landing.as_text(table(spark, folder, "lineitem")))
 
 
+@query(_infer_sql("lineitem", _LINE_COLUMNS))
+def merged_profile(spark, folder):
+    """Lines in four parts, each profiled and written by itself; the states are merged."""
+    lines = landing.as_text(table(spark, folder, "lineitem"))
+    part = F.pmod(F.col("l_orderkey").cast("long"), F.lit(4)).alias("part")
+    states = written(profile.profile_state(lines.select("*", part), by=["part"]), "states")
+    return profile.inferred(profile.merge_states(states))
+
+
 @query(_infer_sql("documents", ["doc_id", "lang", "source", "n_chars"]) + """
     UNION ALL SELECT 4, 'text', CASE WHEN max(length(text)) > 300 THEN 'NVARCHAR(MAX)' ELSE 'NVARCHAR(255)' END,
         count(nullif(text, '')), CAST(max(length(text)) AS BIGINT) FROM documents""")

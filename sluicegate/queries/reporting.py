@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluicegate.operators import reports
+from sluicegate.plans import pages
 from sluicegate.queries.base import query, table
+from sluicegate.session import work_folder
 
 
 @query("""
@@ -82,3 +84,15 @@ def page_rows(spark, folder):
 @query("SELECT * FROM customer WHERE c_custkey > 99 ORDER BY c_custkey LIMIT 50")
 def page_after_key(spark, folder):
     return reports.page_after(table(spark, folder, "customer"), "c_custkey", 99)
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 50 OFFSET 2450""")
+def indexed_page(spark, folder):
+    """Page 50 of the lines by price, through the page index."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey", "l_shipdate")
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    index = pages.build_page_index(lines, order, work_folder(spark, "pages"), rows_per_range=4000)
+    return index.page(50).drop("l_suppkey", "l_shipdate")
