@@ -32,7 +32,7 @@ from sluicegate.llm.base import SPACES, prefix_hashes, releasing, slices, table,
 #: Bytes under the rolling hash, and hash bits that must be zero: chunks of about 64 words.
 WINDOW, CUT_BITS = 16, 6
 #: Bytes of memory that a task spends on chunks and pieces, about, and of texts it works on at a time.
-CACHE_BYTES, BATCH_BYTES = 100_000_000, 2_000_000
+CACHE_BYTES, BATCH_BYTES = 50_000_000, 1_000_000
 #: Bytes that a piece and a chunk take besides their texts: objects, dictionary entries, ids.
 PIECE_COST, CHUNK_COST = 280, 250
 #: Different characters at the edges of pieces, at most, that outlive a full cache.

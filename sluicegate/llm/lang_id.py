@@ -170,12 +170,16 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: cross-entropy per character by language (nats), the same with the best
         language of each stretch, number of characters predicted, and whether it has a letter.
-        A text longer than a block is read block by block, each starting without context."""
+        A text longer than a block is read block by block, with what went before as context."""
         n = len(texts)
         sums, count = np.zeros((n, len(self.languages) + 1)), np.zeros(n, np.int64)
         lettered = np.zeros(n, bool)
-        for part, who in _blocks(texts, BLOCK_CHARS):
+        most = BLOCK_CHARS
+        for part, who in _blocks([t if len(t) <= most else "" for t in texts], most):
             self._add(part, np.array(who), sums, count, lettered)
+        for i, text in enumerate(texts):
+            if len(text) > most:
+                sums[i], count[i], lettered[i] = self._long(text, most)
         entropy = -sums / np.maximum(count, 1)[:, None]
         return entropy[:, :-1], entropy[:, -1], count, lettered
 
@@ -196,6 +200,41 @@ class Model:
                 np.add.at(sums[:, j], who, np.bincount(owner[start], stretches[:, j], minlength=len(part)))
         lettered[who[np.bincount(owner, codes[at] != SPACE, minlength=len(part)) > 0]] = True
 
+    def _long(self, text: str, most: int) -> tuple[np.ndarray, int, bool]:
+        """Sums, number of characters and letters of one text, block by block."""
+        many, start = len(self.languages), self.order - 1
+        context = np.full(start, SPACE, np.uint32)
+        last, place, lettered = SPACE, 0, False
+        total, stretch = np.zeros(many + 1), np.zeros(many)
+        for begin in range(0, len(text), most):
+            raw = np.frombuffer(text[begin:begin + most].lower().encode("utf-32-le", "surrogatepass"), "<u4")
+            raw = np.where(_alphabetic()[raw], raw, SPACE)
+            before = np.concatenate([[last], raw[:-1]])
+            codes = np.concatenate([context, raw[(raw != SPACE) | (before != SPACE)]]).astype(np.uint32)
+            last = int(raw[-1])
+            at = np.arange(start, len(codes))
+            if not len(at):
+                continue
+            lettered = lettered or bool((codes[at] != SPACE).any())
+            keys = [np.zeros(len(codes), np.uint64)] + [gram_keys(codes, k) for k in range(1, self.order + 1)]
+            log_p = self._log_p(self.order, keys, at)
+            if many:
+                places = place + np.arange(len(at))
+                cut = np.flatnonzero((places % STRETCH == 0) | (np.arange(len(at)) == 0))
+                parts = np.add.reduceat(log_p, cut, axis=0, dtype=np.float64)
+                if place % STRETCH:  # the stretch that the block before began
+                    parts[0] += stretch
+                elif place:
+                    total[-1] += stretch.max()
+                total[:-1] += log_p.sum(axis=0, dtype=np.float64)
+                total[-1] += parts[:-1].max(axis=1).sum()
+                stretch = parts[-1]
+            place += len(at)
+            context = codes[len(codes) - start:]
+        if many and place:
+            total[-1] += stretch.max()
+        return total, place, lettered
+
     def deviations(self, best: np.ndarray, entropy: np.ndarray, count: np.ndarray) -> np.ndarray:
         noise = np.sqrt(self.spread[best] ** 2 + self.per_char[best] / np.maximum(count, 1))
         return (entropy - self.mean[best]) / np.maximum(noise, 1e-9)
@@ -288,7 +327,8 @@ def calibrate(model: Model, texts: list[str], labels: list[str]) -> Model:
     model.beta = min(losses)[1]
     best = np.argmin(entropy, axis=1)
     off = model.deviations(best, mixed, count)
-    model.limit = max(REJECT_DEVIATIONS, 1.1 * float(np.quantile(off, 0.995)))
+    # Some labels may be junk: the limit follows the bulk of the texts, not the furthest.
+    model.limit = max(REJECT_DEVIATIONS, 2.0 * float(np.quantile(off, 0.9)))
     return model
 
 
@@ -324,9 +364,16 @@ def trained(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # Long documents come last, by size: the running sum then cuts off none that is shorter.
     late = F.when(F.col("size") * LONG_SHARE > sample_chars, F.col("size")).otherwise(F.lit(0))
-    first = Window.partitionBy("lang").orderBy(late, "h", "doc_id", "size")
+    first = Window.partitionBy("lang").orderBy("late", "h", "doc_id", "size")
+    sized = labelled.select("doc_id", "lang", F.length("text").alias("size"), h.alias("h")).withColumn("late", late)
+    # A language of many documents is thinned by its hash before it is ranked in one place: four times
+    # the sample stays, and no long document where the short ones are enough.
+    short = sized.groupBy("lang").agg(F.count_if(F.col("late") == 0).alias("short"))
+    share = F.lit(4.0 * sample_docs) / F.col("short")
+    stays = F.when(F.col("short") < 4 * sample_docs, (F.col("late") == 0) | (F.col("short") < sample_docs)).otherwise(
+        (F.col("late") == 0) & (F.col("h").cast("double") / 2.0 ** 64 + 0.5 < share))
     ranked = (
-        labelled.select("doc_id", "lang", F.length("text").alias("size"), h.alias("h"))
+        sized.join(short, "lang").where(stays)
         .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs))
     upto = first.rowsBetween(Window.unboundedPreceding, 0)
     # Written, its size is known: Spark then decides by its own check whether to broadcast it.

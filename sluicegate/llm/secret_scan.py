@@ -6,7 +6,8 @@ the candidate, the candidate and its copies left out, so that a key used twice i
 places; only copies that are called, as ``name(``, stay, since they make it a name.  The bytes
 needed for the candidate beyond an empty frame are its marginal size.  Names and paths cost
 little, random keys cost about their length: a candidate that stays incompressible is reported as
-``novel`` unless a pattern already covers it.
+``novel`` unless a pattern already covers it, or it changes between letters, digits and cases too
+seldom to be random (a name of words not met before is incompressible too).
 
 Texts are scanned whole; spans are code points, end exclusive.  A null or empty text has no
 spans.  Repeated rows are scanned alike, an empty table gives no rows, other columns play no part.
@@ -15,7 +16,7 @@ spans.  Repeated rows are scanned alike, an empty table gives no rows, other col
 from __future__ import annotations
 
 import bisect
-import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -36,11 +37,14 @@ SENSITIVE = re.compile(
     r"pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|bearer|auth(?:orization|_key)", re.A | re.I)
 SENSITIVE_PARTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer", b"auth")
 REACH = 100
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+SHORTEST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 #: Code points on either side that prime the compressor.
 AROUND = 1500
 #: Share of its own length that a candidate must cost.
 NOVEL = 0.75
+#: Changes of kind per pair of neighbours below which a candidate is a name, a path or a date.
+TURNS = 0.22
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret "
     "authorization bearer credential username user_name user_id session_id request_id "
@@ -84,35 +88,63 @@ def _surroundings(text: str, start: int, end: int) -> str:
 
 
 def _candidates(text: str) -> list[tuple[int, int]]:
-    """Strings of secret characters after a sensitive word, then those wholly before one."""
-    found, done, words = [], 0, []
-    for word in SENSITIVE.finditer(text):
-        words.append(word.start())
-        stop = word.end() + REACH
-        for m in CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() >= stop:
+    """Strings of secret characters after a sensitive word, then those wholly before one.
+
+    Runs of secret characters and words are each found once and merged by position, so the time
+    follows the length of the text.
+    """
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    found, done, at = [], 0, 0
+    for _, word_end in words:
+        begin, stop = max(done, word_end), word_end + REACH
+        while at < len(runs):
+            start, end = max(runs[at][0], begin), runs[at][1]
+            if end - start < SHORTEST:  # nothing of it is left after the word
+                at += 1
+            elif start >= stop:
                 break
-            done = m.end()
-            found.append(m.span())
-    begins = [s for s, _ in found]
-    for m in CANDIDATE.finditer(text) if words else ():
-        following = bisect.bisect_left(words, m.end())
+            else:
+                found.append((start, end))
+                done, at = end, at + 1
+    word_starts, begins, after = [s for s, _ in words], [s for s, _ in found], len(found)
+    for start, end in runs:
+        following = bisect.bisect_left(word_starts, end)
         if following == len(words):
             break
-        if words[following] - m.end() < REACH:
-            before = bisect.bisect_left(begins, m.end())
-            if not before or found[before - 1][1] <= m.start():
-                found.append(m.span())
+        if word_starts[following] - end < REACH:
+            before = bisect.bisect_left(begins, end, 0, after)
+            if not before or found[before - 1][1] <= start:
+                found.append((start, end))
     return found
 
 
+def turns(value: str) -> float:
+    """How often the kind of character changes between neighbours: letters to digits, back, or
+    small to capital.  Names and dates seldom do so, random keys in nearly every second place."""
+    changes = pairs = 0
+    for part in _PARTS.split(_MOMENT.sub("-", value)):
+        pairs += max(0, len(part) - 1)
+        changes += len(_CHANGE.findall(part))
+    return changes / pairs if pairs else 0.0
+
+
+_MOMENT = re.compile("[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9-]*Z?")
+_PARTS = re.compile("[^A-Za-z0-9]+")
+_CHANGE = re.compile("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])")
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    starts, reach = [s for s, _, _ in known], list(itertools.accumulate((e for *_, e in known), max))
     found = []
     for start, end in _candidates(text):
         value = text[start:end]
-        if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        if turns(value) < TURNS or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
             continue
-        if any(s < end and start < e for s, _, e in known):
+        before = bisect.bisect_left(starts, end)
+        if before and reach[before - 1] > start:  # a pattern covers some of it
             continue
         if marginal_bytes(value, _surroundings(text, start, end)) >= NOVEL * len(value):
             found.append((start, 3, end))

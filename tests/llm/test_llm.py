@@ -414,6 +414,61 @@ def test_novel_strings_may_recur_and_come_first():
     assert [before[s:e] for s, k, e in spans if k == 3] == [key]
 
 
+def slow_candidates(text):
+    """The definition: after each sensitive word, the strings that begin within its reach and after
+    the last one taken; then the strings that end shortly before a word and were not taken."""
+    found, done = [], 0
+    words = list(secret_scan.SENSITIVE.finditer(text))
+    for word in words:
+        for m in secret_scan.CANDIDATE.finditer(text, max(done, word.end())):
+            if m.start() >= word.end() + secret_scan.REACH:
+                break
+            found.append(m.span())
+            done = m.end()
+    taken = list(found)
+    for m in secret_scan.CANDIDATE.finditer(text):
+        near = [w.start() for w in words if w.start() >= m.end()]
+        if near and near[0] - m.end() < secret_scan.REACH and not any(s < m.end() and m.start() < e for s, e in taken):
+            found.append(m.span())
+    return found
+
+
+def test_candidates_against_their_definition():
+    rng = np.random.default_rng(8)
+    pieces = ["token", "secret", "pass", "x" * 15, "q8Zr5TnW2xKv9LmB", " ", "=", "\n", "a b ", "." * 60, "api_key_abcdefgh1234567"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces, int(rng.integers(1, 40))))
+        assert secret_scan._candidates(text) == slow_candidates(text)
+
+
+def test_long_texts_are_scanned_in_proportion():
+    import time
+
+    for part in ("token ", "password = hunter22 and ", "secret_", "x" * 11 + " token "):
+        text = part * (2_000_000 // len(part))
+        began = time.process_time()
+        secret_scan.scan(text, text.encode())
+        assert time.process_time() - began < 20
+
+
+def test_names_are_no_secrets_and_keys_are():
+    names = ["AbstractSingletonProxyFactoryBean2", "handle_user_session_id_v2", "user_profile_settings_page_1",
+             "c3p0_connection_pool_size", "com/example/app/v1/users/list", "2024-03-01T10-22-33Z", "getHTTPResponseCode2XX",
+             "build-2024-11-05-release", "migration_0042_add_user_index", "libssl1-dev/bookworm"]
+    for name in names:
+        text = f"after the secret is in {name} we go on"
+        assert not [s for s in secret_scan.scan(text, text.encode())[1] if s[1] == 3], name
+    rng = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet, size, least in ((letters + letters[:26].upper(), 16, 0.9), (letters + letters[:26].upper(), 24, 0.95), (letters, 24, 0.85)):
+        hits = 0
+        for _ in range(200):
+            key = "".join(rng.choice(list(alphabet), size))
+            text = f"after the secret is in {key} we go on"
+            hits += any(k == 3 and text[s:e] == key for s, k, e in secret_scan.scan(text, text.encode())[1])
+        assert hits >= least * 200
+
+
 # -- mixing --------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("difficult_rows", [False, True])
@@ -574,6 +629,18 @@ def test_long_texts_take_no_place_in_the_sample(spark):
 
 # -- nearest neighbours --------------------------------------------------------------------------
 
+def test_long_texts_keep_their_context_over_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = lang_id.trained(lang_id.training_part(docs))
+    texts = [r["text"] or "" for r in docs.limit(60).collect()]
+    long = [" ".join(texts) * 3, "  ,. " + texts[0] + " ... 123 " * 50 + texts[1], "", " " * 500]
+    whole = model.entropies(long)
+    for block in (1000, 777, 64):
+        monkeypatch.setattr(lang_id, "BLOCK_CHARS", block)
+        for a, b in zip(whole, model.entropies(long)):
+            assert np.allclose(a, b, rtol=1e-6)
+
+
 def vectors(seed=1, n=3000, size=24):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, size)).astype(np.float32)
