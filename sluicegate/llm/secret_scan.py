@@ -44,7 +44,7 @@ AROUND = 1500
 #: Share of its own length that a candidate must cost.
 NOVEL = 0.75
 #: Changes of kind per pair of neighbours below which a candidate is a name, a path or a date.
-TURNS = 0.22
+TURNS = 0.2
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret "
     "authorization bearer credential username user_name user_id session_id request_id "
