@@ -16,6 +16,7 @@ from sluicegate import messages
 from sluicegate.contracts import Contract, project, with_overrides, with_table_types
 from sluicegate.functions.names import header_key, quoted, sanitize_name
 from sluicegate.operators import dedup, profile, validate
+from sluicegate.plans.hash_index import HashIndex
 from sluicegate.plans.outcomes import ACCEPTED, DUP_IN_BATCH, DUP_IN_TARGET, INVALID, OUTCOME
 from sluicegate.plans.store import AUDIT, LOAD, Store
 from sluicegate.sources import landing, records, workbooks
@@ -78,19 +79,24 @@ def read_landing(store: Store, files: Landing, plan: DataFrame, fmt: str, contra
     return landing.number_rows(staged), none
 
 
-def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequence[Column] = ()) -> DataFrame:
+def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequence[Column] = (),
+             index: HashIndex | None = None) -> DataFrame:
     """Typed rows with ``errors`` and ``outcome``, as if files were loaded one by one.
 
     A copy of a row of the same file is dup_in_batch.  A copy of a row of an earlier file
     or of the target is dup_in_target.  Keys are all data and constant columns.  The checked
-    rows are written with their hash: they are read for the duplicates and for the look-up.
+    rows are written with their hash: they are read for the duplicates and for the look-up.  With an
+    ``index`` of the target only files that hold one of these hashes are read.
     """
     keys = contract.column_names
-    if {*keys} != {*target.columns} - {LOAD, *AUDIT.fieldNames()}:
+    whole = {*keys} == {*target.columns} - {LOAD, *AUDIT.fieldNames()}
+    if not whole:
         target = target.drop(dedup.ROW_HASH)  # stored hashes are of all columns, these are some of them
     validated = validate.validate(project(rows, contract, keep=[FILE, ROW_NUMBER]), rules)
     checked = validated.withColumn("_valid", validate.is_valid())
     checked = written(checked.withColumn(dedup.ROW_HASH, dedup.row_hash(checked, keys)), "checked")
+    if whole and index is not None:
+        target = index.rows(checked.filter("_valid"))
     in_file = dedup.flag_copies(checked, [FILE, "_valid", *keys], [ROW_NUMBER])
     head = F.col("_valid") & F.col(dedup.IS_FIRST)
     # A key has one head per file at most, so heads may meet; the other rows are spread.
@@ -202,6 +208,7 @@ def _write_load(store: Store, rows: DataFrame, contract: Contract, plan: DataFra
         F.current_timestamp().alias("_imported_at"), F.lit(by).alias("_imported_by"), dedup.ROW_HASH)
     try:
         store.write_rows(accepted, contract.table, load_id)
+        HashIndex(store, contract.table).add(load_id)
     except Exception as error:
         failed = ledger.withColumn("status", F.lit(messages.FAILED)).withColumn(
             "notes", F.lit(str(error)))
@@ -236,7 +243,7 @@ def import_files(store: Store, files: Landing, contract: Contract, by: str, fmt:
     store.ensure(contract.table, contract.schema())
     filled = landing.drop_blank_rows(rows)
     version = store.version(contract.table)
-    classified = classify(filled, contract, store.table(contract.table), rules)
+    classified = classify(filled, contract, store.table(contract.table), rules, HashIndex(store, contract.table))
     return publish(store, classified, contract, plan, problems, load_id, by, by_name, version)
 
 
@@ -274,5 +281,5 @@ def import_free(store: Store, files: Landing, table: str, by: str, fmt: str = "c
     headers = [f.header for f in contract.fields]
     filled = landing.drop_blank_rows(rows, headers)
     version = store.version(contract.table)
-    classified = classify(filled, contract, store.table(contract.table))
+    classified = classify(filled, contract, store.table(contract.table), index=HashIndex(store, contract.table))
     return publish(store, classified, contract, plan, problems, load_id, by, by_name, version)

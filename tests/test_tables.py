@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluicegate.operators import profile, reports
+from sluicegate.operators import dedup, profile, reports
+from sluicegate.plans import hash_index
+from sluicegate.plans.hash_index import HashIndex
 from sluicegate.plans.keyed import KeyedTable
 from sluicegate.plans.pages import build_page_index
 from sluicegate.plans.store import Store
@@ -125,3 +127,75 @@ def test_merged_states_equal_one_pass(spark):
     other = profile.profile_state(spark.createDataFrame([("9", "x")], "c string, e string"))
     both = {r["column_name"]: r["filled"] for r in profile.merge_states(one.unionByName(other)).collect()}
     assert both == {"a": 4, "b": 5, "c": 5, "d": 0, "e": 1} or both == {"a": 4, "b": 5, "c": 5, "d": None, "e": 1}
+
+
+def _hashed(spark, ids):
+    rows = spark.createDataFrame([(i, f"name {i}") for i in ids], "id long, name string").coalesce(1)
+    return rows.withColumn(dedup.ROW_HASH, dedup.row_hash(rows, ["id", "name"]))
+
+
+def _indexed(spark, store, loads, file_rows):
+    store.ensure("people", _hashed(spark, []).drop(dedup.ROW_HASH).schema)
+    index = HashIndex(store, "people", file_rows)
+    for version, ids in enumerate(loads, 1):
+        store.write_rows(_hashed(spark, ids).repartition(8, "id"), "people", f"l-{version}")
+        index.add(f"l-{version}")
+        store.commit("people", version, f"l-{version}")
+    return index
+
+
+def _found(index, probes):
+    return sorted(r["id"] for r in index.rows(probes).join(probes.select(dedup.ROW_HASH), dedup.ROW_HASH, "left_semi").collect())
+
+
+def test_a_look_up_opens_files_by_its_own_size(spark, tmp_path):
+    probes = _hashed(spark, [5, 700, 1_000_000]).cache()
+    for n in (2_000, 8_000):
+        index = _indexed(spark, Store(spark, f"file://{tmp_path}/{n}"), [range(n)], 100)
+        files = index._read("ranges", hash_index.RANGES).count()
+        assert files >= n / 100
+        # Three hashes: a file of hashes each, and one more where a cell is shared.
+        assert index._candidates(probes.select(dedup.ROW_HASH)).count() <= 6
+        assert len(index.rows(probes).inputFiles()) <= 2
+        assert _found(index, probes) == [5, 700]
+
+
+def test_index_over_loads_merged_and_later_ones(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    index = _indexed(spark, store, [range(0, 500), range(500, 600), []], 50)
+    probes = _hashed(spark, [*range(450, 720, 7), -3]).cache()
+    store.write_rows(_hashed(spark, range(600, 700)), "people", "l-open")
+    index.add("l-open")  # not committed
+    expected = [i for i in range(450, 720, 7) if i < 600]
+    assert _found(index, probes) == expected
+    index.merge()
+    assert index._visible().collect()[0][0].startswith("merged-") and index._visible().count() == 1
+    assert _found(index, probes) == expected
+    store.commit("people", 4, "l-open")
+    expected = [i for i in range(450, 720, 7) if i < 700]
+    assert _found(index, probes) == expected
+    index.merge()
+    assert _found(index, probes) == expected
+    # More files than a reader is handed: the folders are read as a whole, with the same result.
+    assert _found(HashIndex(store, "people", 50, most_files=0), probes) == expected
+    assert _found(index, probes.limit(0)) == []
+
+
+def test_index_of_a_table_without_rows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    index = _indexed(spark, store, [], 50)
+    index.merge()
+    assert _found(index, _hashed(spark, [1])) == []
+
+
+def test_ranges_at_the_ends_of_the_numbers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    ends = [-2**63, -2**63 + 1, -1, 0, 1, 2**62, 2**63 - 1]
+    index = _indexed(spark, store, [], 50)
+    rows = spark.createDataFrame([(i, "x", h) for i, h in enumerate(ends)], f"id long, name string, {dedup.ROW_HASH} long")
+    for version, part in enumerate((rows, rows.filter("id IN (0, 6)"), rows.filter("id = 3")), 1):
+        store.write_rows(part, "people", f"l-{version}")
+        index.add(f"l-{version}")
+        store.commit("people", version, f"l-{version}")
+    for i, h in enumerate(ends):
+        assert i in _found(index, rows.filter(F.col("id") == i)), h
