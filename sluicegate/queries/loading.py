@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from sluicegate import messages
 from sluicegate.contracts import Contract, Field, project
-from sluicegate.operators import validate
+from sluicegate.operators import dedup, validate
+from sluicegate.plans.hash_index import HashIndex
 from sluicegate.plans.imports import import_files, import_free
 from sluicegate.plans.store import LOAD, Store
 from sluicegate.queries.base import query, table
-from sluicegate.session import work_folder
+from sluicegate.session import work_folder, written
 from sluicegate.sources import landing, workbooks
 from sluicegate.sources.landing import FILE, ROW_NUMBER, list_files
 from sluicegate.streaming.landing_stream import start_landing
@@ -193,3 +194,32 @@ def contract_workbooks(spark, folder):
     cells = workbooks.sheet_table(scanned, [f.header.lower() for f in CUSTOMERS.fields])
     filled = landing.drop_blank_rows(cells)
     return project(filled, CUSTOMERS, keep=[FILE, ROW_NUMBER]).withColumnRenamed(FILE, "file")
+
+
+@query("""
+    WITH stored AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem WHERE l_orderkey % 3 < 2),
+    asked AS (
+        SELECT l_orderkey AS k, l_linenumber AS n, nullif(l_returnflag, 'R') AS f FROM lineitem WHERE l_orderkey % 3 > 0)
+    SELECT k AS order_key, n AS line_number, f AS flag, EXISTS (
+        SELECT 1 FROM stored AS s WHERE s.k = a.k AND s.n = a.n AND s.f IS NOT DISTINCT FROM a.f) AS known
+    FROM asked AS a""")
+def indexed_lookup(spark, folder):
+    """Lines looked up in a table of three loads through its index of hashes: two loads merged,
+    the third committed after that."""
+    store = Store(spark, work_folder(spark, "indexed-lookup"))
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"), F.col("l_returnflag").alias("flag"))
+    lines = lines.withColumn(dedup.ROW_HASH, dedup.row_hash(lines, lines.columns))
+    keys = ["order_key", "line_number", "flag"]
+    store.ensure("lines", lines.select(*keys).schema)
+    index = HashIndex(store, "lines")
+    loads = ("order_key % 3 = 0 AND line_number < 4", "order_key % 3 = 0 AND line_number >= 4", "order_key % 3 = 1")
+    for version, part in enumerate(loads, 1):
+        store.write_rows(lines.filter(part), "lines", f"l-{version}")
+        index.add(f"l-{version}")
+        store.commit("lines", version, f"l-{version}")
+        if version == 2:
+            index.merge()
+    asked = lines.filter("order_key % 3 > 0").withColumn("flag", F.nullif("flag", F.lit("R"))).drop(dedup.ROW_HASH)
+    probes = written(asked.withColumn(dedup.ROW_HASH, dedup.row_hash(asked, keys)), "probes")
+    return dedup.mark_in_target(probes, index.rows(probes), keys, "known", probes=probes).drop(dedup.ROW_HASH)
