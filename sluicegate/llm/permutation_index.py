@@ -4,12 +4,16 @@ A bounded sample of vectors serves as pivots.  Every vector is represented by th
 ``PREFIX`` nearest pivots and posted, with the rank, in the inverted file of each of them.  A
 query walks through the inverted files of its own pivots and adds up, for each vector met, how
 well the ranks agree; this gives the footrule distance of the two truncated permutations,
-absent pivots ranking behind all others.  The ``SHARE`` of a shard nearest by footrule (at least
-``LEAST`` vectors) is reranked by the exact cosine, and the best of all shards win.
+absent pivots ranking behind all others.  A share of each shard, nearest by footrule (at least
+``LEAST`` vectors), is reranked by the exact cosine, and the best of all shards win.
+
+How large a share finds the neighbours depends on the vectors: clusters and many dimensions take
+more.  So it is measured: ``TRIALS`` queries, first in a seeded order, rerank whole shards, and the
+share is that within which ``RECALL`` of their true neighbours lie by footrule, ``SHARE`` at least.
 
 The index is cut into shards of rows; queries go to the shards in blocks and only their best
 answers come back, so no task holds more than a shard and a block of queries.  All rows are
-indexed; only the pivots are a sample.  The share is the same at every size.
+indexed; only the pivots and the queries of the trial are samples.
 
 A vector that is null, zero, or holds a null or a non-finite component takes no part; vectors of
 different lengths are not compared.  Rows that repeat a vec_id count once (the least vector).  A
@@ -31,8 +35,10 @@ from sluicegate.llm.base import table, written
 PIVOTS, PREFIX = 256, 96
 #: Cosine above which two sampled vectors are too close to be both pivots.
 CLOSE = 0.8
-#: Part of a shard that is reranked, and least number of vectors.
+#: Least part of a shard that is reranked, and least number of vectors.
 SHARE, LEAST = 0.06, 200
+#: Queries that measure the share, and the part of their neighbours that it must hold.
+TRIALS, RECALL = 128, 0.98
 #: Rows of a shard, about, and queries of a block.
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 8_192
 
@@ -85,7 +91,8 @@ class InvertedFiles:
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray,
                  top: int, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST):
-    """Best vectors of a shard for each query: lists of query id, vector id and cosine."""
+    """Best vectors of a shard for each query: lists of query id, vector id, cosine and the part of
+    the shard that is as near by footrule or nearer."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     files = InvertedFiles(prefixes(vectors, pivots, prefix), len(pivots))
@@ -99,7 +106,8 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         near = near[ids[near] != query_id]
         score = (vectors[near] * query).sum(axis=1) / (norms[near] * np.sqrt((query * query).sum()))
         best = np.lexsort((ids[near], -score))[:top]
-        out.append((np.full(len(best), query_id), ids[near[best]], score[best]))
+        place = np.searchsorted(np.sort(rank[near]), rank[near[best]], side="right") / len(ids)
+        out.append((np.full(len(best), query_id), ids[near[best]], score[best], place))
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -114,12 +122,41 @@ def usable(vectors: DataFrame) -> DataFrame:
         .withColumn("size", F.size("embedding")))
 
 
+def _answers(vectors: DataFrame, queries: DataFrame, pivots, top: int, prefix: int, share: float, least: int,
+             shard_rows: int, block_queries: int) -> DataFrame:
+    """query_id, vec_id, score, place and rank of the ``top`` best of all shards for each query."""
+    shards = max(1, -(-vectors.count() // shard_rows))
+    blocks = max(1, -(-queries.count() // block_queries))
+    # Every block of queries meets every shard; a task holds one of each.
+    every_shard, every_block = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (shards, blocks))
+    posted = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(shards)).cast("int")).withColumn("block", every_block)
+    # Columns of their own: the queries may be rows of the same table, which a cogroup mixes up.
+    own = queries.select(*[F.col(c).alias(c) for c in ("vec_id", "embedding", "size")])
+    asked = own.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every_shard)
+
+    def search(key, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        if len(rows) and len(block):
+            found = search_shard(
+                rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_list()),
+                block["vec_id"].to_numpy(np.int64), np.stack(block["embedding"].to_list()),
+                pivots.value[int(key[2])], top, prefix, share, least)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "place"), found)))
+
+    keys = ["shard", "block", "size"]
+    found = (
+        posted.groupBy(*keys).cogroup(asked.groupBy(*keys))
+        .applyInPandas(search, "query_id long, vec_id long, score double, place double"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, n_pivots: int = PIVOTS, prefix: int = PREFIX,
-            share: float = SHARE, least: int = LEAST, shard_rows: int = SHARD_ROWS,
+            share: float | None = None, least: int = LEAST, shard_rows: int = SHARD_ROWS,
             block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest of ``vectors`` by cosine for each query.
 
-    Both are tables as ``usable`` returns them.
+    Both are tables as ``usable`` returns them.  ``share`` is measured where it is not given.
     """
     seeded = Window.partitionBy("size").orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id")
     different = vectors.groupBy("size", "embedding").agg(F.min("vec_id").alias("vec_id"))
@@ -132,30 +169,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, n_pivots: int
         return vectors.select(
             F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-    shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_queries))
-    # Every block of queries meets every shard; a task holds one of each.
-    every_shard, every_block = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (shards, blocks))
-    posted = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(shards)).cast("int")).withColumn("block", every_block)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every_shard)
-
-    def search(key, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if len(rows) and len(block):
-            found = search_shard(
-                rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_list()),
-                block["vec_id"].to_numpy(np.int64), np.stack(block["embedding"].to_list()),
-                shared.value[int(key[2])], top, prefix, share, least)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
-
-    keys = ["shard", "block", "size"]
-    answers = (
-        posted.groupBy(*keys).cogroup(asked.groupBy(*keys))
-        .applyInPandas(search, "query_id long, vec_id long, score double"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-        .select("query_id", "rank", "vec_id", "score"))
+    if share is None:
+        trials = written(queries.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(TRIALS), "ann-trials")
+        true = _answers(vectors, trials, shared, top, prefix, 1.0, least, shard_rows, block_queries)
+        held = true.agg(F.percentile("place", RECALL)).first()[0]  # of TRIALS * top places
+        share = min(1.0, max(SHARE, held or 0.0))
+    answers = _answers(vectors, queries, shared, top, prefix, share, least, shard_rows, block_queries)
+    return answers.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

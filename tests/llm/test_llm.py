@@ -709,6 +709,31 @@ def test_recall_on_given_vectors(spark):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def _vectors(kind, dims, n=3000):
+    rng = np.random.default_rng(dims)
+    if kind == "even":
+        return rng.normal(size=(n, dims))
+    sizes = np.full(4, 0.25) if kind == "tight" else 1 / np.arange(1, 41)
+    centres = rng.normal(size=(len(sizes), dims))
+    return centres[rng.choice(len(sizes), n, p=sizes / sizes.sum())] + 0.2 * rng.normal(size=(n, dims))
+
+
+@pytest.mark.parametrize("kind, dims", [("tight", 64), ("zipf", 64), ("even", 256), ("tight", 256)])
+def test_recall_with_clusters_and_many_dimensions(spark, kind, dims):
+    v = _vectors(kind, dims)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    vectors = permutation_index.usable(frame.repartition(4)).cache()
+    got = defaultdict(set)
+    for r in permutation_index.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_rows=1500).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cosine = unit[::20] @ unit.T
+    cosine[np.arange(len(cosine)), np.arange(0, len(v), 20)] = -2
+    best = np.argsort(-cosine, axis=1)[:, :5]
+    hits = sum(len(got[20 * i] & set(row.tolist())) for i, row in enumerate(best))
+    assert hits >= 0.94 * best.size
+
+
 def test_agreement_is_the_footrule_distance():
     rng = np.random.default_rng(6)
     prefix = permutation_index.prefixes(rng.normal(size=(30, 8)), rng.normal(size=(12, 8)), 5)
