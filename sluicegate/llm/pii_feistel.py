@@ -283,7 +283,7 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     return F.struct(kind.alias("kind"), m.alias("value"), new.alias("pseudonym"))
 
 
-def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, inverse: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, text, and ``pseudonyms``, an array of (kind, value, pseudonym)
     of the validated values in the order of the text.  ``inverse`` gives the values back."""
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).select(
@@ -301,7 +301,7 @@ def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, inverse: bool = False) -
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymised(table(spark, sf_dir, "documents"))
+    out = pseudonymised(table(spark, sf_dir, "documents"), DEMO_KEY)
 
     def number(kind: str) -> Column:
         return F.size(F.filter("pseudonyms", lambda n: n["kind"] == kind)).cast("long").alias(f"n_{kind}")
