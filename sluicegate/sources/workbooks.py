@@ -1,8 +1,10 @@
 """Folders of .xlsx workbooks: the first sheet of each file as text rows.
 
-Spark has no workbook source, so this is the one place where Python sees row data.  Files
-are spread over the tasks; a task opens one workbook at a time with the standard library
-and streams its sheet, so its memory is bounded by a single file.
+Spark has no workbook source, so this is the one place where Python sees row data.  Spark lists
+the files and spreads them over the tasks; a task opens one workbook at a time by its path, reads
+the parts of the archive that it needs, and streams them.  It holds a row, a batch of rows and the
+shared strings of the workbook; these have a limit, so its memory does not follow the size of
+files, which may be over 2 GB.
 """
 
 from __future__ import annotations
@@ -12,16 +14,25 @@ import io
 import itertools
 import re
 import zipfile
-from collections.abc import Iterator
+import zlib
+from array import array
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
 from sluicegate.functions.names import SPACES, header_key, is_named
 from sluicegate.sources.landing import FILE, ROW_NUMBER, Landing
 
 ROWS_PER_BATCH = 2000
+READ_BYTES = 1 << 20
+#: Default limits of a workbook: all its parts unpacked, and the distinct strings that a task keeps.
+MAX_UNPACKED = 64 << 30
+MAX_STRINGS = 512 << 20
 ROW_SCHEMA = f"{FILE} string, {ROW_NUMBER} long, cells map<string,string>, problem string"
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -36,8 +47,41 @@ class WorkbookError(ValueError):
     pass
 
 
+def open_by_range(path: str) -> BinaryIO:
+    """A stream over a file that reads the parts asked for, wherever the path lies.
+
+    Local and mounted paths are opened as files; others by the file systems of Arrow, which take
+    their credentials from the worker's environment.
+    """
+    if path.startswith("file:"):
+        path = f"/{path[5:].lstrip('/')}"
+    scheme, _, place = path.rpartition("://")
+    if not scheme:
+        return open(path, "rb", buffering=READ_BYTES)
+    uri = quote(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{place}", safe=":/@")
+    system, place = pyarrow.fs.FileSystem.from_uri(uri)
+    return io.BufferedReader(system.open_input_file(place), READ_BYTES)
+
+
 def _part(book: zipfile.ZipFile, name: str):
-    return ET.parse(book.open(name)).getroot()
+    with book.open(name) as part:
+        return ET.parse(part).getroot()
+
+
+def _elements(stream, tag: str) -> Iterator[ET.Element]:
+    """Elements of one tag, in order; one that was used is released, as is all around them."""
+    above, inside = [], 0
+    for event, node in ET.iterparse(stream, ("start", "end")):
+        if event == "start":
+            above.append(node)
+            inside += node.tag == tag
+            continue
+        above.pop()
+        if node.tag == tag:
+            inside -= 1
+            yield node
+        if above and not inside:
+            above[-1].remove(node)
 
 
 def _first_sheet(book: zipfile.ZipFile) -> tuple[str, bool]:
@@ -61,10 +105,33 @@ def _text(node) -> str:
     return "".join(direct + runs)
 
 
-def _shared_strings(book: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return []
-    return [_text(si) for si in _part(book, "xl/sharedStrings.xml").findall(f"{_MAIN}si")]
+class _Strings:
+    """Texts by number, one after the other in one buffer."""
+
+    def __init__(self):
+        self._bytes, self._ends = bytearray(), array("q", [0])
+
+    def append(self, text: str) -> int:
+        """Adds a text; the bytes kept so far."""
+        self._bytes += text.encode()
+        self._ends.append(len(self._bytes))
+        return len(self._bytes) + 8 * len(self._ends)
+
+    def __getitem__(self, number: int) -> str:
+        if not 0 <= number < len(self._ends) - 1:
+            raise WorkbookError(f"there is no shared string {number}")
+        return self._bytes[self._ends[number]:self._ends[number + 1]].decode()
+
+
+def _shared_strings(book: zipfile.ZipFile, max_strings: int | None) -> _Strings:
+    strings = _Strings()
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as part:
+            for node in _elements(part, f"{_MAIN}si"):
+                kept = strings.append(_text(node))
+                if max_strings is not None and kept > max_strings:
+                    raise WorkbookError("the workbook has more shared strings than allowed")
+    return strings
 
 
 def _date_styles(book: zipfile.ZipFile) -> set[int]:
@@ -100,7 +167,7 @@ def _serial_text(value: float, from_1904: bool) -> str:
     return moment.isoformat(timespec="seconds")
 
 
-def _cell_text(cell, shared: list[str], dated: set[int], from_1904: bool) -> str | None:
+def _cell_text(cell, shared: _Strings, dated: set[int], from_1904: bool) -> str | None:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         inline = cell.find(f"{_MAIN}is")
@@ -120,21 +187,16 @@ def _cell_text(cell, shared: list[str], dated: set[int], from_1904: bool) -> str
     return value
 
 
-def _sheet_rows(content: bytes, max_unpacked: int | None = None) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number, {column: text}) for each row of the first sheet, in order.
-
-    The sheet is parsed as a stream; ``max_unpacked`` guards against hostile archives.
-    """
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def _sheet_rows(stream: BinaryIO, max_unpacked: int | None, max_strings: int | None) -> Iterator[tuple[int, dict[int, str]]]:
+    """(row number, {column: text}) for each row of the first sheet, in order."""
+    with zipfile.ZipFile(stream) as book:
         if max_unpacked is not None and sum(i.file_size for i in book.infolist()) > max_unpacked:
             raise WorkbookError("the workbook unpacks to more than the allowed size")
         name, from_1904 = _first_sheet(book)
-        shared, dated = _shared_strings(book), _date_styles(book)
+        shared, dated = _shared_strings(book, max_strings), _date_styles(book)
         with book.open(name) as sheet:
             last_row = 0
-            for _, node in ET.iterparse(sheet):
-                if node.tag != f"{_MAIN}row":
-                    continue
+            for node in _elements(sheet, f"{_MAIN}row"):
                 last_row = int(node.get("r", last_row + 1))
                 cells, place = {}, -1
                 for cell in node.findall(f"{_MAIN}c"):
@@ -143,7 +205,6 @@ def _sheet_rows(content: bytes, max_unpacked: int | None = None) -> Iterator[tup
                     if text:
                         cells[place] = text
                 yield last_row, cells
-                node.clear()
 
 
 def _header_names(cells: dict[int, str], by_key: bool) -> dict[int, str]:
@@ -170,46 +231,59 @@ def _header_names(cells: dict[int, str], by_key: bool) -> dict[int, str]:
     return out
 
 
-def _file_rows(path: str, content: bytes, by_key: bool, max_unpacked: int | None = None) -> Iterator[tuple]:
+#: What a damaged or foreign file raises.  Errors of the file system are not among them: Spark
+#: repeats the task.
+_DAMAGED = (ValueError, LookupError, AttributeError, EOFError, NotImplementedError, RuntimeError,
+            zipfile.BadZipFile, zlib.error, ET.ParseError)
+
+
+def _file_rows(file: str, stream: BinaryIO, by_key: bool, max_unpacked: int | None = MAX_UNPACKED,
+               max_strings: int | None = MAX_STRINGS) -> Iterator[tuple]:
     """Records of one workbook; a failure becomes its last record."""
     headers, first, last = None, 0, 0
     try:
-        for last, cells in _sheet_rows(content, max_unpacked):
+        for last, cells in _sheet_rows(stream, max_unpacked, max_strings):
             if headers is None:
                 headers, first = _header_names(cells, by_key), last
-                yield path, 1, {h: h for h in headers.values()}, None
+                yield file, 1, {h: h for h in headers.values()}, None
             else:
-                yield path, last - first + 1, {headers[p]: t for p, t in cells.items() if p in headers}, None
+                yield file, last - first + 1, {headers[p]: t for p, t in cells.items() if p in headers}, None
         if last == first:
-            yield path, 0, {}, "the workbook has no rows"
-    except (ValueError, LookupError, AttributeError, zipfile.BadZipFile, ET.ParseError) as error:
-        yield path, 0, {}, f"unreadable workbook: {error}"
+            yield file, 0, {}, "the workbook has no rows"
+    except _DAMAGED as error:
+        yield file, 0, {}, f"unreadable workbook: {error}"
 
 
-def _reader(by_key: bool, max_unpacked: int | None):
+def _reader(opened: Callable[[object], BinaryIO], by_key: bool, max_unpacked: int | None, max_strings: int | None):
+    """Rows of the workbooks of (file, source), each opened from its source."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                records = _file_rows(path, bytes(content), by_key, max_unpacked)
-                while chunk := list(itertools.islice(records, ROWS_PER_BATCH)):
-                    yield pd.DataFrame(chunk, columns=[FILE, ROW_NUMBER, "cells", "problem"])
+            for file, source in zip(batch[FILE], batch["source"]):
+                with opened(source) as stream:
+                    records = _file_rows(file, stream, by_key, max_unpacked, max_strings)
+                    while chunk := list(itertools.islice(records, ROWS_PER_BATCH)):
+                        yield pd.DataFrame(chunk, columns=[FILE, ROW_NUMBER, "cells", "problem"])
     return read
 
 
 def scan_workbooks(landing: Landing, by_key: bool = False, without: DataFrame | None = None,
-                   max_bytes: int | None = None, max_unpacked: int | None = None) -> DataFrame:
+                   max_bytes: int | None = None, max_unpacked: int | None = MAX_UNPACKED,
+                   max_strings: int | None = MAX_STRINGS,
+                   opened: Callable[[str], BinaryIO] = open_by_range) -> DataFrame:
     """One record per sheet row: file, row number, ``cells`` (header -> text), ``problem``.
 
     Row 1 carries the headers themselves.  A file that cannot be read ends with a record of
     row number 0 that gives the reason; leave out such files with ``readable``.  No shuffle of
-    rows: a sheet is parsed where it lies.  Files of ``without`` are left out unread.
-    ``max_bytes`` and ``max_unpacked`` refuse larger files, if given.
+    rows: a sheet is parsed where it is opened, and no content passes Spark.  Files of
+    ``without`` are left out unread.  The limits refuse larger files; None is no limit.
+    ``opened`` gives a seekable stream for a path, on the worker.
     """
     files = landing.files()
     if without is not None:
         files = files.join(without.select(FILE), FILE, "left_anti")
     admitted = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
-    rows = scan_contents(admitted, by_key, max_unpacked)
+    rows = admitted.select(FILE, F.col("path").alias("source")).mapInPandas(
+        _reader(opened, by_key, max_unpacked, max_strings), ROW_SCHEMA)
     if max_bytes is None:
         return rows
     return rows.unionByName(files.filter(F.col("length") > max_bytes).select(
@@ -218,9 +292,11 @@ def scan_workbooks(landing: Landing, by_key: bool = False, without: DataFrame |
         F.lit("the file is over the size limit").alias("problem")))
 
 
-def scan_contents(files: DataFrame, by_key: bool = False, max_unpacked: int | None = None) -> DataFrame:
+def scan_contents(files: DataFrame, by_key: bool = False, max_unpacked: int | None = MAX_UNPACKED,
+                  max_strings: int | None = MAX_STRINGS) -> DataFrame:
     """As ``scan_workbooks``, of workbooks that are cells of a table (``_file``, ``content``)."""
-    return files.select(F.col(FILE).alias("path"), "content").mapInPandas(_reader(by_key, max_unpacked), ROW_SCHEMA)
+    return files.select(FILE, F.col("content").alias("source")).mapInPandas(
+        _reader(io.BytesIO, by_key, max_unpacked, max_strings), ROW_SCHEMA)
 
 
 def sheet_problems(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Whole loads: folders of files into committed tables."""
 
 import os
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -377,6 +378,49 @@ def test_workbook_repeated_headers(spark, inbox):
     assert got == {"row_number": 2, "x": "1", "x_1": "2", "y": "4"}
 
 
+def test_a_workbook_over_two_gigabytes_is_read(spark, tmp_path):
+    """An archive may follow other bytes; here a hole, which takes no disk."""
+    write_workbook(tmp_path / "small.xlsx", [["x", "y"], ["1", "2"], [None, "3"]])
+    os.makedirs(tmp_path / "big")
+    with open(tmp_path / "big" / "a b%20c.xlsx", "wb") as out:
+        out.truncate(2200 << 20)
+        out.seek(0, os.SEEK_END)
+        out.write((tmp_path / "small.xlsx").read_bytes())
+    rows = workbooks.scan_workbooks(landing.list_files(spark, str(tmp_path / "big")))
+    got = workbooks.sheet_table(rows).drop(landing.FILE).collect()
+    assert sorted(map(tuple, got)) == [(2, "1", "2"), (3, None, "3")]
+
+
+def test_memory_does_not_follow_the_rows(tmp_path):
+    def peak(rows):
+        write_workbook(tmp_path / "w.xlsx", [["x", "y"], *[[f"inline:{i}", i] for i in range(rows)]])
+        tracemalloc.start()
+        with workbooks.open_by_range(str(tmp_path / "w.xlsx")) as stream:
+            assert sum(1 for _ in workbooks._file_rows("w", stream, False)) == rows + 1
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(20000) < 1.2 * peak(2000)
+
+
+def test_limits_and_damage_reject_a_file(spark, inbox):
+    write_workbook(inbox / "a.xlsx", [["x"], *[[f"text {i}"] for i in range(3000)]])
+    whole = (inbox / "a.xlsx").read_bytes()
+    middle = whole.index(b"first.xml") + 200
+    (inbox / "b.xlsx").write_bytes(whole[:middle] + bytes(300) + whole[middle + 300:])
+    files = landing.list_files(spark, str(inbox))
+
+    def problems(**limits):
+        found = workbooks.sheet_problems(workbooks.scan_workbooks(files, **limits)).collect()
+        return {r[landing.FILE].rsplit("/", 1)[1]: r["problem"] for r in found}
+
+    assert set(problems()) == {"b.xlsx"}
+    assert "shared strings" in problems(max_strings=1000)["a.xlsx"]
+    assert "allowed size" in problems(max_unpacked=1000)["a.xlsx"]
+    assert problems(max_bytes=100) == dict.fromkeys(["a.xlsx", "b.xlsx"], "the file is over the size limit")
+
+
 def test_landing_stream_takes_each_file_once(spark, store, inbox, tmp_path):
     put(inbox, "a.csv", "1.4.2026,1,А,1,да")
     put(inbox, "b.csv", "2.4.2026,2,Б,1,да")
