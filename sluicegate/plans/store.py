@@ -3,8 +3,9 @@
 Layout below the root::
 
     tables/<name>/load_id=<load>/          rows of one load, written by one job
-    commits/<name>/<version>               the load that took this version of the table
-    ledger/batches/load_id=<load>/step=<n> one row per file: status after step n
+    commits/<name>/                        log of versions: the load that took each
+    ledger/batches/<write>/                one row per file of a load: status after a step
+    ledger/steps/                          log of these writes, in order
     ledger/errors/load_id=<load>/          row errors
     ledger/skipped/load_id=<load>/         skipped rows with reason
     log/write_id=<write>/                  event log
@@ -13,24 +14,28 @@ A load becomes visible when it has taken a version of its table, or its last led
 IMPORTED.  Until then its rows lie in a folder that no reader joins to, so a failed or repeated
 job leaves nothing half done.  A version is a file that is created only if absent: of several
 writers one gets it, and the others compare their rows with that load before they try the next.
+
+Both logs are folded after every ``fold_every`` entries (``numbered_log``): the ledger into all its
+rows, a log of versions into its list.  A reader opens the last fold and what came after it.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluicegate import messages
 from sluicegate.operators.changes import current_status
+from sluicegate.plans.numbered_log import NumberedLog
 
 LOAD = "load_id"
 NEVER = "l-created"  # carries the schema of a table that has no rows yet
 
-_TYPES = {"string": T.StringType(), "long": T.LongType(), "timestamp": T.TimestampType()}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType()}
 
 
 def _schema_of(text: str) -> T.StructType:
@@ -43,6 +48,7 @@ BATCHES = _schema_of(
     "uploaded_by string, uploaded_by_name string, total_rows long, valid_rows long, "
     "error_rows long, inserted_rows long, skipped_rows long, status string, notes string, "
     "event_time timestamp")
+STEPS = T.StructType([*BATCHES.fields, *_schema_of(f"{LOAD} string, step int").fields])
 ERRORS = _schema_of("batch_id string, row_number long, field_name string, error_message string")
 SKIPPED = _schema_of("batch_id string, row_number long, reason string, preview string")
 LOG = _schema_of("username string, display_name string, logged_at timestamp")
@@ -50,9 +56,17 @@ LOG = _schema_of("username string, display_name string, logged_at timestamp")
 AUDIT = _schema_of("_batch_id string, _row_number long, _imported_at timestamp, _imported_by string, _row_hash long")
 
 
+def _unbroken(start: int, numbers: list[int]) -> int:
+    """The last number before the first gap after ``start``."""
+    present = set(numbers)
+    while start + 1 in present:
+        start += 1
+    return start
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str, fold_every: int = 200):
+        self.spark, self.fold_every = spark, fold_every
         self.root = root.rstrip("/")
 
     def path(self, *parts: str) -> str:
@@ -94,32 +108,32 @@ class Store:
 
     # -- versions -------------------------------------------------------------------
 
+    def _commits(self, name: str) -> NumberedLog:
+        return NumberedLog(self.spark, self.path("commits", name))
+
     def versions(self, name: str) -> DataFrame:
         """version, load_id of each commit of the table."""
-        try:
-            taken = self.spark.read.text(self.path("commits", name), wholetext=True)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], f"version long, {LOAD} string")
-        return taken.select(F.col("_metadata.file_name").cast("long").alias("version"), F.trim("value").alias(LOAD))
+        log = self._commits(name)
+        upto, base = log.base()
+        taken = log.after(upto).select(F.col("number").alias("version"), F.col("text").alias(LOAD))
+        if base is None:
+            return taken
+        return self.spark.read.schema(taken.schema).parquet(base).unionByName(taken)
 
     def version(self, name: str) -> int:
         return self.versions(name).agg(F.max("version")).first()[0] or 0
 
     def commit(self, name: str, version: int, load_id: str) -> bool:
         """Take a version of the table for a load; False when another load has it."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path("commits", name, f"{version:012d}"))
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            out = files.create(path, False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        out.write(bytearray(load_id.encode()))
-        out.close()
+        log = self._commits(name)
+        if not log.take(version, load_id):
+            return False
+        upto = log.base()[0]
+        if version - upto >= self.fold_every:
+            taken = self.versions(name)
+            whole = _unbroken(upto, [r["version"] for r in taken.filter(F.col("version") > upto).collect()])
+            if whole > upto:
+                log.fold(taken.filter(F.col("version") <= whole).coalesce(1), whole)
         return True
 
     def rows_since(self, name: str, version: int, patience: float = 60.0) -> tuple[DataFrame, int]:
@@ -141,16 +155,47 @@ class Store:
 
     # -- ledgers --------------------------------------------------------------------
 
+    @property
+    def _steps(self) -> NumberedLog:
+        return NumberedLog(self.spark, self.path("ledger", "steps"))
+
     def ledger(self) -> DataFrame:
         """All status events; step order is event order."""
-        self._create(BATCHES, "ledger", "batches", f"{LOAD}={NEVER}", "step=0")
-        return self.spark.read.parquet(self.path("ledger", "batches"))
+        log = self._steps
+        upto, base = log.base()
+        return self._events(base, log.after(upto).collect())
+
+    def _events(self, base: str | None, tail: list) -> DataFrame:
+        """The rows of a fold and of the writes after it.  A step that was written again counts as
+        it was written last.  The tail has about ``fold_every`` entries."""
+        folders = {(load_id, step): folder for _, folder, load_id, step in sorted(
+            (r["number"], *json.loads(r["text"])) for r in tail)}
+        later = self._read_steps([self.path("ledger", "batches", f) for f in folders.values()])
+        if base is None:
+            return later
+        earlier = self._read_steps([base])
+        if folders:
+            again = self.spark.createDataFrame(list(folders), f"{LOAD} string, step int")
+            earlier = earlier.join(again, [LOAD, "step"], "left_anti").select(*STEPS.fieldNames())
+        return earlier.unionByName(later)
+
+    def _read_steps(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(STEPS).parquet(*paths) if paths else self.spark.createDataFrame([], STEPS)
 
     def record(self, batches: DataFrame, load_id: str, step: int) -> None:
-        """Write one ledger step: one row per file of the load."""
-        stamped = batches.withColumn("event_time", F.current_timestamp())
-        stamped.select(*BATCHES.fieldNames()).write.mode("overwrite").parquet(
-            self.path("ledger", "batches", f"{LOAD}={load_id}", f"step={step}"))
+        """Write one ledger step: one row per file of the load.  It counts once it is in the log."""
+        stamped = batches.withColumns({
+            "event_time": F.current_timestamp(), LOAD: F.lit(load_id), "step": F.lit(step)})
+        folder = f"s-{uuid.uuid4().hex}"
+        stamped.select(*STEPS.fieldNames()).write.parquet(self.path("ledger", "batches", folder))
+        log = self._steps
+        number = log.append(json.dumps([folder, load_id, step]))
+        upto, base = log.base()
+        if number - upto >= self.fold_every:
+            tail = log.after(upto).collect()
+            whole = _unbroken(upto, [r["number"] for r in tail])
+            if whole > upto:
+                log.fold(self._events(base, [r for r in tail if r["number"] <= whole]), whole)
 
     def batches(self) -> DataFrame:
         """Every batch in its current state."""

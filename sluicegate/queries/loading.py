@@ -144,6 +144,43 @@ def ledger_landing(spark, folder):
     return store.table(ORDER_LINES.table).select("order_key", "line_number", "flag")
 
 
+@query(f"""
+    WITH loads AS (
+        SELECT concat('o-', o_orderkey) AS batch_id, o_orderkey % 5 AS part, o_orderstatus AS s FROM orders)
+    SELECT batch_id, concat('l-', part) AS load_id,
+           CASE WHEN part = 0 THEN '{messages.FAILED}' WHEN part = 4 THEN '{messages.VALIDATED}'
+                WHEN s = 'F' THEN '{messages.REJECTED}' ELSE '{messages.IMPORTED}' END AS status,
+           part IN (1, 2, 3) AS committed
+    FROM loads""")
+def folded_ledger(spark, folder):
+    """Orders as batches of five loads: state of each, read from a ledger that was folded twice.
+
+    Each load but one has two steps; the second step of the first load is written again after the
+    fold that holds it.
+    """
+    store = Store(spark, work_folder(spark, "folded-ledger"), fold_every=4)
+    orders = table(spark, folder, "orders").select(
+        F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("batch_id"),
+        F.pmod(F.col("o_orderkey").cast("long"), F.lit(5)).alias("part"), F.col("o_orderstatus").alias("s"))
+    fixed = {"flow": "contract", "file_hash": "none", "file_name": "orders", "table_name": "orders",
+             "uploaded_by": "importer", "uploaded_by_name": None, "notes": None}
+    filled = orders.withColumns({c: F.lit(v).cast("string") for c, v in fixed.items()}).withColumns(
+        {c: F.lit(0).cast("long") for c in ("total_rows", "valid_rows", "error_rows", "inserted_rows", "skipped_rows")})
+
+    def record(part: int, step: int, status) -> None:
+        store.record(filled.filter(F.col("part") == part).withColumn("status", status), f"l-{part}", step)
+
+    judged = F.when(F.col("s") == "F", F.lit(messages.REJECTED)).otherwise(F.lit(messages.IMPORTED))
+    for part in range(5):
+        record(part, 1, F.lit(messages.VALIDATED))
+        if part < 4:
+            record(part, 2, judged)
+    record(0, 2, F.lit(messages.FAILED))
+    committed = store.committed_loads().withColumn("committed", F.lit(True))
+    return store.batches().select("batch_id", LOAD, "status").join(committed, LOAD, "left").withColumn(
+        "committed", F.coalesce("committed", F.lit(False)))
+
+
 CUSTOMERS = Contract("customers", "Customers", "customers", (
     Field("Customer", "customer", "INT", required=True),
     Field("Name", "name", "NVARCHAR(255)", required=True),

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicegate.operators import dedup, profile, reports
-from sluicegate.plans import hash_index
+from sluicegate.plans import hash_index, numbered_log
 from sluicegate.plans.hash_index import HashIndex
 from sluicegate.plans.keyed import KeyedTable
+from sluicegate.plans.numbered_log import NumberedLog
 from sluicegate.plans.pages import build_page_index
-from sluicegate.plans.store import Store
+from sluicegate.plans.store import BATCHES, Store
 from sluicegate.sources import landing
 
 
@@ -199,3 +200,51 @@ def test_ranges_at_the_ends_of_the_numbers(spark, tmp_path):
         store.commit("people", version, f"l-{version}")
     for i, h in enumerate(ends):
         assert i in _found(index, rows.filter(F.col("id") == i)), h
+
+
+def ledger_rows(spark, load, statuses):
+    rows = [(f"{load}-{i}", "contract", "h", "f", "t", "ann", None, 1, 1, 0, 0, 0, status, None) for i, status in enumerate(statuses)]
+    return spark.createDataFrame(rows, BATCHES[:-1])
+
+
+def test_folded_ledger_equals_the_whole_one(spark, tmp_path):
+    """Steps read from folds and their tail, beside the same steps read one by one; steps written
+    again, before and after they were folded, count as they were written last."""
+    stores = [Store(spark, f"file://{tmp_path}/{every}", fold_every=every) for every in (3, 1000)]
+    for store in stores:
+        for load in ("1", "b", "c"):
+            store.record(ledger_rows(spark, load, ["VALIDATED", "REJECTED"]), load, 1)
+            store.record(ledger_rows(spark, load, ["IMPORTED"]), load, 2)
+        store.record(ledger_rows(spark, "1", ["FAILED", "FAILED"]), "1", 2)
+        store.record(ledger_rows(spark, "d", ["VALIDATED"]), "d", 1)
+        store.record(ledger_rows(spark, "d", ["REJECTED"]), "d", 1)
+    folded, whole = [sorted(map(tuple, s.ledger().drop("event_time").collect()), key=str) for s in stores]
+    assert folded == whole and len(folded) == 3 * 3 + 1 + 1
+    assert [s._steps.base()[0] for s in stores] == [9, 0]
+    assert len(stores[0].ledger().inputFiles()) < len(stores[1].ledger().inputFiles())
+    for store in stores:
+        assert {r["batch_id"]: r["status"] for r in store.statuses().collect()} == {
+            "1-0": "FAILED", "1-1": "FAILED", "b-0": "IMPORTED", "b-1": "REJECTED", "c-0": "IMPORTED",
+            "c-1": "REJECTED", "d-0": "REJECTED"}
+        assert {r["load_id"] for r in store.committed_loads().collect()} == {"b", "c"}
+
+
+def test_folded_versions_and_entries_without_a_text(spark, tmp_path):
+    """A number that was taken and not named yet is neither read nor folded over."""
+    store = Store(spark, f"file://{tmp_path}/s", fold_every=2)
+    assert all(store.commit("t", n, f"l-{n}") for n in range(1, 4))
+    assert store._commits("t").base()[0] == 2
+    store._commits("t").take(4, "")
+    assert store.commit("t", 5, "l-5") and not store.commit("t", 2, "other")
+    assert store._commits("t").base()[0] == 3
+    assert sorted(map(tuple, store.versions("t").collect())) == [(1, "l-1"), (2, "l-2"), (3, "l-3"), (5, "l-5")]
+
+
+def test_log_finds_its_end_over_many_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(numbered_log, "GROUP", 3)
+    log = NumberedLog(spark, f"file://{tmp_path}/log")
+    assert [log.append(f"x{i}") for i in range(1, 12)] == list(range(1, 12))
+    assert sorted(r["number"] for r in log.after(4).collect()) == list(range(5, 12))
+    log.fold(log.after(0), 11)
+    assert log.append("y") == 12 and [tuple(r) for r in log.after(11).collect()] == [(12, "y")]
+    assert spark.read.parquet(log.base()[1]).count() == 11
