@@ -103,8 +103,11 @@ class Store:
         return self.spark.read.schema(schema).parquet(self.path("tables", name))
 
     def table(self, name: str) -> DataFrame:
-        """Rows of committed loads only.  The ledger side prunes the load folders."""
-        return self._stored(name).join(self.committed_loads(name), LOAD, "left_semi")
+        """Rows of committed loads only.  The ledger side prunes the load folders.
+
+        The names of loads are sent to the rows: a shuffle would bring the rows of a load to one task.
+        """
+        return self._stored(name).join(F.broadcast(self.committed_loads(name)), LOAD, "left_semi")
 
     # -- versions -------------------------------------------------------------------
 
@@ -148,7 +151,7 @@ class Store:
             n, last = later.agg(F.count(F.lit(1)), F.max("version")).first()
             if n and n == last - version:
                 loads = later.filter(F.col("version") <= last).select(LOAD)
-                return self._stored(name).join(loads, LOAD, "left_semi"), last
+                return self._stored(name).join(F.broadcast(loads), LOAD, "left_semi"), last
             if time.monotonic() > until:
                 raise TimeoutError(f"a version of {name} was taken but does not name its load")
             time.sleep(0.2)

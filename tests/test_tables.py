@@ -248,3 +248,13 @@ def test_log_finds_its_end_over_many_groups(spark, tmp_path, monkeypatch):
     log.fold(log.after(0), 11)
     assert log.append("y") == 12 and [tuple(r) for r in log.after(11).collect()] == [(12, "y")]
     assert spark.read.parquet(log.base()[1]).count() == 11
+
+
+def test_rows_of_a_load_are_not_shuffled_to_be_read(spark, store):
+    store.ensure("t", spark.range(1).schema)
+    store.write_rows(spark.range(1000, numPartitions=4).withColumn("_batch_id", F.lit("b")), "t", "l-1")
+    assert store.commit("t", 1, "l-1")
+    rows = store.table("t")
+    assert rows.count() == 1000
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
