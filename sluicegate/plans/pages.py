@@ -1,8 +1,10 @@
 """Pages by number of a sorted table, without sorting the table for each page.
 
-The table is written once in ranges of its sort key, each sorted, with boundaries that Spark samples,
-and the rows of each range are counted exactly.  The running sums of these counts say which
-range holds the first row of a page, so a page reads one range, or two where it ends in the next.
+The table is written once in ranges of its sort key.  Tasks get wide ranges, with boundaries that
+Spark samples; a task sorts its rows and cuts them into the ranges of the index, so the number of
+tasks, and what they report to the driver, does not depend on how narrow these are.  The rows of
+each range are counted exactly.  The running sums of these counts say which range holds the first
+row of a page, so a page reads one range, or two where it ends in the next.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from sluicegate.functions.names import quoted
 
 RANGE = "_range"
+#: Rows that a task sorts at least, before it cuts them into ranges.
+TASK_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,9 @@ class PageIndex:
         high = low
         while high + 1 < len(self.ranges) and self.starts[high + 1] < first + size:
             high += 1
-        rows = self.spark.read.schema(self.schema).parquet(self.path).filter(F.col(RANGE).isin(list(self.ranges[low:high + 1])))
+        near = list(self.ranges[low:high + 1])
+        folders = [f"{self.path}/{RANGE}={r}" for r in near] or [self.path]
+        rows = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*folders).filter(F.col(RANGE).isin(near))
         skip = max(0, first - self.starts[low]) if self.ranges else 0
         return rows.orderBy(*self.order).offset(skip).limit(size).select(*[F.col(quoted(c)) for c in self.columns])
 
@@ -53,8 +59,11 @@ def build_page_index(df: DataFrame, order: Sequence[str | Column], path: str, ro
     ``rows`` saves a count where the size is known.  One number per range reaches the driver.
     """
     order = tuple(F.col(quoted(c)) if isinstance(c, str) else c for c in order)
-    ranges = max(1, -(-(df.count() if rows is None else rows) // rows_per_range))
-    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(RANGE, F.spark_partition_id())
+    rows = df.count() if rows is None else rows
+    ranges = max(1, -(-rows // rows_per_range))
+    tasks = min(ranges, max(1, -(-rows // TASK_ROWS)))
+    place = F.spark_partition_id() if tasks == ranges else F.floor(F.monotonically_increasing_id() / F.lit(rows_per_range))
+    dealt = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(RANGE, place)
     dealt.write.mode("overwrite").partitionBy(RANGE).parquet(path)
     spark = df.sparkSession
     written = spark.read.schema(dealt.schema).parquet(path)

@@ -258,3 +258,14 @@ def test_rows_of_a_load_are_not_shuffled_to_be_read(spark, store):
     assert rows.count() == 1000
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_narrow_ranges_of_an_index_need_few_tasks(spark, tmp_path):
+    df = spark.range(3000, numPartitions=3).select("id", (F.col("id") * 7919 % 1000).alias("score"))
+    index = build_page_index(df, [F.col("score").desc(), "id"], str(tmp_path / "i"), rows_per_range=20)
+    assert index.total == 3000 and len(index.ranges) == 150
+    writers = {os.path.basename(f).split("-")[1] for f in glob.glob(f"{tmp_path}/i/*/*.parquet")}
+    assert len(writers) == 1
+    for number in (1, 30, 60):
+        want = reports.page_rows(df, [F.col("score").desc(), "id"], page=number, page_size=50).collect()
+        assert [tuple(r) for r in index.page(number, 50).collect()] == [tuple(r) for r in want]
