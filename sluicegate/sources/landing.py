@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 
 from sluicegate.functions.casts import null_if_empty
 from sluicegate.functions.names import is_named, quoted, unique_names
+from sluicegate.session import written
 
 FILE, BLOCK, POSITION, ROW_NUMBER = "_file", "_block", "_position", "row_number"
 BOOKKEEPING = (FILE, ROW_NUMBER)
@@ -115,13 +116,14 @@ def number_rows(staged: DataFrame, first: int = FIRST_DATA_ROW) -> DataFrame:
     """Row numbers as in the source file; ``first`` is that of the first staged row.
 
     One count per input block, prefix sums over the blocks of a file, then block offset
-    plus place in the block: no window ever sees more than one row per block.
+    plus place in the block: no window ever sees more than one row per block.  The offsets are
+    written, so that their size is known: they are sent to the rows, which are not shuffled.
     """
     blocks = staged.groupBy(FILE, BLOCK).agg(
         F.min(POSITION).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        FILE, BLOCK, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    offsets = written(blocks.select(
+        FILE, BLOCK, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")), "offsets")
     number = (F.col("_offset") + F.col(POSITION) - F.col("_first") + first).alias(ROW_NUMBER)
     data = [F.col(quoted(c)) for c in staged.columns if c not in (BLOCK, POSITION)]
     return staged.join(offsets, [FILE, BLOCK]).select(*data, number)

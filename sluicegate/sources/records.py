@@ -3,7 +3,8 @@
 All files of a load are parsed once, by position, and staged with their cells as an array.  The
 first record of each file is its header; from it a row per file says where the file has the columns
 that are asked for.  Data rows meet that row by a join on the file, so any number of column orders
-is one plan, and a file that lacks a required column is a problem of that file alone.
+is one plan, and a file that lacks a required column is a problem of that file alone.  The header
+records are written, so that their size is known: rows of a file would meet in one task otherwise.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 from sluicegate.contracts import Contract
 from sluicegate.functions.casts import null_if_empty, trimmed
 from sluicegate.functions.names import header_key, is_named
+from sluicegate.session import written
 from sluicegate.sources import landing
 from sluicegate.sources.landing import BLOCK, FILE, POSITION, ROW_NUMBER, Landing
 
@@ -92,7 +94,7 @@ def records_table(records: DataFrame, places: DataFrame, columns: Sequence[str])
 
 def read_records(records: DataFrame, files: DataFrame, contract: Contract | None) -> tuple[DataFrame, DataFrame]:
     """The table of a load and the problems of its files (``files``: _file of all that were read)."""
-    heads = headers(records)
+    heads = written(headers(records), "heads")
     empty = files.join(heads, FILE, "left_anti").select(FILE, F.lit(NO_ROWS).alias("problem"))
     if contract is None:
         columns, places = free_positions(heads)

@@ -468,3 +468,21 @@ def test_empty_input_raises(spark, tmp_path):
     (tmp_path / "e" / "a.csv").write_text("x,y\n")
     with pytest.raises(landing.EmptyInput):
         landing.require_rows(landing.scan(landing.list_files(spark, str(tmp_path / "e"))), "no rows")
+
+
+def test_rows_of_a_large_file_stay_where_they_are_read(spark, store, inbox):
+    for name in ("a.csv", "b.csv"):
+        put(inbox, name, *[f"{name}{i},{i * 7919 % 100_003},x{i * 104_729 % 1_000_003}" for i in range(30_000)], head="k,n,t")
+    files = listing(spark, inbox)
+    plan = imports.plan_files(store, files, "free", ",")
+    # Parsed rows are larger than this, header records and offsets are smaller.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        rows, _ = imports.read_landing(store, files, plan, "csv", None)
+        assert rows.count() == 60_000
+        joins = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins and "ShuffledHashJoin" not in joins
+    assert rows.agg(F.min("row_number"), F.max("row_number")).first()[:] == (2, 30_001)
