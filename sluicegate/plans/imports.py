@@ -27,6 +27,10 @@ from sluicegate.session import work_folder, written
 ALREADY_LOADED = "this file was loaded before"
 NO_VALID_ROWS = "Импорт не выполнен: нет валидных строк"
 IMPORT_KIND = "Тип импорта: {title}"
+#: Copies of a row that may meet in one task, and how many times the rows of a load a target may have
+#: to be compared with it as a whole.
+HOT_COPIES, MUCH_LARGER = 10_000, 4
+HASH_BINS = 1 << 16
 
 
 def new_load_id() -> str:
@@ -84,9 +88,9 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
     """Typed rows with ``errors`` and ``outcome``, as if files were loaded one by one.
 
     A copy of a row of the same file is dup_in_batch.  A copy of a row of an earlier file
-    or of the target is dup_in_target.  Keys are all data and constant columns.  The checked
-    rows are written with their hash: they are read for the duplicates and for the look-up.  With an
-    ``index`` of the target only files that hold one of these hashes are read.
+    or of the target is dup_in_target.  Keys are all data and constant columns.  A target that is much
+    larger than the load is cut to the rows whose hash the load has, through the ``index`` if there
+    is one: only files that hold one of these hashes are read.
     """
     keys = contract.column_names
     whole = {*keys} == {*target.columns} - {LOAD, *AUDIT.fieldNames()}
@@ -94,9 +98,70 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
         target = target.drop(dedup.ROW_HASH)  # stored hashes are of all columns, these are some of them
     validated = validate.validate(project(rows, contract, keep=[FILE, ROW_NUMBER]), rules)
     checked = validated.withColumn("_valid", validate.is_valid())
-    checked = written(checked.withColumn(dedup.ROW_HASH, dedup.row_hash(checked, keys)), "checked")
-    if whole and index is not None:
-        target = index.rows(checked.filter("_valid"))
+    size = target.count()
+    if size and size > MUCH_LARGER * checked.count():
+        checked = written(checked, "checked")
+        probes = checked.filter("_valid").select(dedup.row_hash(checked, keys).alias(dedup.ROW_HASH))
+        stored = dedup.matching_keys(index.rows(probes) if whole and index is not None else target, keys, probes)
+    else:
+        stored = target.select(*[F.col(quoted(k)) for k in keys])
+    hot = _hot_hashes(checked.filter("_valid").select(dedup.row_hash(checked, keys).alias(dedup.ROW_HASH)))
+    if hot is None:
+        return _judge(checked, stored, keys).drop("_valid")
+
+    def parted(df: DataFrame, how: str) -> DataFrame:
+        hashed = df.withColumn(dedup.ROW_HASH, dedup.row_hash(df, keys))
+        return hashed.join(F.broadcast(hot), dedup.ROW_HASH, how).select(*[F.col(quoted(c)) for c in df.columns])
+
+    seldom = _judge(parted(checked, "left_anti"), stored, keys)
+    return seldom.unionByName(_judge_hot(parted(checked, "left_semi"), parted(stored, "left_semi"), keys)).drop("_valid")
+
+
+def _hot_hashes(hashes: DataFrame) -> DataFrame | None:
+    """Hashes that occur more than ``HOT_COPIES`` times, one in so many rows at most; None if there are none.
+
+    Tasks count a few bins of hashes first; the hashes themselves are counted in full bins only.
+    """
+    binned = hashes.withColumn("_bin", F.pmod(F.col(dedup.ROW_HASH), F.lit(HASH_BINS)))
+
+    def frequent(df: DataFrame, key: str) -> DataFrame | None:
+        found = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_COPIES).select(key), "hot")
+        return None if found.isEmpty() else found
+
+    full = frequent(binned, "_bin")
+    return None if full is None else frequent(binned.join(F.broadcast(full), "_bin", "left_semi"), dedup.ROW_HASH)
+
+
+def _outcome(head: Column, leader: Column, known: Column) -> Column:
+    return (
+        F.when(~F.col("_valid"), F.lit(INVALID))
+        .when(~head, F.lit(DUP_IN_BATCH))
+        .when(~leader | known, F.lit(DUP_IN_TARGET))
+        .otherwise(F.lit(ACCEPTED))
+    )
+
+
+def _judge(checked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outcomes by one shuffle and one sort: equal rows meet, those of the target first.
+
+    A row is the first of its file if the row before it is of another file, and the first of all if
+    no row is before it.  Invalid rows need no answer and are spread by their partition.
+    """
+    here, place = checked.withColumn("_stored", F.lit(False)), F.lit(-1)
+    here = here.withColumn("_place", F.when(F.col("_valid"), place).otherwise(F.spark_partition_id()))
+    there = stored.withColumns({"_stored": F.lit(True), "_valid": F.lit(True), "_place": place})
+    met = here.unionByName(there, allowMissingColumns=True)
+    equal = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(F.col("_stored").desc(), FILE, ROW_NUMBER)
+    ranked = met.withColumns({
+        "_rank": F.row_number().over(equal), "_known": F.first("_stored").over(equal), "_before": F.lag(FILE).over(equal)})
+    first = F.col("_rank") == 1
+    head = first | ~F.col("_before").eqNullSafe(F.col(FILE))
+    return ranked.filter(~F.col("_stored")).withColumn(OUTCOME, _outcome(head, first, F.col("_known"))).select(
+        *[F.col(quoted(c)) for c in checked.columns], OUTCOME)
+
+
+def _judge_hot(checked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for keys with many copies, which must not meet in one task."""
     in_file = dedup.flag_copies(checked, [FILE, "_valid", *keys], [ROW_NUMBER])
     head = F.col("_valid") & F.col(dedup.IS_FIRST)
     # A key has one head per file at most, so heads may meet; the other rows are spread.
@@ -104,15 +169,9 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
         "_place", F.when(F.col("_head"), F.lit(-1)).otherwise(F.spark_partition_id()))
     across = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(FILE, ROW_NUMBER)
     led = meeting.withColumn("_leader", F.col("_head") & (F.row_number().over(across) == 1))
-    probed = dedup.mark_in_target(led, target, keys, "_known", when=F.col("_leader"), probes=checked)
-    outcome = (
-        F.when(~F.col("_valid"), F.lit(INVALID))
-        .when(~F.col("_head"), F.lit(DUP_IN_BATCH))
-        .when(~F.col("_leader") | F.col("_known"), F.lit(DUP_IN_TARGET))
-        .otherwise(F.lit(ACCEPTED))
-    )
-    return probed.withColumn(OUTCOME, outcome).drop(
-        "_valid", "_head", "_place", "_leader", "_known", dedup.IS_FIRST, dedup.LATER_COPIES)
+    probed = dedup.mark_in_target(led, stored, keys, "_known", when=F.col("_leader"))
+    return probed.withColumn(OUTCOME, _outcome(F.col("_head"), F.col("_leader"), F.col("_known"))).select(
+        *[F.col(quoted(c)) for c in checked.columns], OUTCOME)
 
 
 def summarize(classified: DataFrame, contract: Contract) -> DataFrame:
@@ -205,7 +264,8 @@ def _write_load(store: Store, rows: DataFrame, contract: Contract, plan: DataFra
     accepted = rows.filter(F.col(OUTCOME) == ACCEPTED).select(
         *[F.col(quoted(c)) for c in contract.column_names],
         F.col("batch_id").alias("_batch_id"), F.col(ROW_NUMBER).alias("_row_number"),
-        F.current_timestamp().alias("_imported_at"), F.lit(by).alias("_imported_by"), dedup.ROW_HASH)
+        F.current_timestamp().alias("_imported_at"), F.lit(by).alias("_imported_by"),
+        dedup.row_hash(rows, contract.column_names).alias(dedup.ROW_HASH))
     try:
         store.write_rows(accepted, contract.table, load_id)
         HashIndex(store, contract.table).add(load_id)

@@ -158,6 +158,45 @@ def test_classify_follows_file_order(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("hot, bins, larger", [(10_000, 1 << 16, 4), (3, 2, 4), (25, 4, 0), (0, 2, 0)])
+def test_classify_of_frequent_rows_and_large_targets(spark, monkeypatch, hot, bins, larger):
+    """Outcomes are the same however many copies may meet, and however the target is looked up."""
+    monkeypatch.setattr(imports, "HOT_COPIES", hot)
+    monkeypatch.setattr(imports, "HASH_BINS", bins)
+    monkeypatch.setattr(imports, "MUCH_LARGER", larger)
+    rnd = random.Random(4)
+    keys = [("a", 1.0)] * 20 + [("b", 0.0), ("b", -0.0), (None, None), (None, 2.0), ("c", None), ("d", 7.0), ("e", 9.0)]
+    rows = [(f"f{rnd.randrange(3)}", i, *rnd.choice(keys)) for i in range(300)]
+    stored = [("b", 0.0), (None, 2.0), ("z", 1.0), (None, 2.0)]
+    seen, expected = set(stored), {}
+    for name in sorted({r[0] for r in rows}):
+        own = set()
+        for _, i, a, b in [r for r in rows if r[0] == name]:
+            if a == "e":
+                expected[i] = "invalid"
+                continue
+            expected[i] = "dup_in_batch" if (a, b) in own else "dup_in_target" if (a, b) in seen else "accepted"
+            own.add((a, b))
+        seen |= own
+    contract = Contract("t", "t", "t", (Field("a", "a", "NVARCHAR(9)"), Field("b", "b", "FLOAT")))
+    df = spark.createDataFrame([(f, i, a, None if b is None else str(b)) for f, i, a, b in rows],
+                               "_file string, row_number long, a string, b string").repartition(5)
+    rules = [validate.error_if(F.coalesce(F.col("a") == "e", F.lit(False)), "a", "no e")]
+    kind = {f.name: f.dataType.simpleString() for f in contract.schema()}
+    target = spark.createDataFrame(stored, "a string, b double").select("a", F.col("b").cast(kind["b"]).alias("b"))
+    got = imports.classify(df, contract, target, rules)
+    assert {r["row_number"]: r[OUTCOME] for r in got.collect()} == expected
+    assert got.count() == len(rows)
+
+
+def test_classify_moves_the_rows_of_a_load_once(spark):
+    contract = Contract("t", "t", "t", (Field("a", "a", "NVARCHAR(9)"), Field("b", "b", "INT")))
+    df = spark.createDataFrame([("f", i, str(i % 50), "1") for i in range(100)], "_file string, row_number long, a string, b string")
+    target = spark.createDataFrame([("3", 1)], "a string, b int")
+    plan = imports.classify(df, contract, target)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 GOOD = ("E1", "Ann", "a@b.co", "C1", "Course", "2026-04-01", "90")
 
 
