@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -91,10 +92,16 @@ def mixed_header_import(spark, folder):
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("Order"), F.col("l_linenumber").alias("Line"), F.col("l_returnflag").alias("Flag"))
     headers = (["Order", "Line", "Flag"], ["Flag", "Order", "Line"], ["LINE ", "Remark", " order"], ["Line", "Flag"])
-    for part, header in enumerate(headers):
+
+    def put(part: int) -> None:
+        header = headers[part]
         cells = [F.col("Flag").alias(h) if h == "Remark" else F.col(h.strip()).alias(h) for h in header]
         lines.filter(F.col("Order") % 4 == part).select(*cells).coalesce(1).write.option("header", True).option(
             "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{work}/inbox/{part}")
+
+    # Each file is written by one task: all of them at the same time.
+    with ThreadPoolExecutor(len(headers)) as pool:
+        list(pool.map(put, range(len(headers))))
     store = Store(spark, f"{work}/store")
     ledger = import_files(store, list_files(spark, f"{work}/inbox/*", "*.csv"), ORDER_LINES, "importer")
     files = ledger.groupBy(F.col("status").alias("kind"), F.when(F.col("status") == messages.REJECTED, F.col("notes")).alias("flag")).agg(
