@@ -34,6 +34,9 @@ from sluicegate.plans.numbered_log import NumberedLog
 
 LOAD = "load_id"
 NEVER = "l-created"  # carries the schema of a table that has no rows yet
+#: Ledger rows that a task sorts, and of a file.  They take few bytes in a file and hundreds in memory,
+#: so their number is limited, not the size of files.
+SORTED_ROWS, FILE_ROWS = 500_000, 50_000
 
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType()}
 
@@ -179,7 +182,7 @@ class Store:
         earlier = self._read_steps([base])
         if folders:
             again = self.spark.createDataFrame(list(folders), f"{LOAD} string, step int")
-            earlier = earlier.join(again, [LOAD, "step"], "left_anti").select(*STEPS.fieldNames())
+            earlier = earlier.join(F.broadcast(again), [LOAD, "step"], "left_anti").select(*STEPS.fieldNames())
         return earlier.unionByName(later)
 
     def _read_steps(self, paths: list[str]) -> DataFrame:
@@ -190,7 +193,8 @@ class Store:
         stamped = batches.withColumns({
             "event_time": F.current_timestamp(), LOAD: F.lit(load_id), "step": F.lit(step)})
         folder = f"s-{uuid.uuid4().hex}"
-        stamped.select(*STEPS.fieldNames()).write.parquet(self.path("ledger", "batches", folder))
+        stamped.select(*STEPS.fieldNames()).write.option("maxRecordsPerFile", FILE_ROWS).parquet(
+            self.path("ledger", "batches", folder))
         log = self._steps
         number = log.append(json.dumps([folder, load_id, step]))
         upto, base = log.base()
@@ -198,7 +202,7 @@ class Store:
             tail = log.after(upto).collect()
             whole = _unbroken(upto, [r["number"] for r in tail])
             if whole > upto:
-                log.fold(self._events(base, [r for r in tail if r["number"] <= whole]), whole)
+                log.fold(self._events(base, [r for r in tail if r["number"] <= whole]), whole, FILE_ROWS)
 
     def batches(self) -> DataFrame:
         """Every batch in its current state."""
@@ -206,6 +210,10 @@ class Store:
 
     @staticmethod
     def _latest(events: DataFrame) -> DataFrame:
+        """The newest event of each batch.  Whole events are sorted, so tasks get a number of rows
+        that does not grow with the ledger; the events of a batch, two per load, meet in one task."""
+        tasks = 1 + events.count() // SORTED_ROWS
+        events = events.repartition(tasks, "batch_id")
         rest = F.struct(LOAD, *[c for c in BATCHES.fieldNames() if c != "batch_id"])
         newest = events.groupBy("batch_id").agg(
             F.max_by(rest, F.struct("event_time", "step")).alias("_row"),

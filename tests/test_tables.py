@@ -4,11 +4,12 @@ import glob
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sluicegate.operators import dedup, profile, reports
-from sluicegate.plans import hash_index, numbered_log
+from sluicegate.plans import hash_index, numbered_log, store as tables
 from sluicegate.plans.hash_index import HashIndex
 from sluicegate.plans.keyed import KeyedTable
 from sluicegate.plans.numbered_log import NumberedLog
@@ -229,6 +230,23 @@ def test_folded_ledger_equals_the_whole_one(spark, tmp_path):
         assert {r["load_id"] for r in store.committed_loads().collect()} == {"b", "c"}
 
 
+def test_state_of_a_ledger_is_sorted_by_tasks_of_few_rows(spark, tmp_path, monkeypatch):
+    """Files of the ledger and the tasks that look for the newest events hold a limited number of rows."""
+    monkeypatch.setattr(tables, "SORTED_ROWS", 20)
+    monkeypatch.setattr(tables, "FILE_ROWS", 10)
+    store = Store(spark, f"file://{tmp_path}/s", fold_every=2)
+    store.record(ledger_rows(spark, "1", ["VALIDATED"] * 100).coalesce(1), "1", 1)
+    store.record(ledger_rows(spark, "1", ["IMPORTED"] * 100).coalesce(1), "1", 2)
+    assert store._steps.base()[0] == 2
+    store.record(ledger_rows(spark, "2", ["REJECTED"] * 100).coalesce(1), "2", 1)
+    now = store.batches()
+    assert now.rdd.getNumPartitions() >= 300 // 20
+    assert sorted(r["status"] for r in now.collect()) == ["IMPORTED"] * 100 + ["REJECTED"] * 100
+    sizes = [pq.read_metadata(f).num_rows for part in ("ledger/batches", "ledger/steps/folded")
+             for f in glob.glob(f"{tmp_path}/s/{part}/*/*.parquet")]
+    assert max(sizes) <= 10 and sum(sizes) == 300 + 200
+
+
 def test_folded_versions_and_entries_without_a_text(spark, tmp_path):
     """A number that was taken and not named yet is neither read nor folded over."""
     store = Store(spark, f"file://{tmp_path}/s", fold_every=2)
