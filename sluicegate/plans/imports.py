@@ -75,9 +75,9 @@ def read_landing(store: Store, files: Landing, plan: DataFrame, fmt: str, contra
         return workbooks.sheet_table(workbooks.readable(rows, problems), headers), problems
     if fmt == "csv":
         read = plan.filter(F.col("problem").isNull())
-        width = read.agg(F.max("width")).first()[0]
+        width, left_out = plan.agg(F.max(F.when(F.col("problem").isNull(), F.col("width"))), F.count("problem")).first()
         return records.read_records(
-            records.stage_records(files, width, folder, without, **options), read.select(FILE), contract)
+            records.stage_records(files, width, folder, without if left_out else None, **options), read.select(FILE), contract)
     staged = landing.stage(landing.scan(files, fmt, **options), folder, without)
     none = spark.createDataFrame([], f"{FILE} string, problem string")
     return landing.number_rows(staged), none
@@ -98,14 +98,15 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
         target = target.drop(dedup.ROW_HASH)  # stored hashes are of all columns, these are some of them
     validated = validate.validate(project(rows, contract, keep=[FILE, ROW_NUMBER]), rules)
     checked = validated.withColumn("_valid", validate.is_valid())
+    bins = _hash_bins(checked, keys)
     size = target.count()
-    if size and size > MUCH_LARGER * checked.count():
+    if size and size > MUCH_LARGER * (bins.agg(F.sum("n")).first()[0] or 0):
         checked = written(checked, "checked")
         probes = checked.filter("_valid").select(dedup.row_hash(checked, keys).alias(dedup.ROW_HASH))
         stored = dedup.matching_keys(index.rows(probes) if whole and index is not None else target, keys, probes)
     else:
         stored = target.select(*[F.col(quoted(k)) for k in keys])
-    hot = _hot_hashes(checked.filter("_valid").select(dedup.row_hash(checked, keys).alias(dedup.ROW_HASH)))
+    hot = _hot_hashes(checked, keys, bins)
     if hot is None:
         return _judge(checked, stored, keys).drop("_valid")
 
@@ -117,26 +118,37 @@ def classify(rows: DataFrame, contract: Contract, target: DataFrame, rules: Sequ
     return seldom.unionByName(_judge_hot(parted(checked, "left_semi"), parted(stored, "left_semi"), keys)).drop("_valid")
 
 
-def _hot_hashes(hashes: DataFrame) -> DataFrame | None:
-    """Hashes that occur more than ``HOT_COPIES`` times, one in so many rows at most; None if there are none.
+def _binned(checked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hashes of the valid rows and their bins."""
+    hashes = checked.filter("_valid").select(dedup.row_hash(checked, keys).alias(dedup.ROW_HASH))
+    return hashes.withColumn("_bin", F.pmod(F.col(dedup.ROW_HASH), F.lit(HASH_BINS)))
 
-    Tasks count a few bins of hashes first; the hashes themselves are counted in full bins only.
-    """
-    binned = hashes.withColumn("_bin", F.pmod(F.col(dedup.ROW_HASH), F.lit(HASH_BINS)))
 
-    def frequent(df: DataFrame, key: str) -> DataFrame | None:
-        found = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_COPIES).select(key), "hot")
-        return None if found.isEmpty() else found
+def _hash_bins(checked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """_bin, n: how many valid rows have a hash of this bin."""
+    return written(_binned(checked, keys).groupBy("_bin").agg(F.count(F.lit(1)).alias("n")), "bins")
+
 
-    full = frequent(binned, "_bin")
-    return None if full is None else frequent(binned.join(F.broadcast(full), "_bin", "left_semi"), dedup.ROW_HASH)
+def _hot_hashes(checked: DataFrame, keys: Sequence[str], bins: DataFrame) -> DataFrame | None:
+    """Hashes that occur more than ``HOT_COPIES`` times, one in so many rows at most; None if there are none.
+
+    The hashes themselves are counted in full bins only.
+    """
+    full = bins.filter(F.col("n") > HOT_COPIES).select("_bin")
+    if full.isEmpty():
+        return None
+    counted = _binned(checked, keys).join(F.broadcast(full), "_bin", "left_semi").groupBy(dedup.ROW_HASH).agg(
+        F.count(F.lit(1)).alias("n"))
+    hot = written(counted.filter(F.col("n") > HOT_COPIES).select(dedup.ROW_HASH), "hot")
+    return None if hot.isEmpty() else hot
 
 
-def _outcome(head: Column, leader: Column, known: Column) -> Column:
+def _outcome(head: Column, new: Column) -> Column:
+    """``head``: first of its file; ``new``: first of the load and not in the target."""
     return (
         F.when(~F.col("_valid"), F.lit(INVALID))
         .when(~head, F.lit(DUP_IN_BATCH))
-        .when(~leader | known, F.lit(DUP_IN_TARGET))
+        .when(~new, F.lit(DUP_IN_TARGET))
         .otherwise(F.lit(ACCEPTED))
     )
 
@@ -144,19 +156,18 @@ def _outcome(head: Column, leader: Column, known: Column) -> Column:
 def _judge(checked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outcomes by one shuffle and one sort: equal rows meet, those of the target first.
 
-    A row is the first of its file if the row before it is of another file, and the first of all if
-    no row is before it.  Invalid rows need no answer and are spread by their partition.
+    A row is the first of its file if the row before it is of another file, and new if no row is
+    before it.  Invalid rows need no answer and are spread by their partition.
     """
     here, place = checked.withColumn("_stored", F.lit(False)), F.lit(-1)
     here = here.withColumn("_place", F.when(F.col("_valid"), place).otherwise(F.spark_partition_id()))
     there = stored.withColumns({"_stored": F.lit(True), "_valid": F.lit(True), "_place": place})
     met = here.unionByName(there, allowMissingColumns=True)
     equal = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(F.col("_stored").desc(), FILE, ROW_NUMBER)
-    ranked = met.withColumns({
-        "_rank": F.row_number().over(equal), "_known": F.first("_stored").over(equal), "_before": F.lag(FILE).over(equal)})
-    first = F.col("_rank") == 1
-    head = first | ~F.col("_before").eqNullSafe(F.col(FILE))
-    return ranked.filter(~F.col("_stored")).withColumn(OUTCOME, _outcome(head, first, F.col("_known"))).select(
+    ranked = met.withColumns({"_follows": F.lag("_stored").over(equal), "_before": F.lag(FILE).over(equal)})
+    new = F.col("_follows").isNull()
+    head = new | ~F.col("_before").eqNullSafe(F.col(FILE))
+    return ranked.filter(~F.col("_stored")).withColumn(OUTCOME, _outcome(head, new)).select(
         *[F.col(quoted(c)) for c in checked.columns], OUTCOME)
 
 
@@ -170,7 +181,7 @@ def _judge_hot(checked: DataFrame, stored: DataFrame, keys: Sequence[str]) -> Da
     across = Window.partitionBy(*[F.col(quoted(k)) for k in keys], "_place").orderBy(FILE, ROW_NUMBER)
     led = meeting.withColumn("_leader", F.col("_head") & (F.row_number().over(across) == 1))
     probed = dedup.mark_in_target(led, stored, keys, "_known", when=F.col("_leader"))
-    return probed.withColumn(OUTCOME, _outcome(F.col("_head"), F.col("_leader"), F.col("_known"))).select(
+    return probed.withColumn(OUTCOME, _outcome(F.col("_head"), F.col("_leader") & ~F.col("_known"))).select(
         *[F.col(quoted(c)) for c in checked.columns], OUTCOME)
 
 
@@ -250,15 +261,13 @@ def _write_load(store: Store, rows: DataFrame, contract: Contract, plan: DataFra
     ledger = _ledger_rows(plan, problems, counts, contract, by, by_name, messages.VALIDATED)
     store.record(ledger, load_id, 1)
 
-    errors = validate.error_table(rows, "batch_id", ROW_NUMBER)
     reason = [(f.header, F.col(quoted(f.name))) for f in contract.fields]
     in_file, in_store = F.col(OUTCOME) == DUP_IN_BATCH, F.col(OUTCOME) == DUP_IN_TARGET
-    if contract.flow == "contract":
-        copies = rows.filter(in_file).select(
-            "batch_id", ROW_NUMBER, F.lit(messages.DUPLICATE_FIELD).alias("field_name"),
-            F.lit(messages.DUPLICATE_IN_FILE).alias("error_message"))
-        errors = errors.unionByName(copies)
-    store.write_errors(errors, load_id)
+    faulty = rows
+    if contract.flow == "contract":  # a copy in the file is one more error of its row
+        faulty = rows.withColumn(validate.ERRORS, F.concat(validate.ERRORS, validate.error_if(
+            in_file, messages.DUPLICATE_FIELD, messages.DUPLICATE_IN_FILE)))
+    store.write_errors(validate.error_table(faulty, "batch_id", ROW_NUMBER), load_id)
     store.write_skipped(dedup.skipped_rows(rows, in_file, in_store, reason, "batch_id", ROW_NUMBER), load_id)
 
     accepted = rows.filter(F.col(OUTCOME) == ACCEPTED).select(

@@ -36,15 +36,19 @@ def _power(place: Column) -> Column:
     return out
 
 
-def block_sums(lines: DataFrame) -> DataFrame:
+def block_sums(lines: DataFrame, head: Column | None = None) -> DataFrame:
     """Per file and block of ``lines`` (_file, _block, _place, value): place of the first line,
-    number of lines, sums, and the first line's text where the file begins."""
+    number of lines, sums, and ``head`` (the text, unless given) of the line where the file begins.
+
+    Lines are sorted to be summed if ``head`` is a text, and not if it is a number.
+    """
+    head = F.col("value") if head is None else head
     term = [F.pmod(F.xxhash64(F.lit(seed), "value"), F.lit(PRIME)) for seed in SEEDS]
     powered = lines.withColumn("_power", _power(F.col("_place")))
     return powered.groupBy(FILE, "_block").agg(
         F.min("_place").alias("first"), F.count(F.lit(1)).alias("n"),
         *[(F.sum((t * F.col("_power")) % PRIME) % PRIME).alias(f"s{i}") for i, t in enumerate(term)],
-        F.min_by(F.when(F.col("_block") == 0, F.col("value")), "_place").alias("head"))
+        F.min_by(F.when(F.col("_block") == 0, head), "_place").alias("head"))
 
 
 _FILE_ROW = f"{FILE} string, path string, length long, file_name string, width int, file_hash string"
@@ -77,9 +81,9 @@ def fingerprint_files(landing: Landing, separator: str | None = None) -> DataFra
     lines = landing.load(landing.spark.read.format("text").option("lineSep", "\n")).select(
         F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_place"), "value")
-    sums = block_sums(lines)
-    width = F.lit(1) if separator is None else F.max(
-        F.length("head") - F.length(F.replace("head", F.lit(separator), F.lit("")))) / len(separator) + 1
+    marks = F.lit(0) if separator is None else F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))
+    sums = block_sums(lines, marks)
+    width = F.lit(1) if separator is None else F.max("head") / len(separator) + 1
     per_file = sums.groupBy(FILE).agg(
         F.sort_array(F.collect_list(F.struct("_block", "first", "n", *[f"s{i}" for i in range(len(SEEDS))]))).alias("blocks"),
         width.cast("int").alias("width"))
